@@ -124,7 +124,7 @@ def skills(
     *,
     symbols_as_words: bool = False,
 ) -> Column:
-    """Lexicon terms found as whole words, in lexicon order.
+    """Lexicon terms found as whole words, in lexicon order; an empty list for no text.
 
     A term's edges must be word boundaries, so 'c++' is found only before a
     word character; ``symbols_as_words`` asks for no word character on either
@@ -133,7 +133,7 @@ def skills(
     """
     terms = list(dict.fromkeys(lexicon))
     left, right = (r"(?<!\w)", r"(?!\w)") if symbols_as_words else (r"\b", r"\b")
-    lowered = F.lower(description)
+    lowered = F.lower(F.coalesce(description, F.lit("")))
     if _may_overlap(terms):
         return F.array_compact(
             F.array(
@@ -151,6 +151,4 @@ def skill_choice(given: Column, description: Column, lexicon: Sequence[str] = lx
     listed = F.array_distinct(
         F.filter(F.transform(given, lambda s: strip(F.lower(s))), lambda s: s != "")
     )
-    return F.when(F.size(given) > 0, listed).otherwise(
-        F.coalesce(skills(description, lexicon), F.array().cast("array<string>"))
-    )
+    return F.when(F.size(given) > 0, listed).otherwise(skills(description, lexicon))

@@ -41,8 +41,8 @@ def flag_all_but_best(
 ) -> DataFrame:
     """Keep every row and set ``flag`` on all rows of a key except the best one.
 
-    Ranking all rows of a key in one window would put a hot key into one task.
-    Instead the best row of each key is found (cut to one row per task before
+    The best row has the smallest ``best_first`` values. Ranking all rows of a
+    key in one window would put a hot key into one task. Instead the best row of each key is found (cut to one row per task before
     the shuffle) and matched back on the rows' own identity, which is unique
     and therefore evenly spread. ``identity`` must not be NULL.
     """

@@ -126,7 +126,7 @@ def wide_rows(canonical: DataFrame, normalization_run_id: str) -> DataFrame:
 
 def flag_duplicates(rows: DataFrame) -> DataFrame:
     """Mark all but the best-scored row of each dedup key; ties go to the earlier row."""
-    best_first = [F.col("quality_score").desc(), F.col("_place"), F.col("raw_row_number")]
+    best_first = [-F.col("quality_score"), F.col("_place"), F.col("raw_row_number")]
     return flag_all_but_best(
         rows, "dedup_key", best_first, ["_place", "raw_row_number"], "is_exact_duplicate"
     )

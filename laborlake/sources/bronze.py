@@ -65,7 +65,9 @@ def read_bronze(
                 )
             )
     if not parts:
-        return spark.createDataFrame([], schema.add("_file", "string").add("_seq", "bigint"))
+        return spark.createDataFrame(
+            [], T.StructType(list(schema)).add("_file", "string").add("_seq", "bigint")
+        )
     return parts[0].unionByName(parts[1])
 
 

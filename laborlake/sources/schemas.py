@@ -5,8 +5,27 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "string": T.StringType(),
+    "boolean": T.BooleanType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "date": T.DateType(),
+    "timestamp": T.TimestampType(),
+    "timestamp_ntz": T.TimestampNTZType(),
+    "counts": T.MapType(T.StringType(), T.LongType()),
+}
+
+
 def _schema(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """Schema from 'name type, name type'; works before any session exists."""
+    fields = (f.split() for f in spec.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
+
+
+def _with(schema: T.StructType, **nested: T.DataType) -> T.StructType:
+    return T.StructType([*schema.fields, *[T.StructField(n, t) for n, t in nested.items()]])
 
 
 # One landed record of any source. Fields whose JSON type differs between
@@ -24,12 +43,15 @@ BRONZE = _schema(
 )
 
 # Provider records before flattening.
-BOARD_RECORD = _schema(
-    "id string, title string, description string, created string, redirect_url string, "
-    "contract_type string, contract_time string, salary_min double, salary_max double, "
-    "salary_is_predicted string, company struct<display_name: string>, "
-    "location struct<display_name: string, area: array<string>>, "
-    "category struct<label: string, tag: string>"
+BOARD_RECORD = _with(
+    _schema(
+        "id string, title string, description string, created string, redirect_url string, "
+        "contract_type string, contract_time string, salary_min double, salary_max double, "
+        "salary_is_predicted string"
+    ),
+    company=_schema("display_name string"),
+    location=_with(_schema("display_name string"), area=T.ArrayType(T.StringType())),
+    category=_schema("label string, tag string"),
 )
 REMOTE_RECORD = _schema(
     "id string, title string, company_name string, category string, job_type string, "
@@ -88,7 +110,7 @@ MARKET_ALERTS = _schema(
 
 PIPELINE_RUNS = _schema(
     "run_id string, started_at timestamp, completed_at timestamp, status string, "
-    "source_counts map<string,bigint>, jobs_inserted bigint, jobs_skipped bigint, "
+    "source_counts counts, jobs_inserted bigint, jobs_skipped bigint, "
     "duplicates_removed bigint, errors_count bigint, jobs_total bigint"
 )
 PIPELINE_ERRORS = _schema(
