@@ -7,7 +7,7 @@ lines with Spark, which can be split.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,20 +57,25 @@ def read_bronze(
             .option("recursiveFileLookup", True)
         )
         if folders:
-            parts.append(
-                reader.json(folders).select(
-                    "*",
-                    F.col("_metadata.file_path").alias("_file"),
-                    F.monotonically_increasing_id().alias("_seq"),
-                )
+            records = reader.json(folders).select(
+                "*",
+                F.col("_metadata.file_path").alias("_file"),
+                F.monotonically_increasing_id().alias("_seq"),
             )
+            if not multi_line:  # the writer keeps the source in the folder name only
+                records = records.withColumn("source", F.coalesce("source", _source_in_path("_file")))
+            parts.append(records)
     if not parts:
         return spark.createDataFrame(
-            [], T.StructType(list(schema)).add("_file", "string").add("_seq", "bigint")
+            [], T.StructType(list(schema)).add("_file", "string").add("_seq", "long")
         )
     return parts[0].unionByName(parts[1])
 
 
+def _source_in_path(path: str) -> Column:
+    return F.regexp_extract(path, "/source=([^/]+)/", 1)
+
+
 def read_array_files(
     spark: SparkSession,
     root: str,
@@ -87,7 +92,7 @@ def read_array_files(
     texts = read_whole_files(spark, root, source, ingest_date)
     if texts is None:
         return spark.createDataFrame(
-            [], T.StructType(list(schema)).add("_path", "string").add("_name", "string").add("_row", "bigint")
+            [], T.StructType(list(schema)).add("_path", "string").add("_name", "string").add("_row", "long")
         )
     return texts.select(
         "_path", "_name", F.posexplode(F.from_json("value", T.ArrayType(schema))).alias("_pos", "_rec")
@@ -115,7 +120,7 @@ def read_whole_files(
             "value",
             F.col("_metadata.file_path").alias("_path"),
             F.col("_metadata.file_name").alias("_name"),
-            F.regexp_extract("_metadata.file_path", "/source=([^/]+)/", 1).alias("_source"),
+            _source_in_path("_metadata.file_path").alias("_source"),
         )
     )
 
