@@ -93,10 +93,7 @@ from orders join customer on o_custkey = c_custkey join nation on c_nationkey =
 
 
 def job_skills(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct (order, part) first: copies collapse before the join with part."""
-    lines = (
-        table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), "l_partkey").distinct()
-    )
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), "l_partkey")
     part = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("skill_name"))
     return (
         lines.join(part, F.col("l_partkey") == F.col("p_partkey"))

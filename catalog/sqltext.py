@@ -8,7 +8,7 @@ from laborlake.functions import lexicons as lx
 from laborlake.functions.parse import WHITESPACE
 
 _WS = WHITESPACE.replace("'", "''")
-_WORD = r"\p{L}\p{M}\p{N}_"
+_WORD = r"\p{L}\p{N}_"
 
 
 def quote(text: str) -> str:

@@ -96,26 +96,42 @@ def role_family(title: Column) -> Column:
     return first_rule(F.lower(title), lx.ROLE_RULES)
 
 
-def _words(term: str) -> list[str]:
-    return re.findall(r"\w+", term)
+# A word character is a letter, a digit of any script, or '_'. Written out
+# because the meaning of \b differs between Java versions.
+_WORD = r"[\p{L}\p{N}_]"
 
 
-def _may_overlap(terms: Sequence[str]) -> bool:
+def _edges(term: str, symbols_as_words: bool) -> str:
+    """Pattern of a term whose two edges are word boundaries."""
+    left = f"(?<!{_WORD})" if symbols_as_words or re.match(r"\w", term) else f"(?<={_WORD})"
+    right = f"(?!{_WORD})" if symbols_as_words or re.search(r"\w$", term) else f"(?={_WORD})"
+    return left + re.escape(term) + right
+
+
+def _overlaps(a: str, b: str) -> bool:
     """Can two different terms match overlapping stretches of one text?
 
-    True when one term's words are part of another's, or one ends with the
-    words another begins with. Then a single left-to-right scan could miss one.
+    Yes if the words of one are part of the other's, or one ends with the words
+    the other begins with. A single left-to-right scan could then miss one.
     """
-    split = [(t, _words(t)) for t in terms]
-    for a, wa in split:
-        for b, wb in split:
-            if a == b or not wa or not wb:
-                continue
-            inside = any(wb[i : i + len(wa)] == wa for i in range(len(wb) - len(wa) + 1))
-            chained = any(wa[-n:] == wb[:n] for n in range(1, min(len(wa), len(wb)) + 1))
-            if inside or chained:
-                return True
-    return False
+    wa, wb = re.findall(r"\w+", a), re.findall(r"\w+", b)
+
+    def inside(x, y):
+        return any(y[i : i + len(x)] == x for i in range(len(y) - len(x) + 1))
+
+    def chained(x, y):
+        return any(x[-n:] == y[:n] for n in range(1, min(len(x), len(y)) + 1))
+
+    return inside(wa, wb) or inside(wb, wa) or chained(wa, wb) or chained(wb, wa)
+
+
+def _one_scan(terms: Sequence[str]) -> str:
+    """Pattern that finds any of the terms, branching on the first character."""
+    by_first: dict[str, list[str]] = {}
+    for term in sorted(terms, key=len, reverse=True):
+        by_first.setdefault(term[0], []).append(re.escape(term[1:]))
+    branches = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(by_first.items()))
+    return f"(?<!{_WORD})(?:{branches})(?!{_WORD})"
 
 
 def skills(
@@ -128,21 +144,27 @@ def skills(
 
     A term's edges must be word boundaries, so 'c++' is found only before a
     word character; ``symbols_as_words`` asks for no word character on either
-    side instead. One scan finds all terms when no two can overlap, which holds
-    for the built-in list; other lists fall back to one scan per term.
+    side instead. Terms that cannot overlap are found in one scan of the text;
+    the others are tried one by one, after a cheap substring test.
     """
     terms = list(dict.fromkeys(lexicon))
-    left, right = (r"(?<!\w)", r"(?!\w)") if symbols_as_words else (r"\b", r"\b")
-    lowered = F.lower(F.coalesce(description, F.lit("")))
-    if _may_overlap(terms):
-        return F.array_compact(
-            F.array(
-                *[F.when(lowered.rlike(f"(?U){left}{re.escape(t)}{right}"), F.lit(t)) for t in terms]
-            )
-        )
-    longest_first = sorted(terms, key=len, reverse=True)
-    pattern = f"(?U){left}(?:{'|'.join(re.escape(t) for t in longest_first)}){right}"
-    found = F.regexp_extract_all(lowered, F.lit(pattern), F.lit(0))
+    plain = [t for t in terms if re.match(r"\w", t) and re.search(r"\w$", t)]
+    scanned = [
+        t
+        for t in plain
+        if re.fullmatch(r"\w+", t) or not any(_overlaps(t, o) for o in terms if o != t)
+    ]
+    text = F.lower(F.coalesce(description, F.lit("")))
+    found = F.array().cast("array<string>")
+    if scanned:
+        found = F.regexp_extract_all(text, F.lit(_one_scan(scanned)), F.lit(0))
+    single = [
+        F.when(text.contains(t) & text.rlike(_edges(t, symbols_as_words)), F.lit(t))
+        for t in terms
+        if t not in scanned
+    ]
+    if single:
+        found = F.concat(found, F.array_compact(F.array(*single)))
     return F.array_intersect(F.array(*[F.lit(t) for t in terms]), found)
 
 

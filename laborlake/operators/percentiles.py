@@ -61,7 +61,8 @@ def exact_percentiles(
     wanted = bins.filter(holds(F.col("_before"), F.col("_upto"))).select(
         *groups, "_bin", "_before", count_as
     )
-    # Few values are left: those in at most two bins per percentile and group.
+    # Few values are left: those in at most two bins per percentile and group. They are
+    # brought together by group once, which serves both the ranking and the result.
     in_bin = (
         Window.partitionBy(*groups, "_bin")
         .orderBy(value)
@@ -74,6 +75,7 @@ def exact_percentiles(
         counts.alias("c")
         .join(wanted.alias("w"), same_bin)
         .select(*[f"c.{g}" for g in groups], "c._bin", f"c.{value}", "c._n", "w._before", f"w.{count_as}")
+        .repartition(*groups)
         .withColumn("_end", F.col("_before") + F.sum("_n").over(in_bin))
         .withColumn("_start", F.col("_end") - F.col("_n"))
     )
