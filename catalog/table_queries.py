@@ -173,7 +173,8 @@ def _cross_run(spark, d):
     """Distinct documents whose text is not among the labelled (stored) ones."""
     stored = px.table(spark, d, "documents").join(px.table(spark, d, "labels"), "doc_id", "left_semi")
     stored = stored.select(text.parts_hash(F.col("text"), F.col("lang")).alias("key"))
-    return not_yet_stored(_copies(spark, d), stored, "key")
+    copies = _copies(spark, d)
+    return not_yet_stored(copies, stored, "key", incoming_rows=copies.count())
 
 
 # Wide table: documents as a raw bulk table, and as landed records of two sources.
@@ -182,6 +183,7 @@ def _cross_run(spark, d):
 def _raw_table(spark, d) -> DataFrame:
     docs = px.table(spark, d, "documents")
     return docs.select(
+        F.lit("kaggle_raw_docs").alias("raw_table"),
         F.lit("run-0").alias("run_id"),
         F.lit(None).cast("timestamp").alias("ingested_at"),
         F.lit("docs").alias("dataset_key"),
@@ -212,7 +214,7 @@ def _landed_for_wide(spark, d, source: str) -> DataFrame:
 
 def _wide(spark, d):
     union = wide.union_sources(
-        {"kaggle_raw_docs": _raw_table(spark, d)},
+        [_raw_table(spark, d)],
         {s: _landed_for_wide(spark, d, s) for s in (lx.SOURCE_BOARD, lx.SOURCE_REMOTE)},
     )
     return wide.flag_duplicates(wide.wide_rows(union, "norm-1")).select(*schemas.WIDE.names)
@@ -282,7 +284,7 @@ def _wide_summary(spark, d):
 
 def _row_numbers(spark, d):
     """Row numbers of a table's file in file order, with its columns as text."""
-    rows = tabular.raw_rows(px.table(spark, d, "documents"), "docs", "documents.parquet", "run-0")
+    rows = tabular.raw_rows(px.table(spark, d, "documents"), "docs", "run-0")
     return rows.select("run_id", "dataset_key", "source_file", "row_number", "doc_id", "lang", "n_chars")
 
 
@@ -424,7 +426,7 @@ select 'silver' as layer, * from (
   union all select 8, 'silver_salary_coverage', case when ws >= 0.2 * total then 'passed' else 'warned' end,
     {_pct("ws")} || '% rows have salary data (threshold 20%)' from m
   union all select 9, 'silver_multiple_sources', case when ns >= 2 then 'passed' else 'warned' end,
-    case when ns >= 2 then 'Several sources' else 'One source' end from m
+    ns || ' sources' from m
   union all select 10, 'silver_skill_coverage', case when wk >= 0.3 * total then 'passed' else 'warned' end,
     {_pct("wk")} || '% rows have skills extracted (threshold 30%)' from m)"""
 

@@ -87,17 +87,17 @@ def normalise_dataset(
     paths = files.matching(spark, f"{folder}/*.csv")
     if not paths:
         raise FileNotFoundError(f"no CSV files in {folder}")
-    job_groups, raw_only = tabular.route_by_header(spark, paths, multi_line=multi_line)
+    job_groups, raw_groups = tabular.route_by_header(spark, paths, multi_line=multi_line)
     for group in job_groups.values():
         rows = tabular.read_csv(spark, group, multi_line=multi_line)
         envelopes = bulk_envelope(rows, dataset_key, slug or known_slug, year or known_year)
         bronze.write_bronze(envelopes, bronze_root, ingest_date)
-    for path in paths:
-        tabular.land_raw(spark, path, raw_root, dataset_key, run_id, multi_line=multi_line)
+    for group in (*job_groups.values(), *raw_groups.values()):
+        tabular.land_raw(spark, group, raw_root, dataset_key, run_id, multi_line=multi_line)
     return {
         "dataset_key": dataset_key,
         "job_files": sum(len(g) for g in job_groups.values()),
-        "raw_only_files": len(raw_only),
+        "raw_only_files": sum(len(g) for g in raw_groups.values()),
     }
 
 

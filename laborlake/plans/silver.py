@@ -159,13 +159,14 @@ def build(bronze: DataFrame, stored_jobs: DataFrame | None, run_id: str) -> Silv
     titled = Observation()
     hashed = with_hash(clean(counted)).observe(titled, F.count("*").alias("rows"))
     batch = staged(canonical(dedup_batch(hashed)), "silver-batch")
+    in_batch = batch.count()
     fresh = batch if stored_jobs is None else staged(
-        not_yet_stored(batch, stored_jobs, "raw_hash"), "silver-fresh"
+        not_yet_stored(batch, stored_jobs, "raw_hash", incoming_rows=in_batch), "silver-fresh"
     )
     counts = fresh.agg(
         F.count_if(F.col("_reject").isNull()).alias("good"), F.count("_reject").alias("bad")
     ).head()
-    in_batch, rows = batch.count(), titled.get["rows"]
+    rows = titled.get["rows"]
     by_source = {s: seen.get[s] for s in _SOURCES if seen.get[s]}
     others = seen.get["total"] - sum(by_source.values())
     summary = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +14,11 @@ from laborlake.sources import bronze, schemas, tables, tabular
 from laborlake.sources.staging import staged
 
 
-def from_raw_table(name: str, rows: DataFrame) -> DataFrame:
-    """A raw table's rows under canonical names. The first alias present wins, even where NULL."""
+def from_raw_tables(rows: DataFrame) -> DataFrame:
+    """Rows of raw tables with the same columns, under canonical names.
+
+    The first alias present wins, even where its value is NULL.
+    """
     a = lx.RAW_ALIASES
 
     def pick(field: str) -> Column:
@@ -31,7 +34,7 @@ def from_raw_table(name: str, rows: DataFrame) -> DataFrame:
         text.clean(F.col("dataset_key"), 100).alias("dataset_key"),
         text.clean(F.col("source_file"), 255).alias("source_file"),
         words("source_record_id").alias("source_record_id"),
-        F.lit(name).alias("raw_table"),
+        F.col("raw_table"),
         F.col("row_number").alias("raw_row_number"),
         text.clean(F.col("run_id"), 36).alias("run_id"),
         words("title").alias("title"),
@@ -46,7 +49,7 @@ def from_raw_table(name: str, rows: DataFrame) -> DataFrame:
         F.substring(words("employment_type"), 1, 80).alias("employment_type"),
         words("description").alias("description"),
         words("skills").alias("skills_text"),
-        F.concat_ws("/", F.lit("1"), F.lit(name), F.coalesce("run_id", F.lit("")),
+        F.concat_ws("/", F.lit("1"), "raw_table", F.coalesce("run_id", F.lit("")),
                     F.coalesce(F.col("ingested_at").cast("string"), F.lit(""))).alias("_place"),
     )
 
@@ -132,15 +135,15 @@ def flag_duplicates(rows: DataFrame) -> DataFrame:
     )
 
 
-def union_sources(raw: Mapping[str, DataFrame], landed: Mapping[str, DataFrame]) -> DataFrame:
+def union_sources(raw: Sequence[DataFrame], landed: Mapping[str, DataFrame]) -> DataFrame:
     """All raw tables and landed sources under canonical names."""
-    parts = [from_raw_table(n, raw[n]) for n in sorted(raw)]
+    parts = [from_raw_tables(rows) for rows in raw]
     parts += [from_bronze(s, df, rank) for rank, (s, df) in enumerate(landed.items(), start=2)]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def build(
-    raw: Mapping[str, DataFrame], landed: Mapping[str, DataFrame], normalization_run_id: str
+    raw: Sequence[DataFrame], landed: Mapping[str, DataFrame], normalization_run_id: str
 ) -> DataFrame:
     """All sources in one wide table. The rows are written once before duplicates are flagged."""
     rows = staged(wide_rows(union_sources(raw, landed), normalization_run_id), "wide-rows")

@@ -34,21 +34,22 @@ def bulk_columns(columns: Sequence[str]) -> dict[str, str | None]:
     return {f: pick_column(columns, names, any_case=True) for f, names in lx.BULK_ALIASES.items()}
 
 
+Groups = dict[tuple[str, ...], list[str]]
+
+
 def route_by_header(
     spark: SparkSession, paths: Sequence[str], *, multi_line: bool = True
-) -> tuple[dict[tuple[str, ...], list[str]], list[str]]:
-    """Split files into job files, grouped by equal header, and files to keep raw only.
+) -> tuple[Groups, Groups]:
+    """Job files and files to keep raw only, both grouped by equal header.
 
     Only headers are read. A file without a title column is kept raw only.
     """
-    jobs: dict[tuple[str, ...], list[str]] = {}
-    raw_only: list[str] = []
+    jobs: Groups = {}
+    raw_only: Groups = {}
     for path in sorted(paths):
         columns = tuple(read_csv(spark, path, multi_line=multi_line).columns)
-        if bulk_columns(columns)["title"]:
-            jobs.setdefault(columns, []).append(path)
-        else:
-            raw_only.append(path)
+        kind = jobs if bulk_columns(columns)["title"] else raw_only
+        kind.setdefault(columns, []).append(path)
     return jobs, raw_only
 
 
@@ -75,6 +76,7 @@ def number_rows(df: DataFrame) -> DataFrame:
     marked = df.select(
         "*",
         F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_name").alias("_name"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_seq"),
     )
@@ -94,17 +96,16 @@ def number_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def raw_rows(rows: DataFrame, dataset_key: str, source_file: str, run_id: str | None) -> DataFrame:
-    """Rows of one file as text columns under safe names, with metadata in front."""
-    numbered = number_rows(rows)
+def raw_rows(rows: DataFrame, dataset_key: str, run_id: str | None) -> DataFrame:
+    """Rows of files as text columns under safe names, with metadata in front."""
     types = dict(rows.dtypes)
     names = raw_column_names(rows.columns)
     texts = [as_text(F.col(f"`{c}`"), types[c]).alias(n) for c, n in zip(rows.columns, names)]
-    return numbered.select(
+    return number_rows(rows).select(
         F.lit(run_id).cast("string").alias("run_id"),
         F.current_timestamp().alias("ingested_at"),
         F.lit(dataset_key).alias("dataset_key"),
-        F.lit(source_file).alias("source_file"),
+        F.col("_name").alias("source_file"),
         F.col("row_number"),
         *texts,
     )
@@ -112,27 +113,39 @@ def raw_rows(rows: DataFrame, dataset_key: str, source_file: str, run_id: str |
 
 def land_raw(
     spark: SparkSession,
-    path: str,
+    paths: Sequence[str],
     root: str,
     dataset_key: str,
     run_id: str | None,
     *,
     multi_line: bool = True,
-) -> str:
-    """Keep one CSV file as a raw Parquet table; later loads may bring new columns."""
-    file_name = path.rsplit("/", 1)[-1]
-    table = f"{root}/{raw_table_name(dataset_key, file_name)}"
-    rows = raw_rows(read_csv(spark, path, multi_line=multi_line), dataset_key, file_name, run_id)
-    rows.write.mode("append").parquet(table)
-    return table
-
-
-def raw_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """All raw tables by name, each with the columns of all its loads."""
-    return {
-        p.rsplit("/", 1)[-1]: spark.read.option("mergeSchema", True).parquet(p)
-        for p in files.matching(spark, f"{root}/kaggle_raw_*")
-    }
+) -> None:
+    """Keep CSV files of one header as raw Parquet tables, one per file, all in one job.
+
+    A later load of a file is appended to its table and may bring new columns.
+    """
+    rows = raw_rows(read_csv(spark, paths, multi_line=multi_line), dataset_key, run_id)
+    names = sorted({p.rsplit("/", 1)[-1] for p in paths})
+    # One row per file of the load, made from the listing at hand.
+    tables = spark.createDataFrame(
+        [(n, raw_table_name(dataset_key, n)) for n in names], "source_file string, raw_table string"
+    )
+    (
+        rows.join(F.broadcast(tables), "source_file")
+        .write.mode("append")
+        .partitionBy("raw_table")
+        .parquet(root)
+    )
+
+
+def raw_tables(spark: SparkSession, root: str) -> list[DataFrame]:
+    """All raw tables, those with the same columns read together; ``raw_table`` tells them apart."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path in files.matching(spark, f"{root}/raw_table=kaggle_raw_*"):
+        columns = spark.read.option("mergeSchema", True).parquet(path).columns
+        groups.setdefault(tuple(columns), []).append(path)
+    reader = spark.read.option("basePath", root).option("mergeSchema", True)
+    return [reader.parquet(*paths) for paths in groups.values()]
 
 
 def first_present(df: DataFrame, candidates: Sequence[str]) -> Column:

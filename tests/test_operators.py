@@ -72,7 +72,9 @@ def test_flag_all_but_best(spark):
 def test_not_yet_stored(spark):
     incoming = spark.range(10).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("x"))
     stored = spark.range(4, 400).select(F.col("id").cast("string").alias("k"))
-    assert {r.k for r in not_yet_stored(incoming, stored, "k").collect()} == {"0", "1", "2", "3"}
+    for rows in (None, 10, 10**9):
+        fresh = not_yet_stored(incoming, stored, "k", incoming_rows=rows)
+        assert {r.k for r in fresh.collect()} == {"0", "1", "2", "3"}
 
 
 def _series(spark, days):

@@ -162,10 +162,12 @@ def test_bulk_load(spark, bulk, tmp_path):
     assert (clerk.remote, clerk.dataset_year, clerk.salary_min) == (None, "2024", "1000.0")  # ratio 0 is no number above zero
     assert (cook.salary_min, cook.salary_max, cook.remote, cook.employment_type) == ("10000.0", None, "false", "Hybrid")
 
-    raw = tabular.raw_tables(spark, raw_root)
+    groups = tabular.raw_tables(spark, raw_root)
+    raw = {r.raw_table: g.filter(F.col("raw_table") == r.raw_table) for g in groups for r in g.select("raw_table").distinct().collect()}
     assert set(raw) == {f"kaggle_raw_us_tech_2024_{n}" for n in "abcd"}
     odd = raw["kaggle_raw_us_tech_2024_d"]
-    assert odd.columns[5:] == ["src_id", "src_run_id", "src_run_id_3", "col_1st_col"]
+    assert set(odd.columns) == {"run_id", "ingested_at", "dataset_key", "source_file", "row_number", "raw_table",
+                                "src_id", "src_run_id", "src_run_id_3", "col_1st_col"}
     assert [(r.row_number, r.src_id) for r in odd.orderBy("row_number").collect()] == [(1, "7"), (2, "8")]
     assert raw["kaggle_raw_us_tech_2024_a"].count() == 2  # raw keeps untitled rows
 
