@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from laborlake.operators.trend import trailing_averages
-from laborlake.plans import silver
+from laborlake.plans import gold, silver
 from laborlake.sources import schemas, tables
 from laborlake.sources.staging import staged
 
@@ -43,24 +42,92 @@ def start_silver(stream: DataFrame, silver_root: str, checkpoint: str) -> Stream
     )
 
 
-def demand_writer(
-    gold_root: str, table: str, entity: str, daily_of: Callable[[SparkSession, DataFrame], DataFrame]
-) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function: recompute the entities a batch touches and merge them.
+def _touching(rows: DataFrame, touched: DataFrame) -> DataFrame:
+    """Rows of the touched entities."""
+    return rows.join(touched, touched.columns, "left_semi")
 
-    ``daily_of(spark, entities)`` returns all daily counts of the given
-    entities. The averages run over the days present of an entity, so a new day
-    can change later days; whole entities are recomputed, others are left alone.
+
+def _role_rows(jobs: DataFrame, touched: DataFrame) -> DataFrame:
+    """All postings of the touched roles (and countries), labelled as in the aggregate tables."""
+    labels = {
+        "role": F.coalesce("title_normalized", F.lit("Other")),
+        "country": F.coalesce("country", F.lit("UNKNOWN")),
+    }
+    labelled = jobs.withColumns({f"_{c}": labels[c] for c in touched.columns})
+    keys = touched.select(*[F.col(c).alias(f"_{c}") for c in touched.columns])
+    return _touching(labelled, keys).select(*jobs.columns)
+
+
+def rebuild(
+    table: str, jobs: DataFrame, job_skills: DataFrame, touched: DataFrame, *, fx: DataFrame | None = None
+) -> DataFrame:
+    """All rows of an aggregate table for the touched entities, from the whole of Silver.
+
+    The averages run over the days present of an entity, so one new day can
+    change later days: entities are recomputed as a whole, others are left out.
+    """
+    if table == "daily_role_demand":
+        return gold.daily_role_demand(_role_rows(jobs, touched))
+    if table == "remote_vs_onsite":
+        return gold.remote_vs_onsite(_role_rows(jobs, touched))
+    if table == "salary_summary":
+        return gold.salary_summary(_role_rows(jobs, touched), fx)
+    if table == "daily_skill_demand":
+        skills = touched.select(F.col("skill").alias("skill_name"))
+        return gold.daily_skill_demand(
+            jobs, _touching(job_skills, skills), job_key="raw_hash", unique_bridge=True
+        )
+    raise ValueError(f"{table} has no entities of its own; use gold.refresh")
+
+
+# Aggregate tables that can be refreshed by entity, and the columns that name one.
+ENTITIES = {
+    "daily_role_demand": ("role",),
+    "remote_vs_onsite": ("role",),
+    "salary_summary": ("role", "country"),
+    "daily_skill_demand": ("skill",),
+}
+
+
+def touched_entities(table: str, new_jobs: DataFrame, job_skills: DataFrame) -> DataFrame:
+    """Distinct entities of newly stored postings."""
+    if table == "daily_skill_demand":
+        keys = new_jobs.select(F.col("raw_hash").alias("job_id"))
+        return _touching(job_skills, keys).select(F.col("skill_name").alias("skill")).distinct()
+    labels = {
+        "role": F.coalesce("title_normalized", F.lit("Other")).alias("role"),
+        "country": F.coalesce("country", F.lit("UNKNOWN")).alias("country"),
+    }
+    return new_jobs.select(*[labels[c] for c in ENTITIES[table]]).distinct()
+
+
+def gold_writer(silver_root: str, gold_root: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function over new Silver postings: refresh what they touch.
+
+    Postings without a date and entities that gain nothing simply merge to the
+    same rows, so repeating a batch changes nothing.
     """
-    schema = {
-        "daily_role_demand": schemas.DAILY_ROLE_DEMAND,
-        "daily_skill_demand": schemas.DAILY_SKILL_DEMAND,
-    }[table]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        touched = staged(batch.select(entity).distinct(), f"{table}-touched")
-        demand = trailing_averages(daily_of(spark, touched), entity)
-        tables.upsert_gold(spark, gold_root, table, demand.select(*schema.names), schema)
+        jobs = tables.read_runs(spark, f"{silver_root}/jobs", schemas.JOBS, "run_id")
+        skills = tables.read_runs(spark, f"{silver_root}/job_skills", schemas.JOB_SKILLS)
+        new_jobs = staged(batch.select("raw_hash", "title_normalized", "country"), "gold-new-jobs")
+        for table in ENTITIES:
+            touched = staged(touched_entities(table, new_jobs, skills), f"{table}-touched")
+            schema = getattr(schemas, table.upper())
+            rows = rebuild(table, jobs, skills, touched).select(*schema.names)
+            tables.upsert_gold(spark, gold_root, table, rows, schema)
 
     return write
+
+
+def start_gold(spark: SparkSession, silver_root: str, gold_root: str, checkpoint: str) -> StreamingQuery:
+    """Refresh the aggregate tables for all postings stored since the last time, then stop."""
+    stored = spark.readStream.schema(schemas.JOBS).parquet(f"{silver_root}/jobs")
+    return (
+        stored.writeStream.foreachBatch(gold_writer(silver_root, gold_root))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

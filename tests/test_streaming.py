@@ -63,22 +63,37 @@ def test_first_seen(spark, landed, tmp_path):
     assert got.count() == got.select("raw_hash").distinct().count() == 4
 
 
-def test_gold_refresh_recomputes_touched_entities_only(spark, tmp_path):
-    gold_root = str(tmp_path / "gold")
-    day = lambda d: date(2024, 1, d)
-    stored = spark.createDataFrame([(day(1), "x", 7, 7.0, 7.0), (day(1), "a", 1, 1.0, 1.0)], schemas.DAILY_ROLE_DEMAND)
-    tables.upsert_gold(spark, gold_root, "daily_role_demand", stored, schemas.DAILY_ROLE_DEMAND)
-    jobs = spark.createDataFrame([("a", "2024-01-01"), ("a", "2024-01-03"), ("a", "2024-01-03"), ("x", "2024-01-09")],
-                                 "title_normalized string, d string").withColumn("posted_at", F.col("d").cast("timestamp_ntz"))
-
-    def daily_of(_, touched):
-        days = gold.daily_role_demand(jobs).select("date", "role", "job_count")
-        return days.join(touched, "role", "left_semi")
-
-    write = sinks.demand_writer(gold_root, "daily_role_demand", "role", daily_of)
-    for _ in range(2):
-        write(spark.createDataFrame([("a",), ("a",)], "role string"), 0)
-    got = tables.current(spark, f"{gold_root}/daily_role_demand", schemas.DAILY_ROLE_DEMAND)
-    assert sorted(tuple(r) for r in got.collect()) == [
-        (day(1), "a", 1, 1.0, 1.0), (day(1), "x", 7, 7.0, 7.0), (day(3), "a", 2, 1.5, 1.5),
-    ]
+def _table(spark, root, name):
+    schema = getattr(schemas, name.upper())
+    return sorted(tuple(r) for r in tables.current(spark, f"{root}/{name}", schema).collect())
+
+
+def test_gold_stream_equals_batch_refresh(spark, landed, tmp_path):
+    silver_root, gold_root, batch_root = (str(tmp_path / n) for n in ("silver", "gold", "batch"))
+    pay = [posting(f"Data engineer {i}", salary_min=100 + i, salary_max=300, country="us", remote=True) for i in range(4)]
+    days = [("2024-03-01", pay), ("2024-03-02", [posting("Data engineer 9", posted_at="2024-02-05", skills_extracted=["go"])])]
+    for day, records in days:
+        land(landed, "adzuna", day, records, name="batch_0009.json")
+        stream = sources.bronze_stream(spark, str(landed))
+        sinks.start_silver(stream, silver_root, str(tmp_path / "cp-silver")).awaitTermination()
+        sinks.start_gold(spark, silver_root, gold_root, str(tmp_path / "cp-gold")).awaitTermination()
+    skills = spark.read.parquet(f"{silver_root}/job_skills")
+    gold.refresh(spark, _jobs(spark, silver_root), skills, batch_root, "2030-01-01")
+    for name in sinks.ENTITIES:
+        got = _table(spark, gold_root, name)
+        assert got == _table(spark, batch_root, name) and got
+    write = sinks.gold_writer(silver_root, gold_root)
+    before = _table(spark, gold_root, "daily_role_demand")
+    write(_jobs(spark, silver_root), 7)  # repeating postings changes nothing
+    assert _table(spark, gold_root, "daily_role_demand") == before
+
+
+def test_gold_stream_leaves_other_entities_alone(spark, landed, tmp_path):
+    silver_root, gold_root = str(tmp_path / "silver"), str(tmp_path / "gold")
+    sinks.start_silver(sources.bronze_stream(spark, str(landed)), silver_root, str(tmp_path / "cp")).awaitTermination()
+    odd = spark.createDataFrame([(date(2020, 1, 1), "Gone", 7, 7.0, 7.0)], schemas.DAILY_ROLE_DEMAND)
+    tables.upsert_gold(spark, gold_root, "daily_role_demand", odd, schemas.DAILY_ROLE_DEMAND)
+    sinks.gold_writer(silver_root, gold_root)(_jobs(spark, silver_root), 0)
+    assert {r[1] for r in _table(spark, gold_root, "daily_role_demand")} == {"Gone", "Other"}
+    with pytest.raises(ValueError):
+        sinks.rebuild("skill_cooccurrence", None, None, None)
