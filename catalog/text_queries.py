@@ -187,16 +187,21 @@ v as (select id, case form when 0 then k * 1000.0 when 1 then k * 1000.0 when 2
 select id, cast(case when a > 100 then a when b > 100 then b end as double) as low,
   cast(case when b > 100 then b end as double) as high from v"""
 
-_DATE_FORMS = {
-    "string": ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy", "yyyy-M-d", "MM-dd-yyyy"),
-    "varchar": ("%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d", "%d/%m/%Y", "%Y-%-m-%-d", "%m-%d-%Y"),
-}
+_DATE_FORMS = (
+    "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d", "%d/%m/%Y", "%Y-%-m-%-d", "%m-%d-%Y",
+)
+_AT = "cast(o_orderdate + o_orderkey * interval '61' second as string)"
+_DATE_PIECES = (
+    f"replace({_AT}, ' ', 'T')", _AT, f"left({_AT}, 10)",
+    f"concat(substr({_AT}, 9, 2), '/', substr({_AT}, 6, 2), '/', left({_AT}, 4))",
+    f"concat_ws('-', left({_AT}, 4), cast(substr({_AT}, 6, 2) as int), cast(substr({_AT}, 9, 2) as int))",
+    f"concat(substr({_AT}, 6, 2), '-', substr({_AT}, 9, 2), '-', left({_AT}, 4))",
+)
 
 
 def _date_text(text: str) -> str:
-    call = "date_format" if text == "string" else "strftime"
-    at = "o_orderdate + o_orderkey * interval '61' second" if text == "string" else "o_orderdate + o_orderkey * interval 61 second"
-    f = [f"{call}({at}, {sq.quote(form)})" for form in _DATE_FORMS[text]]
+    at = "o_orderdate + o_orderkey * interval 61 second"
+    f = _DATE_PIECES if text == "string" else [f"strftime({at}, {sq.quote(form)})" for form in _DATE_FORMS]
     return f"""case o_orderkey % 9 when 0 then concat({f[0]}, '+05:30') when 1 then concat({f[0]}, 'Z')
       when 2 then concat({f[1]}, '.123456') when 3 then {f[2]} when 4 then {f[3]} when 5 then {f[4]}
       when 6 then {f[5]} when 7 then concat(' ', {f[2]}) else '' end"""

@@ -36,11 +36,20 @@ def first_seen(hashed: DataFrame, event_time: str, horizon: str, key: str = "raw
 
 
 def daily_counts(events: DataFrame, event_time: str, entity: str, late: str = "1 day") -> DataFrame:
-    """Postings per day and entity. Counts combine map-side, so a hot entity stays cheap."""
-    timed = events.withColumn(event_time, F.col(event_time).cast("timestamp"))
+    """Postings per day and entity. Counts combine map-side, so a hot entity stays cheap.
+
+    Windows are cut at UTC midnight, so wall-clock time is moved to UTC first
+    and back after: days are the session's days in any zone.
+    """
+    zone = F.current_timezone()
+    timed = events.withColumn(
+        event_time, F.from_utc_timestamp(F.col(event_time).cast("timestamp"), zone)
+    )
     return (
         timed.withWatermark(event_time, late)
         .groupBy(F.window(event_time, "1 day"), F.col(entity))
         .agg(F.count("*").alias("job_count"))
-        .select(F.to_date("window.start").alias("date"), entity, "job_count")
+        .select(
+            F.to_date(F.to_utc_timestamp("window.start", zone)).alias("date"), entity, "job_count"
+        )
     )
