@@ -67,7 +67,7 @@ def _role_years(spark, d):
 _YEARLY = f"""select cast(year(date) as integer) as year, skill, sum(job_count) as total_jobs
 from ({px.skill_demand_sql()}) where date >= date '2000-01-01' group by 1, 2"""
 _SUMS = ", ".join(
-    f"""coalesce(sum(job_count) filter (where role = '{p}'), 0) as "{p}" """ for p in PRIORITIES
+    f"""cast(coalesce(sum(job_count) filter (where role = '{p}'), 0) as bigint) as "{p}" """ for p in PRIORITIES
 )
 
 _OVERVIEW_SQL = f"""with rd as ({px.role_demand_sql()}), sd as ({px.skill_demand_sql()}),

@@ -325,7 +325,7 @@ def _bulk_sql():
       coalesce({_landed_expr("posted_at", "sql")}, '') as posted_at, 'some/docs' as dataset_slug,
       {_case(["2023", "2020", "2022", "2020"], "n_chars % 4")}::integer as dataset_year,
       case when {remote} then 'Remote' when not {remote} then 'On-site' end as work_type,
-      null as experience_level, nullif({jt}, '') as employment_type, null as company_size, 'docs' as dataset_key
+      cast(null as varchar) as experience_level, nullif({jt}, '') as employment_type, cast(null as varchar) as company_size, 'docs' as dataset_key
     from documents where {sq.strip(_TITLE)} <> ''"""
 
 
@@ -378,7 +378,7 @@ _CATEGORY_SQL = "case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v
 _FLOOR = "cast(floor(value) as bigint)"
 _REMOTE = f"""select 'remotive' as source, 'Remotive (remotive.com)' as source_attribution,
   cast(event_id as varchar) as external_id, event_type as title, 'c' || user_id as company, category, 'full_time' as job_type,
-  case when user_id % 2 = 0 then 'USA' else 'Worldwide' end as location, null as country, props as description,
+  case when user_id % 2 = 0 then 'USA' else 'Worldwide' end as location, cast(null as varchar) as country, props as description,
   '$' || k || 'k - $' || k || '500,000' as salary_raw,
   cast(case when k * 1000 > 100 then k * 1000 else cast(k || '500000' as bigint) end as double) as salary_min,
   cast(cast(k || '500000' as bigint) as double) as salary_max, true as remote, '' as url,
