@@ -6,6 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def frequent_only(items: DataFrame, item: str, min_count: int) -> DataFrame:
+    """Rows whose item occurs at least ``min_count`` times.
+
+    A pair is never more frequent than its rarer item, so no pair that reaches
+    ``min_count`` is lost.
+    """
+    frequent = items.groupBy(item).agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_count)
+    return items.join(frequent.select(item), item, "left_semi")
+
+
 def pair_counts(items: DataFrame, owner: str, item: str, a: str, b: str, count_as: str) -> DataFrame:
     """How many owners hold both items of each pair (a < b).
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laborlake.functions.text import currency_code
-from laborlake.operators.pairs import pair_counts
+from laborlake.operators.pairs import frequent_only, pair_counts
 from laborlake.operators.percentiles import exact_percentiles, round_half_up
 from laborlake.operators.trend import on_or_after, on_or_before, trailing_averages
 from laborlake.sources import schemas, tables
@@ -146,9 +146,16 @@ def remote_vs_onsite(jobs: DataFrame, as_of: str | None = None) -> DataFrame:
 
 
 def skill_cooccurrence(
-    job_skills: DataFrame, *, min_count: int = 5, top: int = 1000
+    job_skills: DataFrame, *, min_count: int = 5, top: int = 1000, drop_rare: bool = False
 ) -> DataFrame:
-    """The most frequent skill pairs of one posting; ties in name order."""
+    """The most frequent skill pairs of one posting; ties in name order.
+
+    ``drop_rare`` first leaves out skills too rare for any pair that counts. The
+    result is the same; it pays when skills are free text with a long tail, not
+    for a short lexicon.
+    """
+    if drop_rare:
+        job_skills = frequent_only(job_skills, "skill_name", min_count)
     return (
         pair_counts(job_skills, "job_id", "skill_name", "skill_a", "skill_b", "co_count")
         .filter(F.col("co_count") >= min_count)

@@ -221,10 +221,14 @@ def job_skills(jobs: DataFrame, key: str = "raw_hash") -> DataFrame:
 
 
 def write(batch: SilverBatch, root: str, run_id: str) -> None:
-    """Store a batch. The jobs table comes last: only then does the batch count as stored."""
+    """Store a batch. The jobs table comes last: only then does the batch count as stored.
+
+    Jobs are sorted by date inside each file, so that date ranges skip row groups.
+    """
     for name in ("job_skills", "board_details", "remote_details", "bulk_details", "rejects"):
         tables.write_run(getattr(batch, name), f"{root}/{name}", "run_id", run_id)
-    tables.write_run(batch.jobs, f"{root}/jobs", "run_id", run_id, partition_by=["source"])
+    jobs = batch.jobs.sortWithinPartitions("source", "posted_at")
+    tables.write_run(jobs, f"{root}/jobs", "run_id", run_id, partition_by=["source"])
 
 
 def relabel_currency(jobs: DataFrame, source: str = lx.SOURCE_BOARD) -> DataFrame:

@@ -11,6 +11,7 @@ from laborlake.operators.pairs import pair_counts
 from laborlake.operators.percentiles import exact_percentiles
 from laborlake.operators.trend import trailing_averages
 from laborlake.operators.upsert import merge_upsert
+from laborlake.plans import gold
 
 WANTED = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
 
@@ -99,3 +100,11 @@ def test_merge_is_idempotent_and_key_unique(spark):
     want = {(1, "a"), (2, "B"), (3, "C")}
     assert {tuple(r) for r in merged.collect()} == want
     assert sorted(tuple(r) for r in merge_upsert(merged, new, ["k"]).collect()) == sorted(want)
+
+
+def test_leaving_out_rare_skills_changes_nothing(spark):
+    rng = random.Random(5)
+    rows = [(str(j), s) for j in range(300) for s in {f"s{int(rng.paretovariate(0.7))}" for _ in range(6)}]
+    skills = spark.createDataFrame(rows, "job_id string, skill_name string")
+    full = gold.skill_cooccurrence(skills).collect()
+    assert full and gold.skill_cooccurrence(skills, drop_rare=True).collect() == full
