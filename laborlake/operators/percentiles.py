@@ -41,25 +41,25 @@ def exact_percentiles(
     # One row per bin: bounded by the bins of the value range, not by the rows.
     whole = Window.partitionBy(*groups)
     upto = whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    position = {name: (F.col(count_as) - 1) * F.lit(p) for name, p in probabilities.items()}
+    ranks = {
+        **{f"_{name}_lo": F.floor(at) for name, at in position.items()},
+        **{f"_{name}_hi": F.ceil(at) for name, at in position.items()},
+    }
     bins = (
         counts.groupBy(*groups, "_bin")
         .agg(F.sum("_n").alias("_in_bin"))
         .withColumns({"_upto": F.sum("_in_bin").over(upto), count_as: F.sum("_in_bin").over(whole)})
-        .withColumn("_before", F.col("_upto") - F.col("_in_bin"))
         .filter(F.col(count_as) >= min_count)
+        .withColumns({"_before": F.col("_upto") - F.col("_in_bin"), **ranks})
     )
 
-    def holds(first: Column, end: Column) -> Column:
-        """Does rank range [first, end) hold the lower or upper neighbour of any percentile?"""
-        tests = []
-        for p in probabilities.values():
-            position = (F.col(count_as) - 1) * F.lit(p)
-            for rank in (F.floor(position), F.ceil(position)):
-                tests.append((first <= rank) & (rank < end))
-        return reduce(or_, tests)
+    def holds(rank: str, first: str, end: str) -> Column:
+        return (F.col(first) <= F.col(rank)) & (F.col(rank) < F.col(end))
 
-    wanted = bins.filter(holds(F.col("_before"), F.col("_upto"))).select(
-        *groups, "_bin", "_before", count_as
+    # Bins that hold the lower or upper neighbour of any percentile.
+    wanted = bins.filter(reduce(or_, (holds(r, "_before", "_upto") for r in ranks))).select(
+        *groups, "_bin", "_before", count_as, *ranks
     )
     # Few values are left: those in at most two bins per percentile and group. They are
     # brought together by group once, which serves both the ranking and the result.
@@ -74,29 +74,27 @@ def exact_percentiles(
     ranked = (
         counts.alias("c")
         .join(wanted.alias("w"), same_bin)
-        .select(*[f"c.{g}" for g in groups], "c._bin", f"c.{value}", "c._n", "w._before", f"w.{count_as}")
+        .select(
+            *[f"c.{g}" for g in groups], "c._bin", f"c.{value}", "c._n",
+            "w._before", f"w.{count_as}", *[f"w.{r}" for r in ranks],
+        )
         .repartition(*groups)
         .withColumn("_end", F.col("_before") + F.sum("_n").over(in_bin))
         .withColumn("_start", F.col("_end") - F.col("_n"))
     )
+    picked = ranked.groupBy(*groups).agg(
+        F.max(count_as).alias(count_as),
+        *[F.max(F.when(holds(r, "_start", "_end"), F.col(value))).alias(r) for r in ranks],
+    )
 
-    picks = []
-    for name, p in probabilities.items():
-        position = (F.col(count_as) - 1) * F.lit(p)
-        for side, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            at_rank = (F.col("_start") <= rank) & (rank < F.col("_end"))
-            picks.append(F.max(F.when(at_rank, F.col(value))).alias(f"_{name}_{side}"))
-    out = ranked.groupBy(*groups).agg(F.max(count_as).alias(count_as), *picks)
-
-    def interpolated(name: str, p: float) -> Column:
-        position = (F.col(count_as) - 1) * F.lit(p)
-        low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        return low + (high - low) * (position - F.floor(position))
+    def interpolated(name: str) -> Column:
+        low, high, at = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), position[name]
+        return low + (high - low) * (at - F.floor(at))
 
-    return out.select(
+    return picked.select(
         *groups,
         count_as,
-        *[round_half_up(interpolated(n, p), decimals).alias(n) for n, p in probabilities.items()],
+        *[round_half_up(interpolated(name), decimals).alias(name) for name in probabilities],
     )
 
 
