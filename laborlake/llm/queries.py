@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laborlake.llm import mixing
+from laborlake.llm import chat, mixing
 from laborlake.llm.columns import table
 
 
@@ -44,7 +44,48 @@ counted AS (SELECT *, (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELS
 SELECT doc_id, size, source_size, target, copies * size AS taken, source, rate, copies FROM counted
 """
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
+    )
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    back = chat.read_back(chat.examples(given.unionByName(more)))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("losses", "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        F.col("formatted_chars").cast("long").alias("formatted_chars"),
+        F.size("losses").cast("long").alias("n_targets"),
+    )
+
+
+OP2_SQL = r"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+told AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS k,
+         length('<|turn|>' || url_encode(role) || chr(10) || '<|end|>' || chr(10)) + length(text)
+         + len(regexp_extract_all(text, '[<\[]\\*(\|turn\|>|\|end\|>|/?s>|/?INST\]|/?SYS>>|\|im_start\|>|\|im_end\|>|\|endoftext\|>)')) AS chars
+  FROM given),
+grown AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY k) AS prefix, max(k) OVER (PARTITION BY conv_id) AS n FROM told)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (sum(prefix) FILTER (role = 'assistant' OR k = n))::BIGINT AS formatted_chars,
+       (count(*) FILTER (role = 'assistant'))::BIGINT AS n_targets
+FROM grown GROUP BY conv_id
+"""
+
 #: Name -> (query, checking SQL or None).
 QUERIES = {
     "op1_mixing": (op1_mixing, OP1_SQL),
+    "op2_chat_format": (op2_chat_format, OP2_SQL),
 }
