@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laborlake.llm import chat, mixing
+from laborlake.llm import chat, mixing, rules
 from laborlake.llm.columns import table
 
 
@@ -84,8 +84,16 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM grown GROUP BY conv_id
 """
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
+    )
+
+
 #: Name -> (query, checking SQL or None).
 QUERIES = {
     "op1_mixing": (op1_mixing, OP1_SQL),
     "op2_chat_format": (op2_chat_format, OP2_SQL),
+    "op6_quality_rules": (op6_quality_rules, None),
 }
