@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laborlake.llm import chat, mixing, rules
+from laborlake.llm import chat, mixing, rules, substrings
 from laborlake.llm.columns import table
 
 
@@ -91,9 +91,34 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH told AS (
+  SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (
+  SELECT r, i, hash(list_slice(w, i, i + 34)) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM told)),
+often AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT r, i FROM windows SEMI JOIN often USING (h)),
+covered AS (
+  SELECT r, sum(least(35, i - coalesce(before, i - 35)))::BIGINT AS n
+  FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM hit) GROUP BY r),
+gone AS (SELECT DISTINCT r, i + o AS i FROM hit, unnest(range(0, 35)) AS t(o)),
+kept AS (
+  SELECT t.r, string_agg(word, ' ' ORDER BY t.i) AS words
+  FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM told) t ANTI JOIN gone g ON t.r = g.r AND t.i = g.i
+  GROUP BY t.r)
+SELECT t.doc_id, len(t.w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.words, '')) AS kept_sha256
+FROM told t LEFT JOIN covered c ON t.r = c.r LEFT JOIN kept k ON t.r = k.r
+"""
+
 #: Name -> (query, checking SQL or None).
 QUERIES = {
     "op1_mixing": (op1_mixing, OP1_SQL),
     "op2_chat_format": (op2_chat_format, OP2_SQL),
     "op6_quality_rules": (op6_quality_rules, None),
+    "op7_substring_dedup": (op7_substring_dedup, OP7_SQL),
 }
