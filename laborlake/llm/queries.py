@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laborlake.llm import chat, mixing, rules, substrings
+from laborlake.llm import chat, decontaminate, mixing, rules, substrings
 from laborlake.llm.columns import table
 
 
@@ -115,10 +115,16 @@ SELECT t.doc_id, len(t.w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_remo
 FROM told t LEFT JOIN covered c ON t.r = c.r LEFT JOIN kept k ON t.r = k.r
 """
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_ids", "coverage", "tiles")
+
+
 #: Name -> (query, checking SQL or None).
 QUERIES = {
     "op1_mixing": (op1_mixing, OP1_SQL),
     "op2_chat_format": (op2_chat_format, OP2_SQL),
     "op6_quality_rules": (op6_quality_rules, None),
     "op7_substring_dedup": (op7_substring_dedup, OP7_SQL),
+    "op9_decontamination": (op9_decontamination, None),
 }
