@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laborlake.llm import chat, decontaminate, mixing, rules, substrings
+from laborlake.llm import chat, decontaminate, mixing, near_duplicates, rules, substrings
 from laborlake.llm.columns import table
 
 
@@ -120,6 +120,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_ids", "coverage", "tiles")
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = near_duplicates.classes(docs)
+    # One row per document, repeated rows of the table included.
+    return found.select("doc_id", "class_id", "n_links", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).drop("copy")
+
+
 #: Name -> (query, checking SQL or None).
 QUERIES = {
     "op1_mixing": (op1_mixing, OP1_SQL),
@@ -127,4 +134,5 @@ QUERIES = {
     "op6_quality_rules": (op6_quality_rules, None),
     "op7_substring_dedup": (op7_substring_dedup, OP7_SQL),
     "op9_decontamination": (op9_decontamination, None),
+    "op10_near_duplicates": (op10_near_duplicates, None),
 }
