@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laborlake.llm import chat, decontaminate, mixing, near_duplicates, rules, substrings
-from laborlake.llm.columns import table
+from laborlake.llm import chat, decontaminate, mixing, near_duplicates, quality_pu, rules, substrings
+from laborlake.llm.columns import fold, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +127,16 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_links", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).drop("copy")
 
 
+def _predicted(scored: DataFrame, threshold: float) -> DataFrame:
+    held = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_pu.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return _predicted(scored, 0.3)
+
+
 #: Name -> (query, checking SQL or None).
 QUERIES = {
     "op1_mixing": (op1_mixing, OP1_SQL),
@@ -134,5 +144,6 @@ QUERIES = {
     "op6_quality_rules": (op6_quality_rules, None),
     "op7_substring_dedup": (op7_substring_dedup, OP7_SQL),
     "op9_decontamination": (op9_decontamination, None),
+    "op8_quality_classifier": (op8_quality_classifier, None),
     "op10_near_duplicates": (op10_near_duplicates, None),
 }

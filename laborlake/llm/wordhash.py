@@ -50,13 +50,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Words of consecutive texts: byte spans in ``data``, hashes, and each text's first word (``offsets``, one more than texts)."""
+    """Words of consecutive texts: byte spans in ``data``, hashes, each text's first word and first byte (``offsets``
+    and ``bounds``, one more than texts)."""
 
     data: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     hashes: np.ndarray
     offsets: np.ndarray
+    bounds: np.ndarray
 
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
@@ -82,7 +84,7 @@ def cut(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray = SPACES) -
     sums = np.zeros(size + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:size], out=sums[1:])
     hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return Words(data, starts, ends, hashes, np.searchsorted(starts, bounds))
+    return Words(data, starts, ends, hashes, np.searchsorted(starts, bounds), bounds)
 
 
 def chunks(column: pa.Array, separators: np.ndarray = SPACES) -> Iterator[tuple[int, int, Words]]:
