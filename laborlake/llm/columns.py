@@ -26,14 +26,15 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string")) % n
 
 
+#: Largest table of labels, in rows, that is handed to each task whole (about 16 bytes a row).
+BROADCAST_LABELS = 1_000_000
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """``docs`` rows with a 0/1 column ``label`` where ``labels`` has one for the id; repeated labels of an id agree on the larger.
 
-    Labels are narrow, so the join moves only the columns of ``docs`` that are selected before it.
+    Up to ``BROADCAST_LABELS`` labels go to the documents, so that no text moves; more are joined by a shuffle.
     """
-    known = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-        .groupBy("doc_id")
-        .agg(F.max(F.col(label).cast("int")).alias("label"))
-    )
-    return docs.join(known, "doc_id")
+    labels = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+    known = labels.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+    return docs.join(F.broadcast(known) if labels.count() <= BROADCAST_LABELS else known, "doc_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laborlake.llm import chat, decontaminate, mixing, near_duplicates, quality_pu, rules, substrings
+from laborlake.llm import chat, decontaminate, mixing, near_duplicates, quality_pu, rules, substrings, toxicity
 from laborlake.llm.columns import fold, table
 
 
@@ -132,6 +132,10 @@ def _predicted(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _predicted(toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.5)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_pu.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return _predicted(scored, 0.3)
@@ -141,6 +145,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": (op1_mixing, OP1_SQL),
     "op2_chat_format": (op2_chat_format, OP2_SQL),
+    "op3_toxicity": (op3_toxicity, None),
     "op6_quality_rules": (op6_quality_rules, None),
     "op7_substring_dedup": (op7_substring_dedup, OP7_SQL),
     "op9_decontamination": (op9_decontamination, None),
