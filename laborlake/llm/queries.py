@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laborlake.llm import chat, decontaminate, mixing, near_duplicates, quality_pu, rules, substrings, toxicity
+from laborlake.llm import chat, decontaminate, language_crf, mixing, near_duplicates, quality_pu, rules, substrings, toxicity
 from laborlake.llm.columns import fold, table
 
 
@@ -136,6 +136,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.5)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    field = language_crf.train(docs.where(~held))
+    return language_crf.predict(docs, field).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_pu.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return _predicted(scored, 0.3)
@@ -146,6 +153,7 @@ QUERIES = {
     "op1_mixing": (op1_mixing, OP1_SQL),
     "op2_chat_format": (op2_chat_format, OP2_SQL),
     "op3_toxicity": (op3_toxicity, None),
+    "op4_language": (op4_language, None),
     "op6_quality_rules": (op6_quality_rules, None),
     "op7_substring_dedup": (op7_substring_dedup, OP7_SQL),
     "op9_decontamination": (op9_decontamination, None),
