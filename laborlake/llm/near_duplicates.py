@@ -5,10 +5,13 @@
    ``KEPT`` labelled shingles with the smallest values are put in text order and hashed: one bucket. Two texts share
    a bucket only if they agree in these shingles and in their order. At a similarity of 0.8 one bucket is shared with
    a probability of about 0.8^4, so all 20 are missed by about 3 in 100,000.
-2. Buckets are worked on in rounds, so that a group of thousands of near copies never makes all its pairs. A round takes
-   one member per bucket and component known so far and compares each with one of them; components grow by what holds.
-   The first round looks at a few sketches, the second at all. The last compares, in every bucket that still holds
-   several components, all members across components, so no candidate of different components is left out.
+2. Buckets are worked on in rounds, so that a group of thousands of near copies never makes all its pairs. First each
+   bucket's texts are compared with its most central one, that whose buckets hold most texts: where copies were made
+   by editing one text, that is the text itself. Then, twice, one member of each component known so far is compared with
+   one of another, both drawn by hash. Last, in buckets of up to ``FEW`` texts that still hold several components, all
+   are compared across components. In fuller buckets, texts that stay apart were all below the threshold to the
+   central text and to the drawn ones; comparing all of them would be quadratic. A link there counts as found if its
+   texts meet in a class by any of the comparisons of their about eight common buckets.
 3. A pair holds if the longest chain of equal labelled shingles in the same order in both texts, within the band
    that such a chain can reach at all, is ``LEAST`` of the shingles of both together or more: ordered shingle
    similarity. Chains are found by sparse dynamic programming over the matches in the band.
@@ -36,8 +39,8 @@ from laborlake.llm import wordhash
 from laborlake.sources.staging import staged
 
 SHINGLE, KEPT, SKETCHES, LEAST = 5, 4, 20, 0.8
-#: Sketches of the first round.
-FIRST = 3
+#: Texts of a bucket up to which all are compared, and rounds with drawn members.
+FEW, DRAWN = 32, 2
 _SEEDS = wordhash.mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS = wordhash.mixed(_SEEDS) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -179,21 +182,25 @@ class _Search:
         self.nodes = staged(
             with_sketch.groupBy("node").agg(*[F.first(c).alias(c) for c in ("row", "doc_id")]), "near-nodes"
         )
-        buckets = with_sketch.select("node", F.posexplode("sketch").alias("k", "bucket")).groupBy("node", "k", "bucket").agg(F.lit(1).alias("one"))
-        members = buckets.select("node", "k", "bucket")
-        often = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-        members = staged(members, "near-members-all")
-        self.members = staged(members.join(staged(often, "near-often"), "bucket"), "near-members")
+        members = with_sketch.select("node", F.explode("sketch").alias("bucket")).groupBy("node", "bucket").agg(F.count("*").alias("_n"))
+        members = staged(members.select("node", "bucket"), "near-buckets")
+        full = staged(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "near-full")
+        members = staged(members.join(full, "bucket"), "near-shared")
+        central = staged(members.groupBy("node").agg(F.sum("n").alias("w")), "near-central")
+        self.members = staged(members.select("node", "bucket").join(central, "node"), "near-members")
         self.done: DataFrame | None = None
         self.links: DataFrame | None = None
         self.shingles: DataFrame | None = None
 
-    def placed(self, parts: DataFrame | None) -> DataFrame:
-        if parts is None:
-            return self.members.withColumn("component", F.col("node"))
+    def placed(self, parts: DataFrame) -> DataFrame:
         found = self.members.join(parts, "node", "left")
         return found.withColumn("component", F.coalesce("component", "node"))
 
+    def central(self) -> DataFrame:
+        """Per bucket its texts beside the most central one."""
+        lead = staged(self.members.groupBy("bucket").agg(F.max(F.struct("w", "node")).alias("x")).select("bucket", F.col("x.node").alias("lead")), "near-lead")
+        return self.members.join(lead, "bucket").where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v"))
+
     def star(self, placed: DataFrame, seed: int) -> DataFrame:
         """Per bucket with several components: a member of each, beside one of them for all."""
         one = staged(
@@ -206,11 +213,13 @@ class _Search:
         return one.join(lead, "bucket").where("o <> lead").select(node("o").alias("u"), node("lead").alias("v"))
 
     def across(self, placed: DataFrame) -> DataFrame:
-        """All pairs of members of different components of a bucket."""
+        """All pairs of members of different components, in buckets of up to ``FEW`` texts."""
         placed = staged(placed.select("bucket", "node", "component"), "near-placed")
         kinds = staged(placed.groupBy("bucket", "component").agg(F.count("*").alias("n")), "near-kinds")
         mixed = staged(
-            kinds.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "near-mixed"
+            kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
+            .where((F.col("kinds") > 1) & (F.col("n") <= FEW)).select("bucket"),
+            "near-mixed",
         )
         kinds = staged(kinds.join(mixed, "bucket").select("bucket", "component"), "near-kinds")
         some = staged(placed.join(mixed, "bucket"), "near-some")
@@ -246,9 +255,10 @@ class _Search:
 
 def links_and_components(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     search = _Search(docs, sketched)
-    search.check(search.star(search.placed(None).where(F.col("k") < FIRST), 1))
-    parts = staged(components(search.links), "near-parts")
-    search.check(search.star(search.placed(parts), 2))
+    search.check(search.central())
+    for seed in range(1, DRAWN + 1):
+        parts = staged(components(search.links), "near-parts")
+        search.check(search.star(search.placed(parts), int(_SEEDS[seed].view(np.int64))))
     parts = staged(components(search.links), "near-parts")
     search.check(search.across(search.placed(parts)))
     return search.links, staged(components(search.links), "near-parts")
