@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laborlake.llm import chat, decontaminate, language_crf, mixing, near_duplicates, quality_pu, rules, substrings, toxicity
+from laborlake.llm import chat, decontaminate, language_crf, mixing, near_duplicates, pii, quality_pu, rules, substrings, toxicity
 from laborlake.llm.columns import fold, table
 
 
@@ -143,6 +143,18 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_crf.predict(docs, field).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", _is_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.as_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.as_text(F.col("all")).alias("spans")
+    )
+
+
+def _is_kind(kind: str):
+    return lambda s: s["kind"] == kind
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_pu.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return _predicted(scored, 0.3)
@@ -154,6 +166,7 @@ QUERIES = {
     "op2_chat_format": (op2_chat_format, OP2_SQL),
     "op3_toxicity": (op3_toxicity, None),
     "op4_language": (op4_language, None),
+    "op5_pii": (op5_pii, None),
     "op6_quality_rules": (op6_quality_rules, None),
     "op7_substring_dedup": (op7_substring_dedup, OP7_SQL),
     "op9_decontamination": (op9_decontamination, None),
