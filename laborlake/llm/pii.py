@@ -252,15 +252,18 @@ def redacted(text: Column, spans_: Column) -> Column:
     return F.when(F.size(spans_) > 0, done).otherwise(text)
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced, all other columns and rows as they are.
-
-    Only rows with spans meet their spans in a join; a text's own length column is left alone.
-    """
+def redact(docs: DataFrame, length: str | None = None) -> DataFrame:
+    """``docs`` with personal data in ``text`` replaced, all other columns and rows as they are; a column ``length`` follows
+    the texts that change."""
     found = spans(docs).where(F.size("all") > 0).select("row", "doc_id", "all").dropDuplicates(["row", "doc_id"])
     found = staged(found, "pii-found")
     same = (F.col("d._row") == F.col("f.row")) & F.col("d.doc_id").eqNullSafe(F.col("f.doc_id"))
     joined = docs.withColumn("_row", row_key()).alias("d").join(found.alias("f"), same, "left")
     spans_ = F.coalesce(F.col("f.all"), F.array().cast(f"array<{SPAN}>"))
     out = joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], spans_.alias("_spans"))
-    return out.select(*[redacted(F.col("text"), F.col("_spans")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    masked = out.withColumn("_masked", redacted(F.col("text"), F.col("_spans")))
+    new = {"text": F.col("_masked")}
+    if length:
+        kind = docs.schema[length].dataType
+        new[length] = F.when(F.size("_spans") > 0, F.length("_masked").cast(kind)).otherwise(F.col(f"`{length}`"))
+    return masked.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
