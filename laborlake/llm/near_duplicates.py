@@ -7,9 +7,9 @@
    a probability of about 0.8^4, so all 20 are missed by about 3 in 100,000.
 2. Buckets are worked on in rounds, so that a group of thousands of near copies never makes all its pairs. First each
    bucket's texts are compared with its most central one, that whose buckets hold most texts: where copies were made
-   by editing one text, that is the text itself. Then, twice, one member of each component known so far is compared with
-   one of another, both drawn by hash. Last, in buckets of up to ``FEW`` texts that still hold several components, all
-   are compared across components. In fuller buckets, texts that stay apart were all below the threshold to the
+   by editing one text, that is the text itself. Then, in buckets that hold several of the components found, one member of
+   each is compared with one of another, ``DRAWN`` times, all drawn by hash; in buckets of up to ``FEW`` texts, all are compared
+   across components. In fuller buckets, texts that stay apart were all below the threshold to the
    central text and to the drawn ones; comparing all of them would be quadratic. A link there counts as found if its
    texts meet in a class by any of the comparisons of their about eight common buckets.
 3. A pair holds if the longest chain of equal labelled shingles in the same order in both texts, within the band
@@ -39,7 +39,7 @@ from laborlake.llm import wordhash
 from laborlake.sources.staging import staged
 
 SHINGLE, KEPT, SKETCHES, LEAST = 5, 4, 20, 0.8
-#: Texts of a bucket up to which all are compared, and rounds with drawn members.
+#: Texts of a bucket up to which all are compared, and how often members are drawn.
 FEW, DRAWN = 32, 2
 _SEEDS = wordhash.mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS = wordhash.mixed(_SEEDS) | np.uint64(1)
@@ -149,24 +149,20 @@ def _both_ways(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of all nodes of ``links`` (u, v); a component is named by its smallest node."""
-    edges = staged(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "near-edges")
+    edges, mark = staged(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "near-edges"), None
     while True:
-        around = staged(_both_ways(edges), "near-around")
+        around = _both_ways(edges)
         least = staged(around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "near-least")
         # Large star: larger neighbours to the least one around.
-        large = staged(
-            around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "near-large"
-        )
+        large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = staged(large, "near-large")
         least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "near-least")
         # Small star: smaller neighbours, and the node itself, to the least of them.
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        small = staged(small.where("u <> v").distinct(), "near-edges")
-        marks = [
-            e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first() for e in (edges, small)
-        ]
-        edges = small
-        if marks[0] == marks[1]:
+        edges = staged(small.where("u <> v").distinct(), "near-edges")
+        before, mark = mark, edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
+        if before == mark:
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component"))
@@ -177,20 +173,21 @@ class _Search:
     """The candidate rounds over one table of sketched documents."""
 
     def __init__(self, docs: DataFrame, sketched: DataFrame) -> None:
-        self.texts = docs.select(row_key().alias("row"), "doc_id", "text")
         with_sketch = sketched.where("sketch is not null")
-        self.nodes = staged(
-            with_sketch.groupBy("node").agg(*[F.first(c).alias(c) for c in ("row", "doc_id")]), "near-nodes"
-        )
         members = with_sketch.select("node", F.explode("sketch").alias("bucket")).groupBy("node", "bucket").agg(F.count("*").alias("_n"))
         members = staged(members.select("node", "bucket"), "near-buckets")
         full = staged(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "near-full")
         members = staged(members.join(full, "bucket"), "near-shared")
         central = staged(members.groupBy("node").agg(F.sum("n").alias("w")), "near-central")
         self.members = staged(members.select("node", "bucket").join(central, "node"), "near-members")
+        # Shingles of every node that shares a bucket: the one time that texts move. The plan is the same at every size.
+        wanted = with_sketch.join(central.select("node"), "node").groupBy("node").agg(*[F.first(c).alias(c) for c in ("row", "doc_id")])
+        same = (F.col("t.row") == F.col("w.row")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))
+        texts = docs.select(row_key().alias("row"), "doc_id", "text").alias("t").hint("merge")
+        fetched = texts.join(wanted.alias("w"), same).select("w.node", F.lower("t.text").alias("text"))
+        self.shingles = staged(fetched.mapInArrow(_shingled, "node bigint, shingles binary"), "near-shingles").dropDuplicates(["node"])
         self.done: DataFrame | None = None
         self.links: DataFrame | None = None
-        self.shingles: DataFrame | None = None
 
     def placed(self, parts: DataFrame) -> DataFrame:
         found = self.members.join(parts, "node", "left")
@@ -214,7 +211,6 @@ class _Search:
 
     def across(self, placed: DataFrame) -> DataFrame:
         """All pairs of members of different components, in buckets of up to ``FEW`` texts."""
-        placed = staged(placed.select("bucket", "node", "component"), "near-placed")
         kinds = staged(placed.groupBy("bucket", "component").agg(F.count("*").alias("n")), "near-kinds")
         mixed = staged(
             kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
@@ -235,17 +231,8 @@ class _Search:
         if self.done is not None:
             pairs = pairs.join(self.done, ["u", "v"], "left_anti")
         pairs = staged(pairs, "near-pairs")
-        wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-        if self.shingles is not None:
-            wanted = wanted.join(self.shingles.select("node"), "node", "left_anti")
-        wanted = staged(wanted.join(self.nodes, "node"), "near-wanted")
-        same = (F.col("t.row") == F.col("w.row")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))
-        fetched = self.texts.alias("t").join(wanted.alias("w"), same).select("w.node", F.lower("t.text").alias("text"))
-        fetched = fetched.mapInArrow(_shingled, "node bigint, shingles binary").dropDuplicates(["node"])
-        fetched = staged(fetched, "near-shingles")
-        self.shingles = fetched if self.shingles is None else self.shingles.unionByName(fetched)
-        left = self.shingles.select(F.col("node").alias("u"), F.col("shingles").alias("left_shingles"))
-        right = self.shingles.select(F.col("node").alias("v"), F.col("shingles").alias("right_shingles"))
+        left = self.shingles.select(F.col("node").alias("u"), F.col("shingles").alias("left_shingles")).hint("merge")
+        right = self.shingles.select(F.col("node").alias("v"), F.col("shingles").alias("right_shingles")).hint("merge")
         checked = pairs.join(left, "u").join(right, "v").select("u", "v", "left_shingles", "right_shingles")
         checked = staged(checked.mapInArrow(_verified, "u bigint, v bigint, holds boolean"), "near-checked")
         seen, found = checked.select("u", "v"), checked.where("holds").select("u", "v")
@@ -256,11 +243,11 @@ class _Search:
 def links_and_components(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     search = _Search(docs, sketched)
     search.check(search.central())
-    for seed in range(1, DRAWN + 1):
-        parts = staged(components(search.links), "near-parts")
-        search.check(search.star(search.placed(parts), int(_SEEDS[seed].view(np.int64))))
-    parts = staged(components(search.links), "near-parts")
-    search.check(search.across(search.placed(parts)))
+    placed = staged(search.placed(staged(components(search.links), "near-parts")), "near-placed")
+    pairs = search.across(placed)
+    for seed in range(DRAWN):
+        pairs = pairs.unionByName(search.star(placed, int(_SEEDS[seed].view(np.int64))))
+    search.check(pairs)
     return search.links, staged(components(search.links), "near-parts")
 
 
@@ -294,15 +281,15 @@ def classes(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` per class: that with the smallest doc_id, with its columns."""
     found = classes(docs)
-    keyed = docs.withColumn("_row", row_key())
+    keyed = docs.withColumn("__row", row_key())
     drop = staged(found.where(~F.col("first")).select("row", "doc_id"), "near-drop")
     many = staged(found.where("first and times > 1").select("row", "doc_id"), "near-many")
 
     def same(name: str):
-        return (F.col("d._row") == F.col(f"{name}.row")) & F.col("d.doc_id").eqNullSafe(F.col(f"{name}.doc_id"))
+        return (F.col("d.__row") == F.col(f"{name}.row")) & F.col("d.doc_id").eqNullSafe(F.col(f"{name}.doc_id"))
 
     columns = [F.col(f"`{c}`") for c in docs.columns]
     kept = keyed.alias("d").join(drop.alias("x"), same("x"), "left_anti")
     lone = kept.alias("d").join(many.alias("m"), same("m"), "left_anti").select(*columns)
-    alike = kept.alias("d").join(many.alias("m"), same("m"), "left_semi").dropDuplicates(["doc_id", "_row"]).select(*columns)
+    alike = kept.alias("d").join(many.alias("m"), same("m"), "left_semi").dropDuplicates(["doc_id", "__row"]).select(*columns)
     return lone.unionByName(alike)
