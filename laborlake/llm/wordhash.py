@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 #: Separators by byte: ASCII white space; and everything in ASCII but letters and digits.
