@@ -36,10 +36,13 @@ PATTERNS = {
 }
 #: What a text must contain to be matched at all.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
-INSTANCE = r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*"
+# A whole word with a digit or @; looked for at word starts only.
+INSTANCE = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\x0D]++"
 LEAST_SEEDS, LEAST_CONFIDENCE, LEAST_SCORE, ROUNDS = 5, 0.8, 0.8, 3
 #: Characters of text looked at for the words around an instance.
 AROUND = 64
+#: Matches gathered at once.
+BLOCK = 256
 LOCATED = "array<struct<start:int,end:int,value:string,before:string,behind:string>>"
 SPAN = "struct<nr:int,start:int,end:int,kind:string>"
 
@@ -79,7 +82,7 @@ def holds(kind: str, value: Column) -> Column:
 def _located(values: Column, pieces: Column) -> Column:
     """start, end, value and the text before and behind of each match, from the matches and the pieces between them."""
     none = F.array().cast(LOCATED)
-    first = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    n = F.size(values)
 
     def grown(a: Column, i: Column) -> Column:
         piece, value = F.element_at(pieces, i), F.element_at(values, i)
@@ -91,7 +94,15 @@ def _located(values: Column, pieces: Column) -> Column:
         )
         return F.struct(end.alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
 
-    return F.when(F.size(values) > 0, F.aggregate(F.sequence(F.lit(1), F.size(values)), first, grown)["out"]).otherwise(none)
+    # Appending copies an array, so matches are gathered in blocks.
+    def block(done: Column, b: Column) -> Column:
+        first = F.struct(F.element_at(done, -1)["at"].alias("at"), none.alias("out"))
+        inner = F.aggregate(F.sequence(b * BLOCK + 1, F.least(n, (b + 1) * BLOCK)), first, grown)
+        return F.concat(done, F.array(inner))
+
+    start = F.array(F.struct(F.lit(0).alias("at"), none.alias("out")))
+    blocks = F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), start, block)
+    return F.when(n > 0, F.flatten(F.transform(blocks, lambda x: x["out"]))).otherwise(none)
 
 
 def matched(docs: DataFrame, keep: list[str], patterns: dict[str, tuple[str, str]]) -> DataFrame:
@@ -257,8 +268,8 @@ def redact(docs: DataFrame, length: str | None = None) -> DataFrame:
     the texts that change."""
     found = spans(docs).where(F.size("all") > 0).select("row", "doc_id", "all").dropDuplicates(["row", "doc_id"])
     found = staged(found, "pii-found")
-    same = (F.col("d._row") == F.col("f.row")) & F.col("d.doc_id").eqNullSafe(F.col("f.doc_id"))
-    joined = docs.withColumn("_row", row_key()).alias("d").join(found.alias("f"), same, "left")
+    same = (F.col("d.__row") == F.col("f.row")) & F.col("d.doc_id").eqNullSafe(F.col("f.doc_id"))
+    joined = docs.withColumn("__row", row_key()).alias("d").join(found.alias("f"), same, "left")
     spans_ = F.coalesce(F.col("f.all"), F.array().cast(f"array<{SPAN}>"))
     out = joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], spans_.alias("_spans"))
     masked = out.withColumn("_masked", redacted(F.col("text"), F.col("_spans")))
