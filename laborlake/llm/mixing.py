@@ -81,11 +81,11 @@ def with_rates(docs: DataFrame, rates: DataFrame) -> DataFrame:
     by a shuffle in which a source's rows are dealt over ``SALTS`` keys.
     """
     if rates.count() <= BROADCAST_SOURCES:
-        return docs.join(F.broadcast(rates.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    dealt = docs.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-    spread = rates.withColumnRenamed("source", "_source").withColumn("_salted", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    same = (F.col("_salt") == F.col("_salted")) & F.col("source").eqNullSafe(F.col("_source"))
-    return dealt.join(spread, same).drop("_source", "_salt", "_salted")
+        return docs.join(F.broadcast(rates.withColumnRenamed("source", "__source")), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    dealt = docs.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    spread = rates.withColumnRenamed("source", "__source").withColumn("__salted", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = (F.col("__salt") == F.col("__salted")) & F.col("source").eqNullSafe(F.col("__source"))
+    return dealt.join(spread, same).drop("__source", "__salt", "__salted")
 
 
 def copies(docs: DataFrame, seed: str = "mix", **shares) -> DataFrame:
@@ -94,26 +94,26 @@ def copies(docs: DataFrame, seed: str = "mix", **shares) -> DataFrame:
     Texts are measured once; the narrow rows are written, so that the second pass doesn't read them again.
     """
     narrow = docs.select(
-        "doc_id", "source", columns.n_words(F.col("text")).alias("size"), drawn(seed, F.col("doc_id"), F.col("text")).alias("_drawn")
+        "doc_id", "source", columns.n_words(F.col("text")).alias("size"), drawn(seed, F.col("doc_id"), F.col("text")).alias("__drawn")
     )
     sizes = staged(narrow, "mix-sizes")
     rates = staged(source_rates(sizes, **shares), "mix-rates")
     whole = F.floor("rate")
-    more = F.when(F.col("_drawn") < F.col("rate") - whole, 1).otherwise(0)
-    return with_rates(sizes, rates).withColumn("copies", (whole + more).cast("long")).drop("_drawn")
+    more = F.when(F.col("__drawn") < F.col("rate") - whole, 1).otherwise(0)
+    return with_rates(sizes, rates).withColumn("copies", (whole + more).cast("long")).drop("__drawn")
 
 
 def mix(docs: DataFrame, seed: str = "mix", **shares) -> DataFrame:
     """Every row of ``docs`` as often as the mix takes it, with ``copy`` numbered from 1 (replacing a column of that name)."""
     sizes = docs.select("source", columns.n_words(F.col("text")).alias("size"))
-    rates = staged(source_rates(sizes, **shares), "mix-rates").select("source", F.col("rate").alias("_rate"))
-    whole = F.floor("_rate")
-    more = F.when(drawn(seed, F.col("doc_id"), F.col("text")) < F.col("_rate") - whole, 1).otherwise(0)
+    rates = staged(source_rates(sizes, **shares), "mix-rates").select("source", F.col("rate").alias("__rate"))
+    whole = F.floor("__rate")
+    more = F.when(drawn(seed, F.col("doc_id"), F.col("text")) < F.col("__rate") - whole, 1).otherwise(0)
     times = (whole + more).cast("int")
     return (
         with_rates(docs, rates)
-        .withColumn("_times", times)
-        .where("_times > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+        .withColumn("__times", times)
+        .where("__times > 0")
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
         .select(*[c for c in docs.columns if c != "copy"], "copy")
     )
