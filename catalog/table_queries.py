@@ -95,7 +95,7 @@ _CLEANED = f"""select * exclude (low, high), low as salary_min,
   case when high < low then low else high end as salary_max
 from (select doc_id, source, external_id, coalesce({sq.strip("title")}, '') as title, title_normalized_hint,
     coalesce({sq.strip("company")}, '') as company, coalesce({sq.strip("location")}, '') as location, country,
-    substring(coalesce({sq.strip("description")}, ''), 1, 5000) as description,
+    coalesce({sq.strip("description")}, '') as description,
     {sq.money("salary_min")} as low, {sq.money("salary_max")} as high,
     {sq.boolean("remote", lx.TRUE_WIDE, lx.FALSE_WIDE)} as remote, skills_extracted,
     coalesce(posted_at, first_seen) as posted_at, category, contract_type, job_type, salary_raw, url,
@@ -319,7 +319,7 @@ def _bulk_sql():
     single = "cast(n_chars as double) * 1000"
     return f"""select 'kaggle' as source, cast(doc_id as varchar) as external_id, {sq.strip(_TITLE)} as title,
       '' as title_normalized_hint, {sq.strip("source")} as company, coalesce({sq.strip(_PLACE)}, '') as location,
-      nullif({sq.strip("lang")}, '') as country, left({sq.strip("text")}, 3000) as description,
+      nullif({sq.strip("lang")}, '') as country, {sq.strip("text")} as description,
       coalesce({sq.money_k(_landed_expr("salary_min", "sql"))}, {single}) as salary_min, {single} as salary_max,
       {remote} as remote, {_case(["a,b", "x,y", "solo", ""], "n_chars % 4")} as skills_extracted,
       coalesce({_landed_expr("posted_at", "sql")}, '') as posted_at, 'some/docs' as dataset_slug,

@@ -51,7 +51,7 @@ def bulk_envelope(rows: DataFrame, dataset_key: str, slug: str, year: int | None
         get("company").alias("company"),
         get("location").alias("location"),
         parse.null_if_empty(F.substring(get("country"), 1, 100)).alias("country"),
-        F.substring(get("description"), 1, 3000).alias("description"),
+        get("description").alias("description"),
         or_single("sal_min").alias("salary_min"),
         or_single("sal_max").alias("salary_max"),
         remote.alias("remote"),

@@ -146,9 +146,9 @@ def remote_vs_onsite(jobs: DataFrame, as_of: str | None = None) -> DataFrame:
 
 
 def skill_cooccurrence(
-    job_skills: DataFrame, *, min_count: int = 5, top: int = 1000, drop_rare: bool = False
+    job_skills: DataFrame, *, min_count: int = 5, top: int | None = None, drop_rare: bool = False
 ) -> DataFrame:
-    """The most frequent skill pairs of one posting; ties in name order.
+    """Skill pairs of one posting by frequency; ties in name order; only the first ``top`` if that is given.
 
     ``drop_rare`` first leaves out skills too rare for any pair that counts. The
     result is the same; it pays when skills are free text with a long tail, not
@@ -156,12 +156,12 @@ def skill_cooccurrence(
     """
     if drop_rare:
         job_skills = frequent_only(job_skills, "skill_name", min_count)
-    return (
+    pairs = (
         pair_counts(job_skills, "job_id", "skill_name", "skill_a", "skill_b", "co_count")
         .filter(F.col("co_count") >= min_count)
         .orderBy(F.desc("co_count"), "skill_a", "skill_b")
-        .limit(top)
     )
+    return pairs if top is None else pairs.limit(top)
 
 
 def spikes(demand: DataFrame, entity: str, as_of: str | None = None, *, ratio: float = 2.0) -> DataFrame:
@@ -223,7 +223,7 @@ def refresh(
     """
     role = staged(daily_role_demand(jobs, run_date), "role-demand")
     skill = staged(
-        daily_skill_demand(jobs, job_skills, run_date, job_key=job_key, unique_bridge=True),
+        daily_skill_demand(jobs, job_skills, run_date, job_key=job_key),
         "skill-demand",
     )
     built = {

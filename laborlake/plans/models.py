@@ -21,10 +21,19 @@ MIN_ROWS = 100
 SEED = 42
 
 
-def regressor(model_type: str, trees: int = 100):
+def ridge_strength(rows: DataFrame, alpha: float) -> float:
+    """Spark's ``regParam`` for the penalty ``alpha * |w|^2`` beside the sum of squared errors.
+
+    Spark divides the errors by the number of rows and scales the label by its deviation.
+    """
+    got = rows.agg(F.count(LABEL).alias("n"), F.stddev_samp(LABEL).alias("sd")).first()
+    return alpha * got["sd"] / got["n"] if got["n"] and got["sd"] else 0.0
+
+
+def regressor(model_type: str, trees: int = 100, strength: float = 1.0):
     common = {"featuresCol": "features", "labelCol": LABEL, "predictionCol": "prediction"}
     if model_type == "ridge":
-        return LinearRegression(elasticNetParam=0.0, regParam=1.0, **common)
+        return LinearRegression(elasticNetParam=0.0, regParam=strength, **common)
     if model_type == "random_forest":
         return RandomForestRegressor(numTrees=trees, seed=SEED, **common)
     if model_type == "gradient_boosting":
@@ -55,14 +64,16 @@ def train(
     *,
     test_size: float = 0.2,
     trees: int = 100,
+    alpha: float = 1.0,
+    min_rows: int = MIN_ROWS,
 ) -> tuple[PipelineModel | None, dict]:
-    """Fit features and model on the training part, measure on the rest. Skips below 100 rows."""
-    stages = [*feature_pipeline(skills).getStages(), regressor(model_type, trees)]
+    """Fit features and model on the training part, measure on the rest. Skips below ``min_rows`` rows; ``alpha`` is the ridge penalty."""
     total = rows.count()
-    if total < MIN_ROWS:
+    if total < min_rows:
         return None, {"status": "skipped", "reason": "insufficient_data", "rows": total}
     train_rows, test_rows = split_rows(rows, "job_id", test_size)
-    model = Pipeline(stages=stages).fit(train_rows)
+    strength = ridge_strength(train_rows, alpha) if model_type == "ridge" else 0.0
+    model = Pipeline(stages=[*feature_pipeline(skills).getStages(), regressor(model_type, trees, strength)]).fit(train_rows)
     test_count = test_rows.count()
     metrics = evaluate(model.transform(test_rows)) | {
         "train_size": total - test_count,

@@ -12,6 +12,8 @@ from laborlake.operators.dedup import first_per_key, not_yet_stored
 from laborlake.sources import ledger, schemas, tables
 from laborlake.sources.staging import staged
 
+#: Longer list entries are no skills; they are left out and the posting stays.
+LONGEST_SKILL = 100
 _DATES = ("posted_at", "date_posted", "job_posted_date", "date_time", "first_seen")
 
 
@@ -23,7 +25,7 @@ def clean(bronze: DataFrame) -> DataFrame:
         bronze.withColumns(
             {
                 **trimmed,
-                "description": F.substring(parse.strip(text.or_blank(F.col("description"))), 1, 5000),
+                "description": parse.strip(text.or_blank(F.col("description"))),
                 "posted_at": F.coalesce(*_DATES),
                 "salary_min": low,
                 "salary_max": repaired_max(low, high),
@@ -58,7 +60,7 @@ def canonical(hashed: DataFrame) -> DataFrame:
     location, description = F.col("location"), F.col("description")
     country = infer.country_choice(F.col("country"), location)
     given = parse.skill_list(F.col("skills_extracted"))
-    skills = infer.skill_choice(given, description)
+    skills = F.filter(infer.skill_choice(given, description), lambda s: F.length(s) <= LONGEST_SKILL)
     everything = F.concat_ws(" ", title, location, description)
     out = hashed.withColumns({"_skills": skills, "_country": country})
     skills, country = F.col("_skills"), F.col("_country")
@@ -91,18 +93,14 @@ def canonical(hashed: DataFrame) -> DataFrame:
         parse.timestamp(F.col("posted_at")).alias("posted_at"),
         skills.alias("skills"),
         F.substring(F.col("external_id"), 1, 250).alias("_record_id"),
-        _reject_reason(skills).alias("_reject"),
+        _reject_reason().alias("_reject"),
         *_detail_columns(),
     )
 
 
-def _reject_reason(skills: Column) -> Column:
+def _reject_reason() -> Column:
     """Why a record cannot be stored, NULL when it can."""
-    return (
-        F.when(F.col("source").isNull(), F.lit("missing_source"))
-        .when(F.length("source") > 50, F.lit("source_too_long"))
-        .when(F.exists(skills, lambda s: F.length(s) > 100), F.lit("skill_too_long"))
-    )
+    return F.when(F.col("source").isNull(), F.lit("missing_source"))
 
 
 def _detail_columns() -> list[Column]:

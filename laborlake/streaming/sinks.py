@@ -75,7 +75,7 @@ def rebuild(
     if table == "daily_skill_demand":
         skills = touched.select(F.col("skill").alias("skill_name"))
         return gold.daily_skill_demand(
-            jobs, _touching(job_skills, skills), job_key="raw_hash", unique_bridge=True
+            jobs, _touching(job_skills, skills), job_key="raw_hash"
         )
     raise ValueError(f"{table} has no entities of its own; use gold.refresh")
 

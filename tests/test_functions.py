@@ -44,7 +44,7 @@ def test_timestamp(apply):
         ],
     )
     at = datetime(2024, 1, 15, 10, 20, 30)
-    assert got == [at, at, datetime(2024, 1, 5), datetime(2024, 1, 5), None, at, None, None, None, None]
+    assert got == [datetime(2024, 1, 15, 4, 50, 30), at, datetime(2024, 1, 5), datetime(2024, 1, 5), None, at, None, None, None, None]
     assert apply(lambda c: parse.timestamp(c, strip_first=True), [" 2024-01-01 "]) == [datetime(2024, 1, 1)]
 
 
@@ -135,3 +135,9 @@ def test_parsers_never_raise(apply, values):
 @given(st.lists(st.text(alphabet=" \t\n 　ab", max_size=12), min_size=1, max_size=30))
 def test_strip_matches_python(apply, values):
     assert apply(parse.strip, values) == [v.strip() for v in values]
+
+
+def test_timestamp_takes_offsets_off(apply):
+    given = ["2024-03-01T23:00:00-08:00", "2024-03-01 01:30:00.25 +0530", "2024-03-01T23:00:00Z", "2024-03-01"]
+    want = [datetime(2024, 3, 2, 7), datetime(2024, 2, 29, 20), datetime(2024, 3, 1, 23), datetime(2024, 3, 1)]
+    assert apply(parse.timestamp, given) == want
