@@ -147,10 +147,19 @@ def _both_ways(links: DataFrame) -> DataFrame:
     return links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Each node has one edge to a smaller node, or none; none has edges on both sides."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return nodes.agg(F.count_if((F.col("below") > 1) | ((F.col("below") > 0) & (F.col("above") > 0))).alias("n")).first()["n"] == 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of all nodes of ``links`` (u, v); a component is named by its smallest node."""
-    edges, mark = staged(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "near-edges"), None
-    while True:
+    edges = staged(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "near-edges")
+    while not _are_stars(edges):
         around = _both_ways(edges)
         least = staged(around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "near-least")
         # Large star: larger neighbours to the least one around.
@@ -161,9 +170,6 @@ def components(links: DataFrame) -> DataFrame:
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
         edges = staged(small.where("u <> v").distinct(), "near-edges")
-        before, mark = mark, edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
-        if before == mark:
-            break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component"))
     ).distinct()
@@ -225,8 +231,8 @@ class _Search:
         right = some.select("bucket", F.col("component").alias("c2"), F.col("node").alias("v"))
         return sides.join(left, ["bucket", "c1"]).join(right, ["bucket", "c2"]).select("u", "v")
 
-    def check(self, pairs: DataFrame) -> None:
-        """Verify the pairs that haven't been looked at yet and add those that hold to the links."""
+    def check(self, pairs: DataFrame) -> DataFrame:
+        """Verify the pairs that haven't been looked at yet; those that hold are added to the links and returned."""
         pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         if self.done is not None:
             pairs = pairs.join(self.done, ["u", "v"], "left_anti")
@@ -238,17 +244,20 @@ class _Search:
         seen, found = checked.select("u", "v"), checked.where("holds").select("u", "v")
         self.done = seen if self.done is None else self.done.unionByName(seen)
         self.links = found if self.links is None else self.links.unionByName(found)
+        return found
 
 
 def links_and_components(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     search = _Search(docs, sketched)
-    search.check(search.central())
-    placed = staged(search.placed(staged(components(search.links), "near-parts")), "near-placed")
+    parts = staged(components(search.check(search.central())), "near-parts")
+    placed = staged(search.placed(parts), "near-placed")
     pairs = search.across(placed)
     for seed in range(DRAWN):
         pairs = pairs.unionByName(search.star(placed, int(_SEEDS[seed].view(np.int64))))
-    search.check(pairs)
-    return search.links, staged(components(search.links), "near-parts")
+    found = search.check(pairs)
+    # The components so far are stars already; only new links have to be worked in.
+    stars = parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return search.links, staged(components(stars.unionByName(found)), "near-parts")
 
 
 def classes(docs: DataFrame) -> DataFrame:
