@@ -65,7 +65,7 @@ def _role_years(spark, d):
 
 
 _YEARLY = f"""select cast(year(date) as integer) as year, skill, sum(job_count) as total_jobs
-from ({px.skill_demand_sql()}) where date >= date '2000-01-01' group by 1, 2"""
+from ({px.skill_demand_sql()}) group by 1, 2"""
 _SUMS = ", ".join(
     f"""cast(coalesce(sum(job_count) filter (where role = '{p}'), 0) as bigint) as "{p}" """ for p in PRIORITIES
 )
@@ -121,7 +121,7 @@ QUERIES = {
     "skill_ranking": (
         lambda s, d: views.skill_ranking(_skills(s, d)),
         f"""select skill, cast(sum(job_count) as bigint) as total_jobs from ({px.skill_demand_sql()})
-        where date >= date '2000-01-01' group by skill order by total_jobs desc, skill""",
+        group by skill order by total_jobs desc, skill""",
     ),
     "skills_yearly_top10": (
         lambda s, d: views.skills_yearly(_skills(s, d), "top10"),
@@ -136,7 +136,7 @@ QUERIES = {
     "yearly_chart": (
         _role_years,
         f"""select cast(year(date) as integer) as year, {_SUMS} from ({px.role_demand_sql()})
-        where date >= date '2000-01-01' group by 1""",
+        group by 1""",
     ),
     "role_demand_filtered": (
         lambda s, d: views.role_demand(_roles(s, d), START, END, "medi"),

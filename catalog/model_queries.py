@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +13,6 @@ from catalog.text_queries import TITLES
 from laborlake.functions import lexicons as lx
 from laborlake.functions.text import currency_code
 from laborlake.plans import features, models, predict
-from laborlake.sources import schemas, tables
 from laborlake.sources.staging import shared_folder
 from laborlake.streaming import sources as streams
 
@@ -172,30 +173,19 @@ from orders"""
 
 # Streaming: events as a stream of postings, counted per day and type into a stored table.
 
-_COUNTS = "date date, role string, job_count bigint"
-
-
 def _stream(spark, d):
     schema = px.table(spark, d, "events").schema
-    counts_schema = schemas._schema(_COUNTS)
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    counts = streams.daily_counts(events.withColumnRenamed("event_type", "role"), "ts", "role")
-    import uuid
-
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        tables.upsert(spark, f"{root}/counts", batch, ["date", "role"], counts_schema)
-
     query = (
-        counts.writeStream.outputMode("update")
-        .foreachBatch(write)
+        events.withColumnRenamed("event_type", "role")
+        .writeStream.foreachBatch(streams.daily_count_writer(f"{root}/counts", "ts", "role"))
         .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return tables.current(spark, f"{root}/counts", counts_schema)
+    return streams.daily_counts(spark, f"{root}/counts", "role")
 
 
 QUERIES = {

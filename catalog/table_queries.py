@@ -174,7 +174,7 @@ def _cross_run(spark, d):
     stored = px.table(spark, d, "documents").join(px.table(spark, d, "labels"), "doc_id", "left_semi")
     stored = stored.select(text.parts_hash(F.col("text"), F.col("lang")).alias("key"))
     copies = _copies(spark, d)
-    return not_yet_stored(copies, stored, "key", incoming_rows=copies.count())
+    return not_yet_stored(copies, stored, "key")
 
 
 # Wide table: documents as a raw bulk table, and as landed records of two sources.

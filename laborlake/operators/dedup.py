@@ -19,26 +19,16 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return df.withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").drop("_nth")
 
 
-# Largest batch whose 8-byte key hashes are broadcast (some 100 MB per executor).
-BROADCAST_ROWS = 4_000_000
-
-
-def not_yet_stored(
-    incoming: DataFrame, stored: DataFrame, key: str, *, incoming_rows: int | None = None
-) -> DataFrame:
+def not_yet_stored(incoming: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """Incoming rows whose key is not in the stored table.
 
-    The stored side is history and usually far larger than one batch. When the
-    batch is known to be small enough, 8-byte hashes of its keys are broadcast
-    and history is only scanned, one column and no shuffle; the few candidates
-    are then compared by full key. Otherwise both sides meet in one shuffle of
-    the key column. Keys are unique on both sides, so neither is skewed.
+    The stored side is history and usually far larger than one batch, so it is
+    first reduced to the batch's keys. Where Spark finds the batch's key column
+    small enough to broadcast, history is only scanned, one column and no
+    shuffle; otherwise both meet in a shuffle of the key column. Keys are unique
+    on both sides, so neither is skewed.
     """
-    if incoming_rows is None or incoming_rows > BROADCAST_ROWS:
-        return incoming.join(stored.select(key), key, "left_anti")
-    short = F.xxhash64(F.col(key)).alias("_short")
-    batch = F.broadcast(incoming.select(short))
-    candidates = stored.select(key, short).join(batch, "_short", "left_semi").select(key)
+    candidates = stored.select(key).join(incoming.select(key), key, "left_semi")
     return incoming.join(candidates, key, "left_anti")
 
 

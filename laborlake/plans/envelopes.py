@@ -69,15 +69,23 @@ def keep_tech(
     records: DataFrame,
     categories: Sequence[str] | None = None,
     words: Sequence[str] = lx.TECH_CATEGORY_WORDS,
+    *,
+    when_none_match: str = "keep",
 ) -> DataFrame:
     """Records of the wanted categories.
 
     With a list: exact (lower-case) match. Without: any category holding one of
-    the words, and if no record at all does, every record is kept.
+    the words. If no record of the whole input does, every record is kept, as
+    one fetch is filtered; ``when_none_match="drop"`` judges each record by
+    itself, so the outcome doesn't depend on how records are batched.
     """
+    if when_none_match not in ("keep", "drop"):
+        raise ValueError(f"unknown choice {when_none_match!r}")
     category = or_blank(F.lower("category"))
     if categories:
         return records.filter(category.isin(*categories))
     match = infer.contains_any(category, words)
+    if when_none_match == "drop":
+        return records.filter(match)
     any_match = records.agg(F.coalesce(F.bool_or(match), F.lit(False)).alias("any_match"))
     return records.filter(match | ~any_match.scalar())

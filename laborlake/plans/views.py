@@ -81,24 +81,24 @@ def top_pairs(cooccurrence: DataFrame, top_n: int = 50) -> DataFrame:
     )
 
 
-def _since_2000(demand: DataFrame) -> DataFrame:
-    return demand.filter(F.col("date") >= F.lit(date(2000, 1, 1)))
+def _since(demand: DataFrame, first: date | None) -> DataFrame:
+    return demand if first is None else demand.filter(F.col("date") >= F.lit(first))
 
 
-def skill_ranking(demand: DataFrame) -> DataFrame:
-    """All skills by total postings since 2000."""
+def skill_ranking(demand: DataFrame, since: date | None = None) -> DataFrame:
+    """All skills by total postings, from ``since`` on where it is given."""
     return (
-        _since_2000(demand)
+        _since(demand, since)
         .groupBy("skill")
         .agg(F.sum("job_count").alias("total_jobs"))
         .orderBy(F.desc("total_jobs"), "skill")
     )
 
 
-def skills_yearly(demand: DataFrame, compare: str = "top10") -> DataFrame:
-    """Postings per year and skill since 2000: the ten strongest skills, or 'all'."""
+def skills_yearly(demand: DataFrame, compare: str = "top10", since: date | None = None) -> DataFrame:
+    """Postings per year and skill, from ``since`` on where it is given: the ten strongest skills, or 'all'."""
     yearly = (
-        _since_2000(demand)
+        _since(demand, since)
         .groupBy(F.year("date").alias("year"), "skill")
         .agg(F.sum("job_count").alias("total_jobs"))
     )

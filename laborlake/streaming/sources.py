@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from laborlake.sources import bronze, schemas
+from laborlake.sources import bronze, schemas, tables
 
 
 def bronze_stream(
@@ -30,26 +32,35 @@ def bronze_stream(
     )
 
 
-def first_seen(hashed: DataFrame, event_time: str, horizon: str, key: str = "raw_hash") -> DataFrame:
-    """Drop repeats of a key seen within the horizon. For all of history use the Silver sink."""
+def first_seen(hashed: DataFrame, event_time: str, horizon: str | None, key: str = "raw_hash") -> DataFrame:
+    """The first record of each key.
+
+    With a horizon, repeats within it go and the state stays bounded; records
+    dated before the watermark go too, seen or not. Postings often carry old
+    dates: ``horizon=None`` keeps every key in the state and loses none. For a
+    check against all of history use the Silver sink.
+    """
+    if horizon is None:
+        return hashed.dropDuplicates([key])
     return hashed.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark([key])
 
 
-def daily_counts(events: DataFrame, event_time: str, entity: str, late: str = "1 day") -> DataFrame:
-    """Postings per day and entity. Counts combine map-side, so a hot entity stays cheap.
+def daily_count_writer(root: str, event_time: str, entity: str, prefix: str = "stream") -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function: the postings per day and entity of one micro-batch, stored as a run of their own.
 
-    Windows are cut at UTC midnight, so wall-clock time is moved to UTC first
-    and back after: days are the session's days in any zone.
+    Readers add the runs up (``daily_counts``), so a record counts however late
+    it comes, and no state is held. A repeated batch replaces its own run.
+    Rows without a time are on no day and are left out.
     """
-    zone = F.current_timezone()
-    timed = events.withColumn(
-        event_time, F.from_utc_timestamp(F.col(event_time).cast("timestamp"), zone)
-    )
-    return (
-        timed.withWatermark(event_time, late)
-        .groupBy(F.window(event_time, "1 day"), F.col(entity))
-        .agg(F.count("*").alias("job_count"))
-        .select(
-            F.to_date(F.to_utc_timestamp("window.start", zone)).alias("date"), entity, "job_count"
-        )
-    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        days = batch.filter(F.col(event_time).isNotNull()).groupBy(F.to_date(event_time).alias("date"), F.col(entity))
+        tables.write_run(days.agg(F.count("*").alias("job_count")), root, "run_id", f"{prefix}-{batch_id:012d}")
+
+    return write
+
+
+def daily_counts(spark: SparkSession, root: str, entity: str) -> DataFrame:
+    """Postings per day and entity over all micro-batches stored under ``root``."""
+    schema = T.StructType().add("date", "date").add(entity, "string").add("job_count", "long")
+    return tables.read_runs(spark, root, schema).groupBy("date", entity).agg(F.sum("job_count").alias("job_count"))

@@ -73,9 +73,9 @@ def test_flag_all_but_best(spark):
 def test_not_yet_stored(spark):
     incoming = spark.range(10).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("x"))
     stored = spark.range(4, 400).select(F.col("id").cast("string").alias("k"))
-    for rows in (None, 10, 10**9):
-        fresh = not_yet_stored(incoming, stored, "k", incoming_rows=rows)
-        assert {r.k for r in fresh.collect()} == {"0", "1", "2", "3"}
+    for left, right in ((incoming, stored), (incoming.hint("merge"), stored), (incoming.unionByName(incoming.limit(0)), stored.union(stored))):
+        assert {r.k for r in not_yet_stored(left, right, "k").collect()} == {"0", "1", "2", "3"}
+    assert not_yet_stored(incoming, stored.limit(0), "k").count() == 10
 
 
 def _series(spark, days):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from laborlake.operators.dedup import BROADCAST_ROWS, not_yet_stored
+from laborlake.operators.dedup import not_yet_stored
 from laborlake.plans import gold, silver
 from laborlake.sources import schemas
 
@@ -78,10 +78,9 @@ def test_only_the_rate_table_is_broadcast(spark, no_auto_broadcast):
     assert "percentile" not in plan
 
 
-def test_history_is_not_shuffled_for_a_small_batch(spark, no_auto_broadcast):
+def test_spark_decides_whether_history_is_shuffled(spark, no_auto_broadcast):
     stored = spark.read.parquet(f"{DATA}/documents.parquet").select(F.col("text").alias("k"))
-    incoming = stored.limit(5)
-    small = plan_of(not_yet_stored(incoming, stored, "k", incoming_rows=5))
-    assert "BroadcastHashJoin" in small
-    large = plan_of(not_yet_stored(incoming, stored, "k", incoming_rows=BROADCAST_ROWS + 1))
-    assert "Broadcast" not in large
+    incoming = spark.read.parquet(f"{DATA}/benchmark.parquet").select(F.col("text").alias("k"))
+    assert "Broadcast" not in plan_of(not_yet_stored(incoming, stored, "k"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100m")
+    assert "hashpartitioning" not in plan_of(not_yet_stored(incoming, stored, "k"))

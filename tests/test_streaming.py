@@ -63,6 +63,33 @@ def test_first_seen(spark, landed, tmp_path):
     assert got.count() == got.select("raw_hash").distinct().count() == 4
 
 
+def test_late_records_count(spark, tmp_path):
+    root = str(tmp_path / "counts")
+    write = sources.daily_count_writer(root, "at", "role")
+    for batch_id, day in enumerate(["2024-03-10", "2024-03-11", "2024-03-01", "2024-03-10"]):
+        rows = spark.createDataFrame([(f"{day} 23:00:00", "x"), (None, "x")], "at string, role string")
+        for _ in range(2):  # a repeated batch counts once
+            write(rows.withColumn("at", F.to_timestamp("at")), batch_id)
+    got = {(str(r.date), r.role, r.job_count) for r in sources.daily_counts(spark, root, "role").collect()}
+    assert got == {("2024-03-10", "x", 2), ("2024-03-11", "x", 1), ("2024-03-01", "x", 1)}
+    assert sources.daily_counts(spark, str(tmp_path / "none"), "role").count() == 0
+
+
+def test_first_seen_keeps_late_records_without_a_horizon(spark, tmp_path):
+    folder = tmp_path / "in"
+    rows = [("a", "2024-03-10"), ("b", "2024-03-11"), ("c", "2024-03-01"), ("a", "2024-03-10")]
+    for key, day in rows:
+        spark.createDataFrame([(key, day)], "raw_hash string, day string").coalesce(1).write.mode("append").parquet(str(folder))
+    stream = spark.readStream.schema("raw_hash string, day string").option("maxFilesPerTrigger", 1).parquet(str(folder))
+    query = (
+        sources.first_seen(stream.withColumn("at", F.to_timestamp("day")), "at", None).select("raw_hash")
+        .writeStream.format("memory").queryName("first_seen_all")
+        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    assert sorted(r.raw_hash for r in spark.table("first_seen_all").collect()) == ["a", "b", "c"]
+
+
 def _table(spark, root, name):
     schema = getattr(schemas, name.upper())
     return sorted(tuple(r) for r in tables.current(spark, f"{root}/{name}", schema).collect())

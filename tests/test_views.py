@@ -71,7 +71,8 @@ def test_keep_tech(spark):
     records = spark.createDataFrame([("Sales",), ("Software Dev",), (None,)], "category string")
     assert [r.category for r in envelopes.keep_tech(records).collect()] == ["Software Dev"]
     assert [r.category for r in envelopes.keep_tech(records, ["sales"]).collect()] == ["Sales"]
-    assert envelopes.keep_tech(records.filter("category = 'Sales'")).count() == 1
+    sales = records.filter("category = 'Sales'")
+    assert envelopes.keep_tech(sales).count() == 1 and envelopes.keep_tech(sales, when_none_match="drop").count() == 0
 
 
 def test_fx(spark):
