@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from catalog import registered
 from laborlake.operators.dedup import not_yet_stored
 from laborlake.plans import gold, silver
 from laborlake.sources import schemas
@@ -29,7 +30,7 @@ def no_auto_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - EAGER))
+@pytest.mark.parametrize("name", sorted(set(registered()) - EAGER))
 def test_no_python_in_the_plan_and_no_products(spark, no_auto_broadcast, name):
     plan = plan_of(contract.queries()[name](spark, DATA))
     assert not re.search(r"ArrowEvalPython|BatchEvalPython|MapInPandas|FlatMapGroups|MapInArrow", plan)
