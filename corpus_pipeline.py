@@ -16,7 +16,7 @@ from laborlake.sources.staging import staged
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the two language models find toxic (a chance of one half or more) go."""
+    """Documents that the two language models find toxic (a chance of one half or more) go; none where nothing could be learned."""
     return toxicity.reject(docs, table(spark, sf_dir, "labels"))
 
 

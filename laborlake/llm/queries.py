@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laborlake.llm import chat, decontaminate, language_crf, mixing, near_duplicates, pii, quality_pu, rules, substrings, toxicity
@@ -127,13 +127,14 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_links", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).drop("copy")
 
 
-def _predicted(scored: DataFrame, threshold: float) -> DataFrame:
+def _predicted(scored: DataFrame, says: Column) -> DataFrame:
     held = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", held.alias("held_out"), "score", says.cast("int").alias("predicted"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _predicted(toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.5)
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return _predicted(scored, toxicity.is_toxic(0.5))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +158,7 @@ def _is_kind(kind: str):
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_pu.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return _predicted(scored, 0.3)
+    return _predicted(scored, F.col("score") >= 0.3)
 
 
 #: Name -> (query, checking SQL or None).

@@ -15,6 +15,7 @@ from laborlake.llm import columns, language_crf, quality_pu, queries, rules, tox
 from .conftest import sentence
 
 DATA = "/root/testdata/sf0.01"
+SMALLEST = "/root/testdata/sf0.001"
 given = pytest.mark.skipif(not os.path.isdir(DATA), reason="no given tables")
 
 
@@ -99,6 +100,34 @@ def test_toxicity_of_small_odd_and_empty_tables(spark, make, odd, empty, no_labe
     assert {r.score for r in toxicity.score(odd, no_labels).collect()} == {0.5} and toxicity.score(empty, labels).count() == 0
 
 
+def test_toxicity_keeps_all_where_nothing_is_learned(spark, make, no_labels):
+    docs = make([(i, f"word{i} and some text") for i in range(40)])
+    one_label = spark.createDataFrame([(i, 1, 1) for i in range(40)], no_labels.schema)
+    one_toxic = spark.createDataFrame([(i, 1, int(i == 7)) for i in range(40)], no_labels.schema)
+    blank = make([(i, None) for i in range(40)])
+    mostly = spark.createDataFrame([(i, 1, int(i % 4 > 0)) for i in range(40)], no_labels.schema)
+    for table, labels in ((docs, no_labels), (docs, one_label), (docs, one_toxic), (blank, mostly)):
+        assert toxicity.reject(table, labels).count() == 40
+        assert toxicity.reject(table, labels, threshold=0.3).count() == 40
+
+
+def test_toxicity_sets_some_of_each_label_aside(spark):
+    rows = spark.createDataFrame([(i, int(i < 10)) for i in range(3000)], "doc_id long, label int")
+    for sample, wanted in ((20_000, {1: 2, 0: 598}), (100, {1: 2, 0: 50})):
+        got = toxicity._set_aside(rows, sample)
+        upto = F.when(F.col("label") == 1, got[1][1]).otherwise(got[0][1])
+        aside = rows.where(toxicity._place() <= upto).groupBy("label").count().collect()
+        assert {r["label"]: r["count"] for r in aside} == wanted and {k: v[0] for k, v in got.items()} == {1: 10, 0: 2990}
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALLEST), reason="no given tables")
+def test_toxicity_of_the_smallest_given_table(spark):
+    docs, labels = columns.table(spark, SMALLEST, "documents"), columns.table(spark, SMALLEST, "labels")
+    clean = docs.join(labels.where("toxic = 0"), "doc_id", "left_semi")
+    left = toxicity.reject(docs, labels).join(clean.select("doc_id"), "doc_id", "left_semi").count()
+    assert left >= 0.9 * clean.count()
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(0)
     emissions, moves, offsets = rng.normal(size=(9, 3)), rng.normal(size=(3, 3)), np.array([0, 4, 4, 9])
