@@ -9,9 +9,10 @@
    bucket's texts are compared with its most central one, that whose buckets hold most texts: where copies were made
    by editing one text, that is the text itself. Then, in buckets that hold several of the components found, one member of
    each is compared with one of another, ``DRAWN`` times, all drawn by hash; in buckets of up to ``FEW`` texts, all are compared
-   across components. In fuller buckets, texts that stay apart were all below the threshold to the
-   central text and to the drawn ones; comparing all of them would be quadratic. A link there counts as found if its
-   texts meet in a class by any of the comparisons of their about eight common buckets.
+   across components. Fuller buckets are drawn from again as long as that halves the texts outside their bucket's largest
+   component; what is left there is compared in full with all texts of the bucket that are in other components, in groups
+   of two blocks of about ``BLOCK`` texts. So any two texts of a bucket are in one class or have been compared. The last
+   step is quadratic in the texts of a bucket that belong together with few others, spread over tasks.
 3. A pair holds if the longest chain of equal labelled shingles in the same order in both texts, within the band
    that such a chain can reach at all, is ``LEAST`` of the shingles of both together or more: ordered shingle
    similarity. Chains are found by sparse dynamic programming over the matches in the band.
@@ -41,6 +42,8 @@ from laborlake.sources.staging import staged
 SHINGLE, KEPT, SKETCHES, LEAST = 5, 4, 20, 0.8
 #: Texts of a bucket up to which all are compared, and how often members are drawn.
 FEW, DRAWN = 32, 2
+#: Texts of a block, and pairs that are compared without drawing again.
+BLOCK, EASY = 128, 10_000_000
 _SEEDS = wordhash.mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS = wordhash.mixed(_SEEDS) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -143,6 +146,39 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"u": batch.column("u"), "v": batch.column("v"), "holds": pa.array(holds, pa.bool_())})
 
 
+def _compared(group: pa.Table) -> pa.Table:
+    """Links between different components, of all pairs of two blocks or of one."""
+    node, component = group["node"].to_numpy(), group["component"].to_pylist()
+    block, first, second = (group[c].to_numpy() for c in ("block", "first", "second"))
+    texts = [np.frombuffer(x.as_py(), np.uint32) for x in group["shingles"]]
+    sizes = np.array([len(x) for x in texts])
+    flat = np.concatenate(texts)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], np.repeat(np.arange(len(texts)), sizes)[order]
+    needed = np.ceil((sizes[:, None] + sizes[None, :]) * LEAST / (1 + LEAST) - 1e-9)
+    above: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while c in above:
+            c = above[c]
+        return c
+
+    found = []
+    for i in np.flatnonzero(block == first):
+        lo, hi = np.searchsorted(flat, texts[i], "left"), np.searchsorted(flat, texts[i], "right")
+        n = hi - lo
+        at = np.repeat(hi - np.cumsum(n), n) + np.arange(n.sum())
+        shared = np.bincount(owner[at], minlength=len(texts))
+        near = (shared >= needed[i]) & ((block == second) if first[0] != second[0] else (np.arange(len(texts)) > i))
+        for j in np.flatnonzero(near):
+            x, y = top(component[i]), top(component[j])
+            if x != y and similarity(texts[i], texts[j]) >= LEAST:
+                above[x] = y
+                found.append((node[i], node[j]))
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pa.table({"u": pa.array(pairs.max(1, initial=-(1 << 63))), "v": pa.array(pairs.min(1, initial=(1 << 63) - 1))})
+
+
 def _both_ways(links: DataFrame) -> DataFrame:
     return links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
 
@@ -231,6 +267,29 @@ class _Search:
         right = some.select("bucket", F.col("component").alias("c2"), F.col("node").alias("v"))
         return sides.join(left, ["bucket", "c1"]).join(right, ["bucket", "c2"]).select("u", "v")
 
+    def open(self, placed: DataFrame) -> DataFrame:
+        """Per bucket of over ``FEW`` texts in several components: the largest one, how many texts are in it, and in others."""
+        kinds = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+        per = kinds.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.max(F.struct("n", "component")).alias("x"))
+        per = per.where((F.col("n") > FEW) & (F.col("kinds") > 1))
+        return staged(per.select("bucket", F.col("x.component").alias("main"), F.col("x.n").alias("inside"), (F.col("n") - F.col("x.n")).alias("rest")), "near-open")
+
+    def remainder(self, placed: DataFrame, opened: DataFrame) -> DataFrame:
+        """Links of texts outside the largest component of an open bucket, to all texts of it in other components."""
+        rest, own = F.ceil(F.col("rest") / BLOCK).cast("int"), F.ceil(F.col("inside") / BLOCK).cast("int")
+        outside, dealt = F.col("component") != F.col("main"), F.xxhash64("node", F.lit("block"))
+        # Blocks 0 to rest - 1 are outside, the others inside, and those meet no block of the inside.
+        block = F.when(outside, F.pmod(dealt, rest)).otherwise(rest + F.pmod(dealt, own)).cast("int")
+        last = F.when(outside, rest + own - 1).otherwise(rest - 1)
+        some = placed.join(opened, "bucket").select("bucket", "node", "component", block.alias("block"), last.alias("last"))
+        told = some.join(self.shingles.hint("merge"), "node").select("*", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
+        told = told.select(
+            "bucket", "node", "component", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "shingles"
+        )
+        found = staged(told.groupBy("bucket", "first", "second").applyInArrow(_compared, "u bigint, v bigint").distinct(), "near-remainder")
+        self.links = self.links.unionByName(found).distinct()
+        return found
+
     def check(self, pairs: DataFrame) -> DataFrame:
         """Verify the pairs that haven't been looked at yet; those that hold are added to the links and returned."""
         pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -254,10 +313,26 @@ def links_and_components(docs: DataFrame, sketched: DataFrame) -> tuple[DataFram
     pairs = search.across(placed)
     for seed in range(DRAWN):
         pairs = pairs.unionByName(search.star(placed, int(_SEEDS[seed].view(np.int64))))
-    found = search.check(pairs)
-    # The components so far are stars already; only new links have to be worked in.
+    parts = _grown(parts, search.check(pairs))
+    before, seed = None, DRAWN
+    while True:
+        placed = staged(search.placed(parts), "near-placed")
+        opened = search.open(placed)
+        left = opened.agg(F.sum("rest").alias("rest"), F.sum(F.col("rest") * (F.col("rest") + F.col("inside"))).alias("pairs")).first()
+        if not left["rest"]:
+            return search.links, parts
+        if left["pairs"] <= EASY or (before is not None and 2 * left["rest"] > before):
+            parts = _grown(parts, search.remainder(placed, opened))
+            return search.links, parts
+        drawn = search.star(placed.join(opened.select("bucket"), "bucket"), int(_SEEDS[seed % SKETCHES].view(np.int64)))
+        parts = _grown(parts, search.check(drawn))
+        before, seed = left["rest"], seed + 1
+
+
+def _grown(parts: DataFrame, found: DataFrame) -> DataFrame:
+    """``parts`` with new links; they are stars already, so only those have to be worked in."""
     stars = parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    return search.links, staged(components(stars.unionByName(found)), "near-parts")
+    return staged(components(stars.unionByName(found)), "near-parts")
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -188,6 +188,29 @@ def test_classes_equal_those_of_all_pairs(make):
     assert got == plain_classes(rows)
 
 
+def pairs_without_original(rng, n):
+    """Pairs of close texts, all edited from one text that is not there; of different pairs most are below the threshold."""
+    base, rows = sentence(rng, 120, 5000).split(), []
+    for k in range(n):
+        w = list(base)
+        for at in range(3 + rng.randrange(8), 120, 30):
+            w[at] = f"p{k}x{at}"
+        rows.append((2 * k, " ".join(w)))
+        w[rng.randrange(10, 110)] = f"q{k}"
+        w[rng.randrange(10, 110)] = f"r{k}"
+        rows.append((2 * k + 1, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize(("few", "block", "easy"), [(2, 8, 0), (2, 128, 10_000_000), (32, 128, 10_000_000)])
+def test_full_buckets_without_an_original_equal_all_pairs(make, monkeypatch, few, block, easy):
+    for name, value in (("FEW", few), ("BLOCK", block), ("EASY", easy)):
+        monkeypatch.setattr(near_duplicates, name, value)
+    rows = pairs_without_original(random.Random(21), 40)
+    got = {r.doc_id: r.class_id for r in near_duplicates.classes(make(rows)).collect()}
+    assert got == plain_classes(rows) and len(set(got.values())) > 20
+
+
 def test_one_row_per_class_stays(make):
     rows = families(random.Random(13))
     docs = make(rows + rows[:3])
