@@ -4,7 +4,8 @@
    ``SHINGLE`` words is labelled with how often it stood before in the text. For each of ``SKETCHES`` hash functions the
    ``KEPT`` labelled shingles with the smallest values are put in text order and hashed: one bucket. Two texts share
    a bucket only if they agree in these shingles and in their order. At a similarity of 0.8 one bucket is shared with
-   a probability of about 0.8^4, so all 20 are missed by about 3 in 100,000.
+   a probability of about 0.8^4, so all 20 are missed by about 3 in 100,000. Among few shingles one more weighs more (4 of 5
+   are kept by both with 1/5 only), so texts of up to ``SHORT`` shingles have 20 more buckets, of ``KEPT_SHORT`` each.
 2. Buckets are worked on in rounds, so that a group of thousands of near copies never makes all its pairs. First each
    bucket's texts are compared with its most central one, that whose buckets hold most texts: where copies were made
    by editing one text, that is the text itself. Then, in buckets that hold several of the components found, one member of
@@ -40,6 +41,8 @@ from laborlake.llm import wordhash
 from laborlake.sources.staging import staged
 
 SHINGLE, KEPT, SKETCHES, LEAST = 5, 4, 20, 0.8
+#: Shingles of a short text, and how many of them its further sketches keep.
+SHORT, KEPT_SHORT = 20, 2
 #: Texts of a bucket up to which all are compared, and how often members are drawn.
 FEW, DRAWN = 32, 2
 #: Texts of a block, and pairs that are compared without drawing again.
@@ -68,12 +71,12 @@ def labelled_shingles(words: wordhash.Words) -> tuple[np.ndarray, np.ndarray]:
     return wordhash.mixed(grams ^ (label * _STEP)), offsets
 
 
-def order_sketch(shingles: np.ndarray) -> np.ndarray:
-    """For each hash function the hash of its ``KEPT`` smallest shingles in text order."""
+def order_sketch(shingles: np.ndarray, kept: int = KEPT) -> np.ndarray:
+    """For each hash function the hash of its ``kept`` smallest shingles in text order."""
     values = (shingles[None, :] ^ _SEEDS[:, None]) * _FACTORS[:, None]
     values ^= values >> np.uint64(32)
-    if len(shingles) > KEPT:
-        least = np.sort(np.argpartition(values, KEPT - 1, axis=1)[:, :KEPT], axis=1)
+    if len(shingles) > kept:
+        least = np.sort(np.argpartition(values, kept - 1, axis=1)[:, :kept], axis=1)
     else:
         least = np.broadcast_to(np.arange(len(shingles)), values.shape)
     out = _SEEDS.copy()
@@ -82,6 +85,12 @@ def order_sketch(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The buckets of a text."""
+    own = order_sketch(shingles)
+    return np.concatenate([own, order_sketch(shingles, KEPT_SHORT)]) if len(shingles) <= SHORT else own
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         nodes, sketches = [], []
@@ -91,7 +100,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingles, offsets = labelled_shingles(words)
             for i in range(hi - lo):
                 own = shingles[offsets[i] : offsets[i + 1]]
-                sketches.append(order_sketch(own).view(np.int64) if len(own) else None)
+                sketches.append(sketch(own).view(np.int64) if len(own) else None)
         node = np.concatenate(nodes) if nodes else np.zeros(0, np.int64)
         yield pa.record_batch(
             {
@@ -336,8 +345,8 @@ def _grown(parts: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """row, doc_id, class_id (the class's smallest doc_id), n_links (verified links of its text to other texts), first
-    (the row stands for its class) and times (how often the row stands in ``docs``), for every different row of ``docs``."""
+    """row, doc_id, class_id (the class's smallest doc_id), n_links (links of its text to other texts among the pairs
+    that were compared; pairs already in one class mostly aren't), first (the row stands for its class: its smallest by doc_id, row) and times (how often the row stands in ``docs``), for every different row of ``docs``."""
     sketched = staged(
         docs.select(row_key().alias("row"), "doc_id", F.lower("text").alias("text")).mapInArrow(
             _sketched, "row bigint, doc_id bigint, node bigint, sketch array<bigint>"
@@ -354,16 +363,18 @@ def classes(docs: DataFrame) -> DataFrame:
         "near-rows",
     )
     named = staged(
-        rows.groupBy("blank", "component").agg(F.min("doc_id").alias("class_id"), F.min(F.when(F.col("doc_id").isNull(), F.col("row"))).alias("null_row")),
+        rows.groupBy("blank", "component")
+        .agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("x"), F.min("row").alias("row"))
+        .select("blank", "component", F.col("x.doc_id").alias("class_id"), F.coalesce("x.row", "row").alias("first_row")),
         "near-classes",
     )
     joined = rows.join(named, ["blank", "component"])
-    first = F.when(F.col("class_id").isNull(), F.col("row") == F.col("null_row")).otherwise(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    first = (F.col("row") == F.col("first_row")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
     return joined.select("row", "doc_id", "class_id", "n_links", first.alias("first"), "times")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` per class: that with the smallest doc_id, with its columns."""
+    """One row of ``docs`` per class: that with the smallest doc_id (of several, the smallest row key), with its columns."""
     found = classes(docs)
     keyed = docs.withColumn("__row", row_key())
     drop = staged(found.where(~F.col("first")).select("row", "doc_id"), "near-drop")

@@ -219,6 +219,23 @@ def test_one_row_per_class_stays(make):
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(plain_classes(rows).values()))
 
 
+def test_one_of_near_copies_with_the_same_id_stays(make):
+    text = sentence(random.Random(15), 60, 5000)
+    left = near_duplicates.deduplicate(make([(7, text), (7, f"{text} more"), (8, text), (None, f"{text} other")])).collect()
+    assert [r.doc_id for r in left] == [7]
+
+
+def test_short_texts_share_a_bucket():
+    rng = np.random.default_rng(16)
+    for n in (4, 5, 8, 12, 15):
+        missed = 0
+        for _ in range(1000):
+            long = rng.integers(0, 1 << 63, n + n // 4).astype(np.uint64)
+            short = near_duplicates.sketch(long[:n])
+            missed += not set(short.tolist()) & set(near_duplicates.sketch(long).tolist())
+        assert missed == 0
+
+
 def test_chains_in_a_band_equal_longest_common_subsequences():
     rng = random.Random(14)
     for _ in range(80):
