@@ -266,7 +266,7 @@ def test_gold_refresh(spark, landed, tmp_path):
     for _ in range(2):
         gold.refresh(spark, jobs, skills, gold_root, "2024-02-01")
     roles = tables.current(spark, f"{gold_root}/daily_role_demand", schemas.DAILY_ROLE_DEMAND)
-    assert {(r.role, r.job_count) for r in roles.collect()} == {("Data Engineer", 1), ("DevOps/Platform", 1), ("Other", 3)}
+    assert {(r.role, r.job_count) for r in roles.collect()} == {("Data Engineer", 1), ("DevOps/Platform", 1), ("Other", 4)}
     tables.drop_old_versions(spark, f"{gold_root}/daily_role_demand", keep=1)
     assert len(list((tmp_path / "gold" / "daily_role_demand").glob("v=*"))) == 1
     checks = quality.gold_checks(
