@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laborlake.llm import chat, decontaminate, language_crf, mixing, near_duplicates, pii, quality_pu, rules, substrings, toxicity
+from laborlake.llm import (
+    chat, decontaminate, language_crf, mixing, near_duplicates, pii, prefix_trie, quality_pu, rules, substrings, toxicity,
+)
 from laborlake.llm.columns import fold, table
+from laborlake.sources.staging import staged
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,6 +164,56 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(scored, F.col("score") >= 0.3)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    own = staged(prefix_trie.turns(given), "trie-turns")
+    convs = own.select("conv_id").distinct().select(
+        "conv_id", (F.col("conv_id") - F.col("conv_id") % 5).alias("first"), (F.crc32(F.col("conv_id").cast("string")) % 9).alias("h")
+    )
+    # At most five conversations start with the turns of one, eight turns at most.
+    lent = own.where("pos < 8").withColumnRenamed("conv_id", "first").join(convs, "first").where("pos < h")
+    kept = own.where(F.col("pos") >= F.crc32(F.col("conv_id").cast("string")) % 9)
+    no_turn = convs.select("conv_id", F.lit(None).cast("long").alias("pos"), F.lit(None).cast("binary").alias("turn"), F.lit(None).cast("long").alias("bytes"))
+    columns = ["conv_id", "pos", "turn", "bytes"]
+    return prefix_trie.nodes(lent.select(columns).unionByName(kept.select(columns)).unionByName(no_turn))
+
+
+OP11_SQL = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8),
+    lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384::BIGINT, a >> 1) ELSE a >> 1 END, n::BIGINT)) AS tab),
+placed AS (
+  SELECT conv_id, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || ':' || coalesce(text, '')) AS t,
+         strlen(coalesce(text, ''))::BIGINT AS b, turn FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, t, b, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, t) - 1 AS pos FROM placed),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS first,
+         xor(4294967295::BIGINT, list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+           lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), 4294967295::BIGINT)) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM own), crc),
+rebuilt AS (
+  SELECT c.conv_id, o.pos, o.t, o.b FROM convs c JOIN own o ON o.conv_id = c.first AND o.pos < c.h
+  UNION ALL SELECT c.conv_id, o.pos, o.t, o.b FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.pos >= c.h),
+prefixes AS (
+  SELECT conv_id, row_number() OVER w AS d, string_agg(t, '') OVER (w ROWS UNBOUNDED PRECEDING) AS p, b
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+ends AS (SELECT conv_id, max(d) AS n FROM prefixes GROUP BY conv_id),
+nodes AS (
+  SELECT p, any_value(d)::BIGINT AS depth, min(x.conv_id) AS conv_id, count(*)::BIGINT AS n_convs, any_value(b)::BIGINT AS b,
+         sha256(coalesce(string_agg(x.conv_id::VARCHAR, ',' ORDER BY x.conv_id) FILTER (d = e.n), '')) AS ends_sha256
+  FROM prefixes x JOIN ends e ON x.conv_id = e.conv_id GROUP BY p),
+children AS (SELECT left(p, length(p) - 32) AS p, count(*)::BIGINT AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+sums AS (
+  SELECT x.p, count(*) FILTER (c.p IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.b)::BIGINT AS saved_tokens
+  FROM nodes n LEFT JOIN children c ON n.p = c.p JOIN prefixes x ON x.conv_id = n.conv_id AND x.d <= n.depth GROUP BY x.p)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0)::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON n.p = s.p LEFT JOIN children c ON n.p = c.p
+LEFT JOIN nodes up ON n.depth > 0 AND up.p = left(n.p, length(n.p) - 32)
+"""
+
+
 #: Name -> (query, checking SQL or None).
 QUERIES = {
     "op1_mixing": (op1_mixing, OP1_SQL),
@@ -173,4 +226,5 @@ QUERIES = {
     "op9_decontamination": (op9_decontamination, None),
     "op8_quality_classifier": (op8_quality_classifier, None),
     "op10_near_duplicates": (op10_near_duplicates, None),
+    "op11_conversation_trie": (op11_conversation_trie, OP11_SQL),
 }
