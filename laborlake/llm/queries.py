@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laborlake.llm import (
-    chat, decontaminate, language_crf, mixing, near_duplicates, pii, prefix_trie, quality_pu, rules, substrings, toxicity,
+    chat, decontaminate, language_crf, mixing, near_duplicates, pii, prefix_trie, quality_pu, rules, substrings, term_scan, toxicity,
 )
 from laborlake.llm.columns import fold, table
 from laborlake.sources.staging import staged
@@ -214,6 +214,29 @@ LEFT JOIN nodes up ON n.depth > 0 AND up.p = left(n.p, length(n.p) - 32)
 """
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_scan.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+OP12_SQL = rf"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, {_TERMS} AS t FROM documents WHERE text IS NOT NULL),
+sized AS (SELECT doc_id, r, len(t) AS n FROM docs WHERE len(t) > 0),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM sized),
+tfs AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM docs) GROUP BY r, term),
+wanted AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE text IS NOT NULL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tfs, totals WHERE term IN (SELECT term FROM wanted) GROUP BY term, docs),
+scored AS (
+  SELECT q.item_id, s.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * s.n * docs) // words))))::BIGINT AS score
+  FROM tfs f JOIN weights USING (term) JOIN wanted q USING (term) JOIN sized s ON f.r = s.r, totals GROUP BY q.item_id, f.r, s.doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
 #: Name -> (query, checking SQL or None).
 QUERIES = {
     "op1_mixing": (op1_mixing, OP1_SQL),
@@ -227,4 +250,5 @@ QUERIES = {
     "op8_quality_classifier": (op8_quality_classifier, None),
     "op10_near_duplicates": (op10_near_duplicates, None),
     "op11_conversation_trie": (op11_conversation_trie, OP11_SQL),
+    "op12_ranked_search": (op12_ranked_search, OP12_SQL),
 }
