@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laborlake.llm import (
-    chat, decontaminate, language_crf, mixing, near_duplicates, pii, prefix_trie, quality_pu, rules, substrings, term_scan, toxicity,
+    chat, decontaminate, language_crf, main_text, mixing, near_duplicates, pii, prefix_trie, quality_pu, rules, substrings, term_scan, toxicity,
 )
 from laborlake.llm.columns import fold, table
 from laborlake.sources.staging import staged
@@ -237,6 +237,28 @@ FROM scored WHERE score > 0 QUALIFY rank <= 10
 """
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+#: The given pages hold one article each; SQL takes its blocks by their tags, the operator by their paths' ratios.
+OP13_SQL = r"""
+WITH found AS (
+  SELECT page_id, url, row_number() OVER () AS r,
+         string_split_regex(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(h1|p)>') AS blocks
+  FROM pages),
+told AS (
+  SELECT page_id, url, r, list_transform(blocks, lambda b: trim(regexp_replace(
+    replace(replace(replace(replace(regexp_replace(regexp_replace(b, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'),
+      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '\s+', ' ', 'g'))) AS blocks
+  FROM found),
+joined AS (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(blocks, lambda b: regexp_replace(b, '&amp;?', '&', 'g')), lambda b: b <> ''), chr(10)) AS text
+  FROM told)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM joined
+"""
+
+
 #: Name -> (query, checking SQL or None).
 QUERIES = {
     "op1_mixing": (op1_mixing, OP1_SQL),
@@ -251,4 +273,5 @@ QUERIES = {
     "op10_near_duplicates": (op10_near_duplicates, None),
     "op11_conversation_trie": (op11_conversation_trie, OP11_SQL),
     "op12_ranked_search": (op12_ranked_search, OP12_SQL),
+    "op13_main_text": (op13_main_text, OP13_SQL),
 }
