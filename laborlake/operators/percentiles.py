@@ -26,8 +26,9 @@ def exact_percentiles(
     count_as: str = "sample_size",
     min_count: int = 1,
     decimals: int = 2,
+    times: str | None = None,
 ) -> DataFrame:
-    """Interpolated percentiles of a positive column; one row per group.
+    """Interpolated percentiles of a positive column; one row per group. ``times`` says how often a row's value counts.
 
     The built-in ``percentile`` keeps all distinct values of a group in one
     task's memory. Here equal values are first counted (shuffled by value, so
@@ -36,7 +37,7 @@ def exact_percentiles(
     Results are exact: bins choose what to read, never what to return.
     """
     counts = (
-        df.groupBy(*groups, value).agg(F.count("*").alias("_n")).withColumn("_bin", _bin(F.col(value)))
+        df.groupBy(*groups, value).agg((F.count("*") if times is None else F.sum(times)).alias("_n")).withColumn("_bin", _bin(F.col(value)))
     )
     # One row per bin: bounded by the bins of the value range, not by the rows.
     whole = Window.partitionBy(*groups)

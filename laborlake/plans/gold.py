@@ -77,22 +77,44 @@ def daily_skill_demand(
     return trailing_averages(daily, "skill")
 
 
-def usd_salaries(jobs: DataFrame, fx: DataFrame) -> DataFrame:
-    """Mid salary in US dollars of postings with both bounds usable and a known currency."""
+def mid_salaries(jobs: DataFrame) -> DataFrame:
+    """Role, country, currency code and mid salary of postings with both bounds usable."""
     usable = jobs.filter(
         F.col("salary_min").isNotNull()
         & F.col("salary_max").isNotNull()
         & (F.col("salary_min") > 0)
         & (F.col("salary_max") >= F.col("salary_min"))
     )
-    rates = fx.filter(F.col("rate") > 0).select(F.col("currency").alias("_code"), F.col("rate").alias("_rate"))
-    return usable.join(rates, currency_code(F.col("salary_currency")) == F.col("_code")).select(
-        _role().alias("role"),
-        F.coalesce("country", F.lit("UNKNOWN")).alias("country"),
-        ((F.col("salary_min") + F.col("salary_max")) / 2.0 / F.col("_rate")).alias("salary_usd"),
+    return usable.withColumns(
+        {
+            "role": _role(),
+            "country": F.coalesce("country", F.lit("UNKNOWN")),
+            "currency": currency_code(F.col("salary_currency")),
+            "mid": (F.col("salary_min") + F.col("salary_max")) / 2.0,
+        }
     )
 
 
+def in_usd(salaries: DataFrame, fx: DataFrame) -> DataFrame:
+    """Rows of a known currency with their mid salary in US dollars."""
+    rates = fx.filter(F.col("rate") > 0).select(F.col("currency").alias("_code"), F.col("rate").alias("_rate"))
+    return salaries.join(rates, F.col("currency") == F.col("_code")).withColumn("salary_usd", F.col("mid") / F.col("_rate"))
+
+
+def usd_salaries(jobs: DataFrame, fx: DataFrame) -> DataFrame:
+    """Mid salary in US dollars of postings with both bounds usable and a known currency."""
+    return in_usd(mid_salaries(jobs), fx).select("role", "country", "salary_usd")
+
+
+#: Percentiles of the salary table.
+SALARY_PERCENTILES = {"salary_median": 0.5, "salary_p25": 0.25, "salary_p75": 0.75, "salary_p90": 0.9}
+
+
+def default_rates(spark: SparkSession, fx: DataFrame | None) -> DataFrame:
+    """The built-in rate table, of ten rows, goes to every task; one that is passed in is left to Spark's own size check."""
+    return F.broadcast(fx_table(spark)) if fx is None else fx
+
+
 def salary_summary(
     jobs: DataFrame,
     fx: DataFrame | None = None,
@@ -107,10 +129,8 @@ def salary_summary(
     """
     if as_of is not None:
         jobs = _dated(jobs, as_of)
-    # The built-in rate table has ten rows; a table passed in is left to Spark's own size check.
-    rates = F.broadcast(fx_table(jobs.sparkSession)) if fx is None else fx
-    salaries = usd_salaries(jobs, rates)
-    wanted = {"salary_median": 0.5, "salary_p25": 0.25, "salary_p75": 0.75, "salary_p90": 0.9}
+    salaries = usd_salaries(jobs, default_rates(jobs.sparkSession, fx))
+    wanted = SALARY_PERCENTILES
     if not approximate:
         return exact_percentiles(
             salaries, ["role", "country"], "salary_usd", wanted, min_count=min_sample
@@ -131,18 +151,22 @@ def salary_summary(
 
 def remote_vs_onsite(jobs: DataFrame, as_of: str | None = None) -> DataFrame:
     """Remote, on-site and unknown postings per day and role, and the remote share of the known."""
+    counted = _dated(jobs, as_of).groupBy(F.to_date("posted_at").alias("date"), _role().alias("role"))
+    return with_remote_ratio(counted.agg(*remote_counts()))
+
+
+def remote_counts() -> list[Column]:
+    return [
+        F.count_if(F.col("remote")).alias("remote_count"),
+        F.count_if(~F.col("remote")).alias("onsite_count"),
+        F.count_if(F.col("remote").isNull()).alias("unknown_count"),
+    ]
+
+
+def with_remote_ratio(counted: DataFrame) -> DataFrame:
+    """Add the remote share of the postings whose place is known."""
     remote, onsite = F.col("remote_count"), F.col("onsite_count")
-    share = remote / F.nullif(remote + onsite, F.lit(0))
-    return (
-        _dated(jobs, as_of)
-        .groupBy(F.to_date("posted_at").alias("date"), _role().alias("role"))
-        .agg(
-            F.count_if(F.col("remote")).alias("remote_count"),
-            F.count_if(~F.col("remote")).alias("onsite_count"),
-            F.count_if(F.col("remote").isNull()).alias("unknown_count"),
-        )
-        .withColumn("remote_ratio", round_half_up(share, 4))
-    )
+    return counted.withColumn("remote_ratio", round_half_up(remote / F.nullif(remote + onsite, F.lit(0)), 4))
 
 
 def skill_cooccurrence(
@@ -238,7 +262,7 @@ def refresh(
     for name, (df, schema) in built.items():
         df = df.select(*schema.names)
         if name in replace:
-            written[name] = tables.publish(df, f"{gold_root}/{name}")
+            written[name] = tables.publish(df, f"{gold_root}/{name}", folder=tables.folder_of(tables.GOLD_KEYS[name]))
         else:
             written[name] = tables.upsert_gold(spark, gold_root, name, df, schema)
     return written

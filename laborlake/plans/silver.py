@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from laborlake.functions import infer, lexicons as lx, parse, text
 from laborlake.operators.dedup import first_per_key, not_yet_stored
 from laborlake.sources import ledger, schemas, tables
-from laborlake.sources.staging import staged
+from laborlake.sources.staging import freed, staged
 
 #: Longer list entries are no skills; they are left out and the posting stays.
 LONGEST_SKILL = 100
@@ -219,14 +219,54 @@ def job_skills(jobs: DataFrame, key: str = "raw_hash") -> DataFrame:
 
 
 def write(batch: SilverBatch, root: str, run_id: str) -> None:
-    """Store a batch. The jobs table comes last: only then does the batch count as stored.
+    """Store a batch. Its commit comes last: ``stored`` shows a run's postings, skills and details together or not at all.
 
     Jobs are sorted by date inside each file, so that date ranges skip row groups.
     """
+    spark = batch.jobs.sparkSession
+    tables.uncommit(spark, root, run_id)
     for name in ("job_skills", "board_details", "remote_details", "bulk_details", "rejects"):
         tables.write_run(getattr(batch, name), f"{root}/{name}", "run_id", run_id)
     jobs = batch.jobs.sortWithinPartitions("source", "posted_at")
     tables.write_run(jobs, f"{root}/jobs", "run_id", run_id, partition_by=["source"])
+    tables.commit(spark, root, run_id)
+
+
+#: Tables of a Silver folder.
+SCHEMAS = {
+    "jobs": schemas.JOBS,
+    "job_skills": schemas.JOB_SKILLS,
+    "board_details": schemas.BOARD_DETAILS,
+    "remote_details": schemas.REMOTE_DETAILS,
+    "bulk_details": schemas.BULK_DETAILS,
+    "rejects": schemas.PIPELINE_ERRORS,
+}
+
+
+def stored(spark: SparkSession, root: str, table: str, *, except_run: str | None = None) -> DataFrame:
+    """A table of a Silver folder, committed runs only, with their ``run_id``."""
+    return tables.read_committed(spark, root, table, SCHEMAS[table], except_run=except_run)
+
+
+def ingest(spark: SparkSession, bronze: DataFrame, root: str, run_id: str, ledger_root: str | None = None) -> dict:
+    """Landed records into Silver as one run: build against what is stored, write, commit, and keep the ledger.
+
+    The run is 'running' in the ledger until it is committed, then 'completed' with its counts; one that raises is
+    left as 'failed' and shows no rows. The same run id again replaces the run.
+    """
+    if ledger_root:
+        ledger.start_run(spark, ledger_root, run_id)
+    try:
+        with freed(spark):
+            batch = build(bronze, stored(spark, root, "jobs", except_run=run_id), run_id)
+            write(batch, root, run_id)
+    except Exception:
+        if ledger_root:
+            ledger.finish_run(spark, ledger_root, run_id, {}, 0, status="failed")
+        raise
+    if ledger_root:
+        ledger.finish_run(spark, ledger_root, run_id, batch.summary, stored(spark, root, "jobs").count())
+    return batch.summary
 
 
 def relabel_currency(jobs: DataFrame, source: str = lx.SOURCE_BOARD) -> DataFrame:

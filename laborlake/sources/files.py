@@ -25,3 +25,12 @@ def matching(spark: SparkSession, pattern: str) -> list[str]:
 def remove(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)
+
+
+def replace(spark: SparkSession, source: str, target: str) -> None:
+    """Put a finished folder in the place of another."""
+    fs, p = _fs(spark, source)
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    fs.delete(to, True)
+    if not fs.rename(p, to):
+        raise OSError(f"cannot move {source} to {target}")

@@ -60,6 +60,7 @@ def _store(spark: SparkSession, root: str, row: Mapping) -> None:
     full = tuple(row.get(f.name) for f in schemas.PIPELINE_RUNS)
     incoming = spark.createDataFrame([full], schemas.PIPELINE_RUNS)
     tables.upsert(spark, root, incoming, ["run_id"], schemas.PIPELINE_RUNS)
+    tables.drop_old_versions(spark, root)
 
 
 def error_rows(rejects: DataFrame, run_id: str, stage: str) -> DataFrame:

@@ -8,34 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from laborlake.plans import gold, silver
-from laborlake.sources import schemas, tables
-from laborlake.sources.staging import staged
+from laborlake.plans import deltas, gold, silver
+from laborlake.sources import tables
 
 
-def silver_writer(silver_root: str, prefix: str = "stream") -> Callable[[DataFrame, int], None]:
+def silver_writer(silver_root: str, prefix: str = "stream", ledger_root: str | None = None) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: the batch build against everything stored before.
 
-    The run id comes from the batch id and a run's folder is replaced as a
-    whole, so a batch repeated after a failure leaves no duplicates.
+    The run id comes from the batch id, a run's folder is replaced as a whole and committed last, so a batch repeated
+    after a failure leaves no duplicates. With ``ledger_root`` each micro-batch is a run of the ledger, with its counts,
+    or 'failed'.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        run_id = f"{prefix}-{batch_id:012d}"
-        spark = batch.sparkSession
-        stored = tables.read_runs(
-            spark, f"{silver_root}/jobs", schemas.JOBS, "run_id", except_run=run_id
-        )
         numbered = batch.withColumn("_seq", F.monotonically_increasing_id())
-        silver.write(silver.build(numbered, stored, run_id), silver_root, run_id)
+        silver.ingest(batch.sparkSession, numbered, silver_root, f"{prefix}-{batch_id:012d}", ledger_root)
 
     return write
 
 
-def start_silver(stream: DataFrame, silver_root: str, checkpoint: str) -> StreamingQuery:
+def start_silver(stream: DataFrame, silver_root: str, checkpoint: str, ledger_root: str | None = None) -> StreamingQuery:
     """Take in everything that has landed so far, then stop."""
     return (
-        stream.writeStream.foreachBatch(silver_writer(silver_root))
+        stream.writeStream.foreachBatch(silver_writer(silver_root, ledger_root=ledger_root))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -101,32 +96,31 @@ def touched_entities(table: str, new_jobs: DataFrame, job_skills: DataFrame) ->
     return new_jobs.select(*[labels[c] for c in ENTITIES[table]]).distinct()
 
 
-def gold_writer(silver_root: str, gold_root: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function over new Silver postings: refresh what they touch.
+def gold_writer(silver_root: str, gold_root: str, **options) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function over commits (or postings) of Silver runs: refresh all six tables by what the runs add.
 
-    Postings without a date and entities that gain nothing simply merge to the
-    same rows, so repeating a batch changes nothing.
+    A run that comes again replaces what it added before, so repeating a batch changes nothing. The driver gets the ids
+    of the micro-batch's runs. ``options`` are those of ``deltas.refresh``.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        jobs = tables.read_runs(spark, f"{silver_root}/jobs", schemas.JOBS, "run_id")
-        skills = tables.read_runs(spark, f"{silver_root}/job_skills", schemas.JOB_SKILLS)
-        new_jobs = staged(batch.select("raw_hash", "title_normalized", "country"), "gold-new-jobs")
-        for table in ENTITIES:
-            touched = staged(touched_entities(table, new_jobs, skills), f"{table}-touched")
-            schema = getattr(schemas, table.upper())
-            rows = rebuild(table, jobs, skills, touched).select(*schema.names)
-            tables.upsert_gold(spark, gold_root, table, rows, schema)
+        runs = sorted(r.run_id for r in batch.select("run_id").distinct().collect())
+        if runs:
+            deltas.refresh_from_silver(batch.sparkSession, silver_root, gold_root, runs, **options)
 
     return write
 
 
-def start_gold(spark: SparkSession, silver_root: str, gold_root: str, checkpoint: str) -> StreamingQuery:
-    """Refresh the aggregate tables for all postings stored since the last time, then stop."""
-    stored = spark.readStream.schema(schemas.JOBS).parquet(f"{silver_root}/jobs")
+def start_gold(
+    spark: SparkSession, silver_root: str, gold_root: str, checkpoint: str, *, max_runs: int = 100, **options
+) -> StreamingQuery:
+    """Refresh the aggregate tables for all Silver runs committed since the last time, then stop.
+
+    The stream reads commits, not postings: a run counts when all its tables are written, and again when it is replaced.
+    """
+    commits = spark.readStream.schema(tables.COMMITS).option("maxFilesPerTrigger", max_runs).parquet(f"{silver_root}/commits/*")
     return (
-        stored.writeStream.foreachBatch(gold_writer(silver_root, gold_root))
+        commits.writeStream.foreachBatch(gold_writer(silver_root, gold_root, **options))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
