@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laborlake.llm import wordhash
+from laborlake.llm import columns, wordhash
 from laborlake.sources.staging import staged
 
 SEED = 5
@@ -216,8 +216,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_COV
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_COVERAGE) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with their columns."""
-    out = staged(contaminated(docs, benchmark, least).select("row", "doc_id"), "tiling-found")
-    keyed = docs.withColumn("__row", row_key()).alias("_docs")
-    same = (F.col("_docs.__row") == F.col("_found.row")) & F.col("_docs.doc_id").eqNullSafe(F.col("_found.doc_id"))
-    return keyed.join(out.alias("_found"), same, "left_anti").select(*[F.col(f"_docs.`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that hold no benchmark item, with their columns, whatever their names."""
+    return columns.without(docs, staged(contaminated(docs, benchmark, least).select("row", "doc_id"), "tiling-found"))

@@ -104,16 +104,18 @@ def copies(docs: DataFrame, seed: str = "mix", **shares) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: str = "mix", **shares) -> DataFrame:
-    """Every row of ``docs`` as often as the mix takes it, with ``copy`` numbered from 1 (replacing a column of that name)."""
+    """Every row of ``docs`` as often as the mix takes it, with its copies numbered from 1 in ``copy`` (``_copy`` beside a
+    column of that name). Other columns stay as they are, whatever their names."""
     sizes = docs.select("source", columns.n_words(F.col("text")).alias("size"))
-    rates = staged(source_rates(sizes, **shares), "mix-rates").select("source", F.col("rate").alias("__rate"))
-    whole = F.floor("__rate")
-    more = F.when(drawn(seed, F.col("doc_id"), F.col("text")) < F.col("__rate") - whole, 1).otherwise(0)
+    rates = staged(source_rates(sizes, **shares), "mix-rates").select("source", "rate")
+    keyed = columns.packed(docs, source=F.col("source"), doc_id=F.col("doc_id"))
+    whole = F.floor("rate")
+    more = F.when(drawn(seed, F.col("given.doc_id"), F.col("given.text")) < F.col("rate") - whole, 1).otherwise(0)
     times = (whole + more).cast("int")
     return (
-        with_rates(docs, rates)
-        .withColumn("__times", times)
-        .where("__times > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-        .select(*[c for c in docs.columns if c != "copy"], "copy")
+        with_rates(keyed, rates)
+        .withColumn("times", times)
+        .where("times > 0")
+        .withColumn("number", F.explode(F.sequence(F.lit(1), F.col("times"))))
+        .select(*[F.col(f"given.`{c}`") for c in docs.columns], F.col("number").alias(columns.unused(docs, "copy")))
     )

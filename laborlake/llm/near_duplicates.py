@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laborlake.llm import wordhash
+from laborlake.llm import columns, wordhash
 from laborlake.sources.staging import staged
 
 SHINGLE, KEPT, SKETCHES, LEAST = 5, 4, 20, 0.8
@@ -374,17 +374,9 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` per class: that with the smallest doc_id (of several, the smallest row key), with its columns."""
-    found = classes(docs)
-    keyed = docs.withColumn("__row", row_key())
-    drop = staged(found.where(~F.col("first")).select("row", "doc_id"), "near-drop")
-    many = staged(found.where("first and times > 1").select("row", "doc_id"), "near-many")
-
-    def same(name: str):
-        return (F.col("d.__row") == F.col(f"{name}.row")) & F.col("d.doc_id").eqNullSafe(F.col(f"{name}.doc_id"))
-
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    kept = keyed.alias("d").join(drop.alias("x"), same("x"), "left_anti")
-    lone = kept.alias("d").join(many.alias("m"), same("m"), "left_anti").select(*columns)
-    alike = kept.alias("d").join(many.alias("m"), same("m"), "left_semi").dropDuplicates(["doc_id", "__row"]).select(*columns)
-    return lone.unionByName(alike)
+    """One row of ``docs`` per class: that with the smallest doc_id (of several, the smallest row key), with its columns,
+    whatever their names. Texts of rows that are alone in their class don't move."""
+    found = classes(docs).where(~F.col("first") | (F.col("times") > 1)).select("row", "doc_id", "first")
+    sure, others = columns.listed(docs, staged(found, "near-listed"))
+    kept = others.where("found is null or found.first").dropDuplicates(["row", "doc_id"])
+    return columns.unpacked(sure.select("given").unionByName(kept.select("given")), docs.columns)

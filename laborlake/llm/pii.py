@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from laborlake.llm import columns
 from laborlake.sources.staging import staged
 
 KINDS = ("email", "ip", "card", "phone")
@@ -268,13 +269,12 @@ def redact(docs: DataFrame, length: str | None = None) -> DataFrame:
     the texts that change."""
     found = spans(docs).where(F.size("all") > 0).select("row", "doc_id", "all").dropDuplicates(["row", "doc_id"])
     found = staged(found, "pii-found")
-    same = (F.col("d.__row") == F.col("f.row")) & F.col("d.doc_id").eqNullSafe(F.col("f.doc_id"))
-    joined = docs.withColumn("__row", row_key()).alias("d").join(found.alias("f"), same, "left")
-    spans_ = F.coalesce(F.col("f.all"), F.array().cast(f"array<{SPAN}>"))
-    out = joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], spans_.alias("_spans"))
-    masked = out.withColumn("_masked", redacted(F.col("text"), F.col("_spans")))
-    new = {"text": F.col("_masked")}
+    keyed = columns.packed(docs, row=row_key(), doc_id=F.col("doc_id")).alias("d")
+    same = (F.col("d.row") == F.col("f.row")) & F.col("d.doc_id").eqNullSafe(F.col("f.doc_id"))
+    spans_ = F.coalesce(F.col("f.all"), F.array().cast(f"array<{SPAN}>")).alias("spans")
+    masked = keyed.join(found.alias("f"), same, "left").select("given", spans_).withColumn("masked", redacted(F.col("given.text"), F.col("spans")))
+    new = {"text": F.col("masked")}
     if length:
         kind = docs.schema[length].dataType
-        new[length] = F.when(F.size("_spans") > 0, F.length("_masked").cast(kind)).otherwise(F.col(f"`{length}`"))
-    return masked.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+        new[length] = F.when(F.size("spans") > 0, F.length("masked").cast(kind)).otherwise(F.col(f"given.`{length}`"))
+    return masked.select(*[(new[c] if c in new else F.col(f"given.`{c}`")).alias(c) for c in docs.columns])

@@ -137,7 +137,8 @@ def _predicted(scored: DataFrame, says: Column) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return _predicted(scored, toxicity.is_toxic(0.5))
+    known = scored.withColumn("score", F.when(F.col("learned"), F.col("score")).otherwise(F.lit(0.0)))
+    return _predicted(known, F.col("score") >= 0.5)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
