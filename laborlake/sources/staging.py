@@ -17,14 +17,15 @@ _scopes = threading.local()
 
 @contextmanager
 def freed(spark: SparkSession) -> Iterator[None]:
-    """Tables staged inside are removed at the end: for steps that have written their results by then."""
-    outer, _scopes.paths = getattr(_scopes, "paths", None), []
+    """Tables staged inside are removed at the end, but for those to ``keep``: for steps that need them no longer then."""
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    _scopes.open.append([])
     try:
         yield
     finally:
-        for path in _scopes.paths:
+        for path in _scopes.open.pop():
             files.remove(spark, path)
-        _scopes.paths = outer
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,15 +40,16 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back.
+def staged(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
+    """Write ``df`` once and read it back. Inside ``freed`` the table goes at its end; with ``keep``, at that of the one around.
 
     Several outputs can then be derived without recomputing the input, columns
     are still pruned per output, and a lost executor costs no lineage.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/laborlake/{name}-{uuid.uuid4().hex}"
-    if getattr(_scopes, "paths", None) is not None:
-        _scopes.paths.append(path)
+    scopes = getattr(_scopes, "open", [])[: -1 if keep else None]
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
