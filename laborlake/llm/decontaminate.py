@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laborlake.llm import columns, wordhash
-from laborlake.sources.staging import staged
+from laborlake.sources.staging import freed, staged
 
 SEED = 5
 LEAST_COVERAGE = 0.6
@@ -217,4 +217,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_COV
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_COVERAGE) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with their columns, whatever their names."""
-    return columns.without(docs, staged(contaminated(docs, benchmark, least).select("row", "doc_id"), "tiling-found"))
+    with freed(docs.sparkSession):
+        out = staged(contaminated(docs, benchmark, least).select("row", "doc_id"), "tiling-found", keep=True)
+    return columns.without(docs, out)

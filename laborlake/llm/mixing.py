@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laborlake.llm import columns
-from laborlake.sources.staging import staged
+from laborlake.sources.staging import freed, staged
 
 #: Salts that deal out the rows of one source when rates are joined by a shuffle.
 SALTS = 32
@@ -104,10 +104,11 @@ def copies(docs: DataFrame, seed: str = "mix", **shares) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: str = "mix", **shares) -> DataFrame:
-    """Every row of ``docs`` as often as the mix takes it, with its copies numbered from 1 in ``copy`` (``_copy`` beside a
-    column of that name). Other columns stay as they are, whatever their names."""
+    """Every row of ``docs`` as often as the mix takes it, with ``copy`` numbered from 1 (replacing a column of that name). Other
+    columns stay as they are, whatever their names."""
     sizes = docs.select("source", columns.n_words(F.col("text")).alias("size"))
-    rates = staged(source_rates(sizes, **shares), "mix-rates").select("source", "rate")
+    with freed(docs.sparkSession):
+        rates = staged(source_rates(sizes, **shares), "mix-rates", keep=True).select("source", "rate")
     keyed = columns.packed(docs, source=F.col("source"), doc_id=F.col("doc_id"))
     whole = F.floor("rate")
     more = F.when(drawn(seed, F.col("given.doc_id"), F.col("given.text")) < F.col("rate") - whole, 1).otherwise(0)
@@ -117,5 +118,5 @@ def mix(docs: DataFrame, seed: str = "mix", **shares) -> DataFrame:
         .withColumn("times", times)
         .where("times > 0")
         .withColumn("number", F.explode(F.sequence(F.lit(1), F.col("times"))))
-        .select(*[F.col(f"given.`{c}`") for c in docs.columns], F.col("number").alias(columns.unused(docs, "copy")))
+        .select(*[F.col(f"given.`{c}`") for c in docs.columns if c != "copy"], F.col("number").alias("copy"))
     )

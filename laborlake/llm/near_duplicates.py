@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laborlake.llm import columns, wordhash
-from laborlake.sources.staging import staged
+from laborlake.sources.staging import freed, staged
 
 SHINGLE, KEPT, SKETCHES, LEAST = 5, 4, 20, 0.8
 #: Shingles of a short text, and how many of them its further sketches keep.
@@ -226,11 +226,12 @@ class _Search:
     def __init__(self, docs: DataFrame, sketched: DataFrame) -> None:
         with_sketch = sketched.where("sketch is not null")
         members = with_sketch.select("node", F.explode("sketch").alias("bucket")).groupBy("node", "bucket").agg(F.count("*").alias("_n"))
-        members = staged(members.select("node", "bucket"), "near-buckets")
-        full = staged(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "near-full")
-        members = staged(members.join(full, "bucket"), "near-shared")
-        central = staged(members.groupBy("node").agg(F.sum("n").alias("w")), "near-central")
-        self.members = staged(members.select("node", "bucket").join(central, "node"), "near-members")
+        with freed(docs.sparkSession):
+            members = staged(members.select("node", "bucket"), "near-buckets")
+            full = staged(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "near-full")
+            members = staged(members.join(full, "bucket"), "near-shared")
+            central = staged(members.groupBy("node").agg(F.sum("n").alias("w")), "near-central", keep=True)
+            self.members = staged(members.select("node", "bucket").join(central, "node"), "near-members", keep=True)
         # Shingles of every node that shares a bucket: the one time that texts move. The plan is the same at every size.
         wanted = with_sketch.join(central.select("node"), "node").groupBy("node").agg(*[F.first(c).alias(c) for c in ("row", "doc_id")])
         same = (F.col("t.row") == F.col("w.row")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))
@@ -317,7 +318,7 @@ class _Search:
 
 def links_and_components(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     search = _Search(docs, sketched)
-    parts = staged(components(search.check(search.central())), "near-parts")
+    parts = _parts(search.check(search.central()))
     placed = staged(search.placed(parts), "near-placed")
     pairs = search.across(placed)
     for seed in range(DRAWN):
@@ -341,7 +342,13 @@ def links_and_components(docs: DataFrame, sketched: DataFrame) -> tuple[DataFram
 def _grown(parts: DataFrame, found: DataFrame) -> DataFrame:
     """``parts`` with new links; they are stars already, so only those have to be worked in."""
     stars = parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    return staged(components(stars.unionByName(found)), "near-parts")
+    return _parts(stars.unionByName(found))
+
+
+def _parts(links: DataFrame) -> DataFrame:
+    """The components as a table; those written on the way to it are freed."""
+    with freed(links.sparkSession):
+        return staged(components(links), "near-parts", keep=True)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -376,7 +383,9 @@ def classes(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` per class: that with the smallest doc_id (of several, the smallest row key), with its columns,
     whatever their names. Texts of rows that are alone in their class don't move."""
-    found = classes(docs).where(~F.col("first") | (F.col("times") > 1)).select("row", "doc_id", "first")
-    sure, others = columns.listed(docs, staged(found, "near-listed"))
+    with freed(docs.sparkSession):
+        found = classes(docs).where(~F.col("first") | (F.col("times") > 1)).select("row", "doc_id", "first")
+        found = staged(found, "near-listed", keep=True)
+    sure, others = columns.listed(docs, found)
     kept = others.where("found is null or found.first").dropDuplicates(["row", "doc_id"])
     return columns.unpacked(sure.select("given").unionByName(kept.select("given")), docs.columns)

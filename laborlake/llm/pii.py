@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laborlake.llm import columns
-from laborlake.sources.staging import staged
+from laborlake.sources.staging import freed, staged
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns of the four kinds. Possessive repetition and the looking back keep matching linear in the text; they
@@ -267,8 +267,9 @@ def redacted(text: Column, spans_: Column) -> Column:
 def redact(docs: DataFrame, length: str | None = None) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced, all other columns and rows as they are; a column ``length`` follows
     the texts that change."""
-    found = spans(docs).where(F.size("all") > 0).select("row", "doc_id", "all").dropDuplicates(["row", "doc_id"])
-    found = staged(found, "pii-found")
+    with freed(docs.sparkSession):
+        found = spans(docs).where(F.size("all") > 0).select("row", "doc_id", "all").dropDuplicates(["row", "doc_id"])
+        found = staged(found, "pii-found", keep=True)
     keyed = columns.packed(docs, row=row_key(), doc_id=F.col("doc_id")).alias("d")
     same = (F.col("d.row") == F.col("f.row")) & F.col("d.doc_id").eqNullSafe(F.col("f.doc_id"))
     spans_ = F.coalesce(F.col("f.all"), F.array().cast(f"array<{SPAN}>")).alias("spans")

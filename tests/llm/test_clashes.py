@@ -9,7 +9,7 @@ from laborlake.llm import columns, decontaminate, mixing, near_duplicates, pii,
 
 from .conftest import sentence
 
-NAMES = ["__row", "_row", "row", "met", "given", "found", "place", "block", "bits", "_spans", "spans", "_masked", "masked", "all", "__rate", "rate", "times", "__times", "number", "__source", "__salt", "copy", "lowered", "score", "label", "first"]
+NAMES = ["__row", "_row", "row", "met", "given", "found", "place", "block", "bits", "_spans", "spans", "_masked", "masked", "all", "__rate", "rate", "times", "__times", "number", "__source", "__salt", "lowered", "score", "label", "first"]
 
 
 @pytest.fixture(scope="module")
@@ -40,7 +40,7 @@ def test_all_row_operators(spark, clashing):
     masked = pii.redact(clashing)
     assert kept_as_they_were(masked) == n and masked.columns == clashing.columns and masked.where("text like '%[EMAIL]'").count() == 30
     mixed = mixing.mix(clashing)
-    assert mixed.columns == [*clashing.columns, "_copy"] and kept_as_they_were(mixed) > 0
+    assert mixed.columns == [*clashing.columns, "copy"] and kept_as_they_were(mixed) > 0
 
 
 def test_rows_are_told_apart_whatever_the_bitmap_lets_pass(clashing, monkeypatch):
@@ -60,5 +60,5 @@ def test_pipeline_of_clashing_odd_and_empty_tables(spark, clashing, tmp_path):
         labels.write.parquet(f"{d}/labels.parquet")
         bench.write.parquet(f"{d}/benchmark.parquet")
         out = corpus_pipeline.run(spark, d)
-        assert out.columns == [*clashing.columns, "_copy"]
+        assert out.columns == [*clashing.columns, "copy"]
         kept_as_they_were(out)
