@@ -70,6 +70,10 @@ _SUMS = ", ".join(
     f"""cast(coalesce(sum(job_count) filter (where role = '{p}'), 0) as bigint) as "{p}" """ for p in PRIORITIES
 )
 
+_RANKING = f"""select cast(row_number() over (order by sum(total_jobs) desc, skill) as integer) as rank, skill,
+  cast(sum(total_jobs) as bigint) as total_jobs from ({_YEARLY}) group by skill order by 1 limit 12"""
+_RANKS = ", ".join(f"cast(coalesce(sum(y.total_jobs) filter (where r.rank = {n}), 0) as bigint) as rank_{n}" for n in range(1, 13))
+
 _OVERVIEW_SQL = f"""with rd as ({px.role_demand_sql()}), sd as ({px.skill_demand_sql()}),
 ss as ({px.SALARY_SUMMARY}), co as ({px.COOCCURRENCE}), al as ({px.ALERTS}), rv as ({px.remote_sql(AS_OF)})
 select (select count(*) from ({px.POSTINGS}) where cast(posted_at as date) {_BETWEEN}) as jobs_in_window,
@@ -138,6 +142,16 @@ QUERIES = {
         f"""select cast(year(date) as integer) as year, {_SUMS} from ({px.role_demand_sql()})
         group by 1""",
     ),
+    "yearly_chart_ranking": (
+        lambda s, d: views.chart_ranking(views.skills_yearly(_skills(s, d), "all"), 12),
+        _RANKING,
+    ),
+    "yearly_chart_ranked": (
+        lambda s, d: views.ranked_chart(views.skills_yearly(_skills(s, d), "all"), 12),
+        f"""with y as ({_YEARLY}), r as ({_RANKING})
+        select year, cast(sum(y.total_jobs) as bigint) as total_jobs, {_RANKS}
+        from y left join r on y.skill = r.skill group by year""",
+    ),
     "role_demand_filtered": (
         lambda s, d: views.role_demand(_roles(s, d), START, END, "medi"),
         f"""select * from ({px.role_demand_sql()}) where date {_BETWEEN} and role ilike '%medi%'""",

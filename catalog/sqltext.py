@@ -56,10 +56,14 @@ def boolean(x: str, yes, no) -> str:
 
 
 def timestamp(x: str, strip_first: bool = False) -> str:
-    s = f"left({strip(x) if strip_first else x}, 19)"
-    formats = "['%Y-%m-%dT%H:%M:%S', '%Y-%m-%dT%H:%M:%SZ', '%Y-%m-%d %H:%M:%S', '%Y-%m-%d', '%d/%m/%Y']"
-    offset = f"regexp_extract({strip(x)}, '[0-9]:[0-9]{{1,2}}(?:[.][0-9]+)?[ ]*([+-][0-9]{{2}}:?[0-9]{{2}})$', 1)"
-    minutes = f"(try_cast(substr({offset}, 2, 2) as int) * 60 + try_cast(right({offset}, 2) as int))"
+    form = "([0-9]:[0-9]{1,2}(?:[.][0-9]+)?)[ ]*([+-][0-9]{2}(?::?[0-9]{2})?)$"
+    bare = strip(x) if strip_first else f"rtrim({x}, '{_WS}')"
+    s = f"left(regexp_replace({bare}, '{form}', '\\1'), 19)"
+    times = ["%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M:%SZ", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d", "%d/%m/%Y"]
+    formats = "[" + ", ".join(map(quote, times)) + "]"
+    offset = f"regexp_extract({strip(x)}, '{form}', 2)"
+    rest = f"coalesce(try_cast(substr(replace({offset}, ':', ''), 4, 2) as int), 0)"
+    minutes = f"(try_cast(substr({offset}, 2, 2) as int) * 60 + {rest})"
     ahead = f"coalesce(case when left({offset}, 1) = '-' then -{minutes} else {minutes} end, 0)"
     return f"(case when {s} = ltrim({s}) then try_strptime({s}, {formats}) - to_minutes({ahead}) end)"
 

@@ -118,13 +118,13 @@ def _list_sql(x: str) -> str:
 _COUNTRY_SQL = f"upper(coalesce(nullif(country, ''), {sq.rules('location', lx.COUNTRY_HINTS)}))"
 _CANONICAL = f"""with f as ({_FIRST}), g as (select *, {_COUNTRY_SQL} as place, {_list_sql("skills_extracted")} as given from f),
 h as (select *, case when len(given) > 0 then given else {sq.skills("description")} end as skills from g)
-select raw_hash, source, coalesce({sq.clean("external_id", 255)}, left(raw_hash, 32)) as external_id,
-  substring(title, 1, 512) as title,
-  left(coalesce(nullif(title_normalized_hint, ''),
-    {sq.rules("concat_ws(' ', substring(title, 1, 512), coalesce(category, ''))", lx.TITLE_RULES)}), 255) as title_normalized,
-  left(company, 255) as company_name, left(location, 255) as location, left(place, 100) as country,
-  left({sq.city("location")}, 100) as city,
-  coalesce(remote, {sq.remote_words("concat_ws(' ', substring(title, 1, 512), location, description)")}) as remote,
+select raw_hash, source, coalesce({sq.clean("external_id")}, left(raw_hash, 32)) as external_id,
+  title,
+  coalesce(nullif(title_normalized_hint, ''),
+    {sq.rules("concat_ws(' ', title, coalesce(category, ''))", lx.TITLE_RULES)}) as title_normalized,
+  company as company_name, location, place as country,
+  {sq.city("location")} as city,
+  coalesce(remote, {sq.remote_words("concat_ws(' ', title, location, description)")}) as remote,
   salary_min, salary_max, {sq.currency("place")} as salary_currency,
   salary_min is null and salary_max is null as salary_missing, len(skills) = 0 as skill_missing,
   description, {sq.timestamp("posted_at")} as posted_at, skills, contract_type, category, country as given_country,
@@ -232,7 +232,7 @@ def _wide_sql() -> str:
       {c["title"]} as title, {c["company_name"]} as company_name, {c["location_raw"]} as location_raw,
       null as country, {c["remote_flag"]} as remote_flag, {c["posted_at_raw"]} as posted_at_raw,
       {low} as salary_min, {low} as salary_max, 'USD' as salary_currency,
-      left({sq.clean(_landed_expr("job_type", "sql"))}, 80) as employment_type, {c["description"]} as description,
+      {sq.clean(_landed_expr("job_type", "sql"))} as employment_type, {c["description"]} as description,
       null as skills_text, 1 as rank from documents"""
     joined = {
         "[]": "''", SKILL_TEXT[2]: "'Python, sql , SQL'", SKILL_TEXT[4]: "'Team Work, '",
@@ -245,7 +245,7 @@ def _wide_sql() -> str:
       {sq.clean("country")} as country, {sq.boolean("remote", lx.TRUE_WIDE, lx.FALSE_WIDE)} as remote_flag,
       {sq.clean("posted_at")} as posted_at_raw, {sq.money("salary_min")} as salary_min,
       {sq.money("salary_max")} as salary_max, 'USD' as salary_currency,
-      left({sq.clean("coalesce(nullif(job_type, ''), nullif(contract_type, ''))")}, 80) as employment_type,
+      {sq.clean("coalesce(nullif(job_type, ''), nullif(contract_type, ''))")} as employment_type,
       {sq.clean("description")} as description,
       case when skills_extracted = {sq.quote(SKILL_TEXT[3])} then 'a, b' else
         case skills_extracted {arms} end end as skills_text,
@@ -263,8 +263,8 @@ def _wide_sql() -> str:
     names = ", ".join(n for n in schemas.WIDE.names if n not in ("is_exact_duplicate", "normalization_run_id"))
     return f"""with u as ({raw} union all {api}),
     p as (select *, {sq.timestamp("posted_at_raw", True)} as posted_at from u),
-    w as (select * exclude (country), left(coalesce(country, {sq.rules("location_raw", lx.COUNTRY_HINTS_WIDE)}), 100) as country,
-      left(title, 255) as title_norm, left({sq.city("location_raw")}, 100) as city,
+    w as (select * exclude (country), coalesce(country, {sq.rules("location_raw", lx.COUNTRY_HINTS_WIDE)}) as country,
+      title as title_norm, {sq.city("location_raw")} as city,
       {sq.rules("title", lx.ROLE_RULES)} as role_family, cast({score} as integer) as quality_score,
       nullif(concat_ws(',', {lacks}), '') as quality_flags,
       concat({parts.replace("), lower", "), '|', lower")}, '|', coalesce(strftime(posted_at, '%Y-%m-%d'), '')) as dedup_key from p)
@@ -477,22 +477,22 @@ QUERIES = {
     ),
     "silver_board_details": (
         lambda s, d: _batch(s, d).board_details,
-        f"""select raw_hash as job_id, {sq.clean("contract_type", 50)} as contract_type,
+        f"""select raw_hash as job_id, {sq.clean("contract_type")} as contract_type,
           cast(null as varchar) as contract_time, cast(null as boolean) as salary_is_predicted,
-          {sq.clean("category", 255)} as category, cast(null as varchar) as category_tag,
-          left(nullif(lower({sq.strip("given_country")}), ''), 10) as country_code, cast(null as varchar) as location_area
+          {sq.clean("category")} as category, cast(null as varchar) as category_tag,
+          nullif(lower({sq.strip("given_country")}), '') as country_code, cast(null as varchar) as location_area
         from ({_STORED}) where source = 'adzuna'""",
     ),
     "silver_remote_details": (
         lambda s, d: _batch(s, d).remote_details,
-        f"""select raw_hash as job_id, {sq.clean("job_type", 50)} as job_type, {sq.clean("category", 255)} as category,
-          {sq.clean("salary_raw", 255)} as salary_raw, nullif(url, '') as source_url
+        f"""select raw_hash as job_id, {sq.clean("job_type")} as job_type, {sq.clean("category")} as category,
+          {sq.clean("salary_raw")} as salary_raw, nullif(url, '') as source_url
         from ({_STORED}) where source = 'remotive'""",
     ),
     "silver_bulk_details": (
         lambda s, d: _batch(s, d).bulk_details,
         f"""select raw_hash as job_id, cast(null as varchar) as dataset_slug,
-          try_cast({sq.strip("dataset_year")} as integer) as dataset_year, {sq.clean("work_type", 50)} as work_type,
+          try_cast({sq.strip("dataset_year")} as integer) as dataset_year, {sq.clean("work_type")} as work_type,
           cast(null as varchar) as experience_level, cast(null as varchar) as employment_type,
           cast(null as varchar) as company_size from ({_STORED}) where source = 'kaggle'""",
     ),

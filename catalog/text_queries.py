@@ -138,7 +138,7 @@ _REST = "lpad(cast(cast(floor(o_totalprice) as bigint) % 1000 as {text}), 3, '0'
 def _amounts(text: str) -> str:
     p = f"cast(cast(o_totalprice as decimal(12, 2)) as {text})"
     k = f"cast({_THOUSANDS} as {text})"
-    return f"""case o_orderkey % 9 when 0 then concat('$', {p})
+    return f"""case o_orderkey % 13 when 0 then concat('$', {p})
       when 1 then concat({k}, ',', {_REST.format(text=text)}) when 2 then concat({k}, 'k')
       when 3 then concat(' ', {p}, ' ') when 4 then concat('-', {p}) when 5 then 'nan'
       when 6 then concat({p}, 'd') when 7 then '' else concat({k}, 'e3') end"""
@@ -202,9 +202,10 @@ _DATE_PIECES = (
 def _date_text(text: str) -> str:
     at = "o_orderdate + o_orderkey * interval 61 second"
     f = _DATE_PIECES if text == "string" else [f"strftime({at}, {sq.quote(form)})" for form in _DATE_FORMS]
-    return f"""case o_orderkey % 9 when 0 then concat({f[0]}, '+05:30') when 1 then concat({f[0]}, 'Z')
+    return f"""case o_orderkey % 13 when 0 then concat({f[0]}, '+05:30') when 1 then concat({f[0]}, 'Z')
       when 2 then concat({f[1]}, '.123456') when 3 then {f[2]} when 4 then {f[3]} when 5 then {f[4]}
-      when 6 then {f[5]} when 7 then concat(' ', {f[2]}) else '' end"""
+      when 6 then {f[5]} when 7 then concat(' ', {f[2]}) when 8 then concat({f[0]}, '-08') when 9 then concat(left({f[0]}, 16), '-08:00')
+      when 10 then concat(left({f[1]}, 16), ' +0130 ') when 11 then concat(left({f[0]}, 16), 'Z') else '' end"""
 
 
 def _datetimes(spark, d):

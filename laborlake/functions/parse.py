@@ -14,7 +14,7 @@ WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _INTEGER = r"^[+-]?[0-9]+$"
-_OFFSET = r"[0-9]:[0-9]{1,2}(?:[.][0-9]+)?[ ]*([+-][0-9]{2}:?[0-9]{2})$"
+_OFFSET = r"([0-9]:[0-9]{1,2}(?:[.][0-9]+)?)[ ]*([+-][0-9]{2}(?::?[0-9]{2})?)$"
 _ISO = (
     r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
     r"(T[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}Z?|\s+[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2})?$"
@@ -108,19 +108,21 @@ def timestamp(c: Column, *, strip_first: bool = False) -> Column:
 
     Accepts ISO with 'T' (an optional 'Z'), ISO with a blank, an ISO date and
     day/month/year, read from the first 19 characters. A fraction behind them is
-    dropped; an offset such as -08:00 behind a time is taken off, so the result is
-    the time in UTC. Without an offset the time stands as it is.
+    dropped; an offset such as -08:00, -0800 or -08 behind a time is taken off, so
+    the result is the time in UTC. Without an offset the time stands as it is. A
+    time without seconds gives NULL, whatever its offset.
     """
-    whole = strip(c)
-    offset = F.regexp_extract(whole, _OFFSET, 1)
-    minutes = F.try_to_number(F.substring(offset, 2, 2), F.lit("99")) * 60 + F.try_to_number(F.substring(F.regexp_replace(offset, ":", ""), 4, 2), F.lit("99"))
+    offset = F.regexp_extract(strip(c), _OFFSET, 2)
+    hours = F.try_to_number(F.substring(offset, 2, 2), F.lit("99"))
+    rest = F.coalesce(F.try_to_number(F.substring(F.regexp_replace(offset, ":", ""), 4, 2), F.lit("99")), F.lit(0))
+    minutes = hours * 60 + rest
     ahead = F.make_dt_interval(mins=F.when(offset.startswith("-"), -minutes).otherwise(minutes).cast("int"))
-    local = _local_timestamp(c, strip_first)
+    local = _local_timestamp(F.regexp_replace(strip(c) if strip_first else F.rtrim(c, F.lit(WHITESPACE)), _OFFSET, "$1"))
     return F.when(offset == "", local).otherwise(local - ahead)
 
 
-def _local_timestamp(c: Column, strip_first: bool) -> Column:
-    text = F.substring(strip(c) if strip_first else c, 1, 19)
+def _local_timestamp(c: Column) -> Column:
+    text = F.substring(c, 1, 19)
     iso = F.regexp_replace(text, _DAY_FIRST, "$3-$2-$1")
     plain = F.regexp_replace(F.rtrim(iso, F.lit("Z")), r"\s+", " ")
     return F.when(iso.rlike(_ISO), plain.try_cast("timestamp_ntz"))

@@ -50,7 +50,7 @@ def bulk_envelope(rows: DataFrame, dataset_key: str, slug: str, year: int | None
         F.lit("").alias("title_normalized_hint"),
         get("company").alias("company"),
         get("location").alias("location"),
-        parse.null_if_empty(F.substring(get("country"), 1, 100)).alias("country"),
+        parse.null_if_empty(get("country")).alias("country"),
         get("description").alias("description"),
         or_single("sal_min").alias("salary_min"),
         or_single("sal_max").alias("salary_max"),

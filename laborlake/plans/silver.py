@@ -56,7 +56,7 @@ def dedup_batch(hashed: DataFrame) -> DataFrame:
 
 def canonical(hashed: DataFrame) -> DataFrame:
     """All columns of the posting and its detail rows, plus ``skills`` and a reject reason."""
-    title = text.clean(F.col("title"), 512)
+    title = text.clean(F.col("title"))
     location, description = F.col("location"), F.col("description")
     country = infer.country_choice(F.col("country"), location)
     given = parse.skill_list(F.col("skills_extracted"))
@@ -68,21 +68,17 @@ def canonical(hashed: DataFrame) -> DataFrame:
         "raw_hash",
         "source",
         F.coalesce(
-            text.clean(F.col("external_id"), 255), F.substring("raw_hash", 1, 32)
+            text.clean(F.col("external_id")), F.substring("raw_hash", 1, 32)
         ).alias("external_id"),
         title.alias("title"),
-        F.substring(
-            F.coalesce(
-                parse.null_if_empty(F.col("title_normalized_hint")),
-                infer.canonical_title(title, F.col("category")),
-            ),
-            1,
-            255,
+        F.coalesce(
+            parse.null_if_empty(F.col("title_normalized_hint")),
+            infer.canonical_title(title, F.col("category")),
         ).alias("title_normalized"),
-        text.or_blank(text.clean(F.col("company"), 255)).alias("company_name"),
-        F.substring(location, 1, 255).alias("location"),
-        F.substring(country, 1, 100).alias("country"),
-        F.substring(infer.city(location), 1, 100).alias("city"),
+        text.or_blank(text.clean(F.col("company"))).alias("company_name"),
+        location.alias("location"),
+        country.alias("country"),
+        infer.city(location).alias("city"),
         F.coalesce("remote", infer.remote_by_words(everything)).alias("remote"),
         "salary_min",
         "salary_max",
@@ -92,7 +88,7 @@ def canonical(hashed: DataFrame) -> DataFrame:
         description.alias("description"),
         parse.timestamp(F.col("posted_at")).alias("posted_at"),
         skills.alias("skills"),
-        F.substring(F.col("external_id"), 1, 250).alias("_record_id"),
+        F.col("external_id").alias("_record_id"),
         _reject_reason().alias("_reject"),
         *_detail_columns(),
     )
@@ -104,27 +100,18 @@ def _reject_reason() -> Column:
 
 
 def _detail_columns() -> list[Column]:
-    def cut(name: str, size: int) -> Column:
-        return text.clean(F.col(name), size)
+    def filled(name: str) -> Column:
+        return text.clean(F.col(name)).alias(f"d_{name}")
 
     area = F.array_join(F.from_json("location_area", "array<string>"), ", ")
     return [
-        cut("contract_type", 50).alias("d_contract_type"),
-        cut("contract_time", 50).alias("d_contract_time"),
+        *[filled(c) for c in ("contract_type", "contract_time", "category", "category_tag", "job_type", "salary_raw", "dataset_slug")],
+        *[filled(c) for c in ("work_type", "experience_level", "employment_type", "company_size")],
         parse.boolean_wide(F.col("salary_is_predicted")).alias("d_salary_is_predicted"),
-        cut("category", 255).alias("d_category"),
-        cut("category_tag", 100).alias("d_category_tag"),
-        text.clean(F.lower(text.or_blank(F.col("country"))), 10).alias("d_country_code"),
-        text.clean(F.coalesce(area, F.col("location_area")), 255).alias("d_location_area"),
-        cut("job_type", 50).alias("d_job_type"),
-        cut("salary_raw", 255).alias("d_salary_raw"),
+        text.clean(F.lower(text.or_blank(F.col("country")))).alias("d_country_code"),
+        text.clean(F.coalesce(area, F.col("location_area"))).alias("d_location_area"),
         parse.null_if_empty(F.col("url")).alias("d_source_url"),
-        cut("dataset_slug", 255).alias("d_dataset_slug"),
         parse.integer(F.col("dataset_year")).alias("d_dataset_year"),
-        cut("work_type", 50).alias("d_work_type"),
-        cut("experience_level", 50).alias("d_experience_level"),
-        cut("employment_type", 50).alias("d_employment_type"),
-        cut("company_size", 10).alias("d_company_size"),
     ]
 
 

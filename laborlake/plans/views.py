@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laborlake.operators.percentiles import round_half_up
@@ -131,6 +131,22 @@ def yearly_chart(yearly: DataFrame, skills: Sequence[str]) -> DataFrame:
     )
 
 
+def chart_ranking(yearly: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` strongest skills over all years: rank from 1, skill and total; ties in name order."""
+    totals = yearly.groupBy("skill").agg(F.sum("total_jobs").alias("total_jobs")).orderBy(F.desc("total_jobs"), "skill").limit(k)
+    best = Window.orderBy(F.desc("total_jobs"), "skill")  # over k rows
+    return totals.select(F.row_number().over(best).alias("rank"), "skill", "total_jobs")
+
+
+def ranked_chart(yearly: DataFrame, k: int = 10) -> DataFrame:
+    """One row per year: its postings over all skills, and those of the ``k`` strongest skills as zero-filled columns
+    ``rank_1`` to ``rank_k``. Which skill has a rank says ``chart_ranking``; no names are handed in or fetched."""
+    ranked = yearly.join(F.broadcast(chart_ranking(yearly, k).select("skill", "rank")), "skill", "left")
+    jobs = F.col("total_jobs")
+    places = [F.coalesce(F.sum(F.when(F.col("rank") == n, jobs)), F.lit(0)).alias(f"rank_{n}") for n in range(1, k + 1)]
+    return ranked.groupBy("year").agg(F.sum(jobs).alias("total_jobs"), *places).orderBy("year")
+
+
 # Roles
 
 

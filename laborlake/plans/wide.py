@@ -31,12 +31,12 @@ def from_raw_tables(rows: DataFrame) -> DataFrame:
     posted = words("posted_at")
     return rows.select(
         F.lit(lx.SOURCE_BULK).alias("source"),
-        text.clean(F.col("dataset_key"), 100).alias("dataset_key"),
-        text.clean(F.col("source_file"), 255).alias("source_file"),
+        text.clean(F.col("dataset_key")).alias("dataset_key"),
+        text.clean(F.col("source_file")).alias("source_file"),
         words("source_record_id").alias("source_record_id"),
         F.col("raw_table"),
         F.col("row_number").alias("raw_row_number"),
-        text.clean(F.col("run_id"), 36).alias("run_id"),
+        text.clean(F.col("run_id")).alias("run_id"),
         words("title").alias("title"),
         words("company").alias("company_name"),
         words("location").alias("location_raw"),
@@ -45,8 +45,8 @@ def from_raw_tables(rows: DataFrame) -> DataFrame:
         posted.alias("posted_at_raw"),
         low.alias("salary_min"),
         F.coalesce(parse.money(pick("salary_max")), low).alias("salary_max"),
-        F.substring(F.coalesce(words("currency"), F.lit("USD")), 1, 10).alias("salary_currency"),
-        F.substring(words("employment_type"), 1, 80).alias("employment_type"),
+        F.coalesce(words("currency"), F.lit("USD")).alias("salary_currency"),
+        words("employment_type").alias("employment_type"),
         words("description").alias("description"),
         words("skills").alias("skills_text"),
         F.concat_ws("/", F.lit("1"), "raw_table", F.coalesce("run_id", F.lit("")),
@@ -65,7 +65,7 @@ def from_bronze(source: str, records: DataFrame, rank: int) -> DataFrame:
     return records.select(
         F.lit(source).alias("source"),
         F.lit(None).cast("string").alias("dataset_key"),
-        text.clean(F.col("_name"), 255).alias("source_file"),
+        text.clean(F.col("_name")).alias("source_file"),
         text.clean(F.coalesce(filled("external_id"), filled("id"), filled("url"))).alias("source_record_id"),
         F.lit(f"bronze_{source}").alias("raw_table"),
         F.col("_row").alias("raw_row_number"),
@@ -79,9 +79,7 @@ def from_bronze(source: str, records: DataFrame, rank: int) -> DataFrame:
         parse.money(F.col("salary_min")).alias("salary_min"),
         parse.money(F.col("salary_max")).alias("salary_max"),
         F.lit("USD").alias("salary_currency"),
-        F.substring(
-            text.clean(F.coalesce(filled("job_type"), filled("contract_type"))), 1, 80
-        ).alias("employment_type"),
+        text.clean(F.coalesce(filled("job_type"), filled("contract_type"))).alias("employment_type"),
         text.clean(F.col("description")).alias("description"),
         F.array_join(listed, ", ").alias("skills_text"),
         F.concat_ws("/", F.lit(str(rank)), "_path").alias("_place"),
@@ -116,9 +114,9 @@ def wide_rows(canonical: DataFrame, normalization_run_id: str) -> DataFrame:
     return located.withColumns(
         {
             "normalization_run_id": F.lit(normalization_run_id),
-            "title_norm": F.substring(title, 1, 255),
-            "country": F.substring(F.coalesce("country", infer.country_wide(location)), 1, 100),
-            "city": F.substring(infer.city(location), 1, 100),
+            "title_norm": title,
+            "country": F.coalesce("country", infer.country_wide(location)),
+            "city": infer.city(location),
             "role_family": infer.role_family(title),
             "quality_score": score,
             "quality_flags": lacks,

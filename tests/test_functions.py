@@ -141,3 +141,31 @@ def test_timestamp_takes_offsets_off(apply):
     given = ["2024-03-01T23:00:00-08:00", "2024-03-01 01:30:00.25 +0530", "2024-03-01T23:00:00Z", "2024-03-01"]
     want = [datetime(2024, 3, 2, 7), datetime(2024, 2, 29, 20), datetime(2024, 3, 1, 23), datetime(2024, 3, 1)]
     assert apply(parse.timestamp, given) == want
+
+
+def test_short_offsets_and_times_without_seconds(apply):
+    got = {
+        "2024-03-01T23:00:00-08": "2024-03-02T07:00:00",
+        "2024-03-01T23:00-08:00": None,
+        "2024-03-01 23:00:59.25 +0530": "2024-03-01T17:30:59",
+        "2024-03-01T23:00": None,
+        "2024-03-01T23:00Z": None,
+        "2024-03-01-08": None,
+        "2024-03-01T23-08": None,
+    }
+    out = apply(parse.timestamp, list(got))
+    assert [o and o.isoformat() for o in out] == list(got.values())
+
+
+def test_texts_keep_their_length(spark):
+    from laborlake.plans import silver
+
+    long = "x" * 2000
+    names = ("title", "company", "location", "external_id", "category", "job_type", "company_size", "country")
+    from laborlake.sources import schemas
+
+    row = {f.name: None for f in schemas.BRONZE} | dict.fromkeys(names, long) | {"source": "kaggle"}
+    bronze = spark.createDataFrame([tuple(row.values())], schemas.BRONZE)
+    r = silver.canonical(silver.with_hash(silver.clean(bronze))).first()
+    kept = [r.title, r.company_name, r.location, r.external_id, r.d_category, r.d_job_type, r.d_company_size, r.d_country_code, r.city]
+    assert {len(v) for v in kept} == {2000}

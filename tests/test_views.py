@@ -157,3 +157,11 @@ def test_free_text(spark):
     one, two = predict.from_free_text(texts).orderBy("id").collect()
     assert (one.job_title, one.selected_skills, one.remote_status) == ("data analyst", ["sql"], "Remote")
     assert (two.job_title, two.selected_skills, two.remote_status, two.industry) == ("other", [], "On-site", "Tech")
+
+
+def test_ranked_chart_finds_its_columns(spark):
+    rows = [(2020, "b", 5), (2021, "b", 1), (2020, "a", 6), (2021, "c", 9), (2022, "d", 1)]
+    yearly = spark.createDataFrame(rows, "year int, skill string, total_jobs long")
+    assert [tuple(r) for r in views.chart_ranking(yearly, 3).collect()] == [(1, "c", 9), (2, "a", 6), (3, "b", 6)]
+    assert [tuple(r) for r in views.ranked_chart(yearly, 3).collect()] == [(2020, 11, 0, 6, 5), (2021, 10, 9, 0, 1), (2022, 1, 0, 0, 0)]
+    assert [tuple(r) for r in views.ranked_chart(yearly.limit(0), 2).collect()] == []
