@@ -18,6 +18,7 @@ reported as one; items with a null id are left out; repeated items with one id a
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -110,8 +111,8 @@ def _starts(hashes: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray
 
 
 def tiles(item: np.ndarray, text: np.ndarray, barred: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
-    """Greedy tiles (item start, text start, words): the longest match of free words first, both sides marked, down to
-    ``least`` words. ``barred`` words of the text match nothing."""
+    """Greedy tiles (item start, text start, words): the longest match of free words first (of equal ones the first in the
+    item, then in the text), both sides marked, down to ``least`` words. ``barred`` words of the text match nothing."""
     free_item, free_text = np.ones(len(item), bool), ~barred
     found: list[tuple[int, int, int]] = []
     size = max(least, min(len(item), len(text)))
@@ -134,16 +135,19 @@ def tiles(item: np.ndarray, text: np.ndarray, barred: np.ndarray, least: int = S
                         k += 1
                     known[a - b] = b + k
                     matches.append((-k, a, b))
-        redo = False
-        for k, a, b in sorted(matches):
-            k = -k
-            if free_item[a : a + k].all() and free_text[b : b + k].all():
-                free_item[a : a + k] = free_text[b : b + k] = False
-                found.append((a, b, k))
-            else:
-                redo = True  # what is left of it may still be long enough
-        if redo:
-            continue
+        heapq.heapify(matches)
+        while matches:
+            k, a, b = heapq.heappop(matches)
+            free = free_item[a : a - k] & free_text[b : b - k]
+            if free.all():
+                free_item[a : a - k] = free_text[b : b - k] = False
+                found.append((a, b, -k))
+                continue
+            # What others left of it takes its turn by its own length; parts shorter than ``size`` are found later.
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
+            for i, j in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                if j - i >= size:
+                    heapq.heappush(matches, (i - j, a + i, b + i))
         if size == least:
             return found
         size = max(least, size // 2)
@@ -199,7 +203,9 @@ def coverage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = staged(
         with_items.groupBy("row", "doc_id", "item").agg(F.collect_set(F.struct("start", "words")).alias("runs")), "tiling-pairs"
     )
-    sides = pairs.join(items.select("item", "item_id", "words"), "item").select("row", "doc_id", "item_id", "words", "runs")
+    sides = pairs.join(items.select("item", "item_id", "words"), "item").select("row", "doc_id", "item", "item_id", "words", "runs")
+    # Pairs are few bytes and much work: a fixed number of tasks, so that they are not packed into one by size.
+    sides = sides.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row", "item").drop("item")
     return sides.mapInArrow(_tiled, "row bigint, doc_id bigint, item_id bigint, item_words bigint, covered bigint, tiles bigint")
 
 

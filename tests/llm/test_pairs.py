@@ -69,7 +69,7 @@ def test_repeats_of_odd_and_empty_tables(odd, empty, odd_rows):
 
 def plain_tiles(item, text, least=5):
     """Longest free match first, by trying all."""
-    free_i, free_t, covered = [True] * len(item), [True] * len(text), 0
+    free_i, free_t, found = [True] * len(item), [True] * len(text), []
     while True:
         best = (0, 0, 0)
         for a in range(len(item)):
@@ -81,22 +81,20 @@ def plain_tiles(item, text, least=5):
                     best = (k, a, b)
         k, a, b = best
         if k < least:
-            return covered
+            return found
         free_i[a : a + k] = [False] * k
         free_t[b : b + k] = [False] * k
-        covered += k
+        found.append((a, b, k))
 
 
-def test_tiles_cover_as_much_as_greedy_search():
+def test_tiles_equal_greedy_search():
     rng = random.Random(6)
-    for _ in range(60):
-        item = [rng.randrange(1, 9) for _ in range(rng.randrange(5, 40))]
-        text = [rng.randrange(1, 9) for _ in range(20)] + item[10:] + [99] + item[:10] + [rng.randrange(1, 9) for _ in range(20)]
+    for n in range(300):
+        words = 3 + n % 6
+        item = [rng.randrange(words) for _ in range(rng.randrange(5, 30))]
+        text = [rng.randrange(words) for _ in range(12)] + item[10:] + [99] + item[:10] + [rng.randrange(words) for _ in range(12)]
         a, b = np.array(item, np.uint64), np.array(text, np.uint64)
-        tiles = decontaminate.tiles(a, b, np.zeros(len(b), bool))
-        assert all(item[i : i + k] == text[j : j + k] for i, j, k in tiles)
-        used = [x for i, _, k in tiles for x in range(i, i + k)]
-        assert len(used) == len(set(used)) and sum(k for *_, k in tiles) >= 0.9 * plain_tiles(item, text)
+        assert decontaminate.tiles(a, b, np.zeros(len(b), bool)) == plain_tiles(item, text)
 
 
 def test_benchmark_items_are_found_in_any_order(make, spark):
