@@ -6,8 +6,9 @@ language after another, so words of one language keep together and a text may sw
 each word the chances of its languages; a text's language is the one with the largest mean chance over its words.
 
 Training sequences are spliced from pieces of labelled texts, so that switches occur in them. The pieces come from about
-``SAMPLE`` labelled rows, chosen by a hash, at most ``PIECES`` from places all over each text; that bound is the
-parameter ``sample``. Prediction reads every word of every text; a chunk of texts is worked on in step, the n-th words
+``SAMPLE`` labelled rows, chosen by a hash, as many of each language (all of a rarer one), and at most ``PIECES`` of
+``PIECE_WORDS`` words from places all over each text; the bound of rows is the parameter ``sample``. Both the word weights and the
+moves follow the exact slope of the sequences' likelihood. Prediction reads every word of every text; a chunk of texts is worked on in step, the n-th words
 of all its texts at once.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is everything if no row has a
@@ -17,6 +18,7 @@ an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from laborlake.llm import wordhash
 
 SAMPLE, PIECES = 3_000, 6
+#: Places by hash of a row.
+PLACES = 1 << 30
 #: Words of a piece, and pieces spliced into a training sequence.
 PIECE_WORDS, SPLICED = 12, 4
 SLOTS = 1 << 17
@@ -89,8 +93,31 @@ class Field:
         return out
 
 
+@dataclass
+class Passes:
+    """Both passes over the words, scaled per word: weights of words and moves, and what lies ahead of and behind a word."""
+
+    emitted: np.ndarray
+    moved: np.ndarray
+    ahead: np.ndarray
+    behind: np.ndarray
+
+    def chances(self) -> np.ndarray:
+        both = self.ahead * self.behind
+        return both / np.maximum(both.sum(1, keepdims=True), 1e-30)
+
+    def pair_chances(self, at: np.ndarray) -> np.ndarray:
+        """Chances of the languages of the words ``at`` and of those before them."""
+        joint = self.ahead[at - 1][:, :, None] * self.moved[None] * (self.emitted[at] * self.behind[at])[:, None, :]
+        return joint / np.maximum(joint.sum((1, 2), keepdims=True), 1e-30)
+
+
 def forward_backward(emissions: np.ndarray, moves: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Chances of each word's languages; text i has the words from ``offsets[i]`` to ``offsets[i + 1]``."""
+    return passes(emissions, moves, offsets).chances()
+
+
+def passes(emissions: np.ndarray, moves: np.ndarray, offsets: np.ndarray) -> Passes:
     k = emissions.shape[1]
     e = np.exp(emissions - emissions.max(1, keepdims=True)) if len(emissions) else emissions
     t = np.exp(moves - moves.max()).astype(e.dtype)
@@ -115,8 +142,7 @@ def forward_backward(emissions: np.ndarray, moves: np.ndarray, offsets: np.ndarr
         behind[at] = state[:m]
         step = (e[at] * state[:m]) @ t.T
         state[:m] = step / step.sum(1, keepdims=True)
-    both = ahead * behind
-    return both / np.maximum(both.sum(1, keepdims=True), 1e-30)
+    return Passes(e, t, ahead, behind)
 
 
 def fit(texts: list[str], languages: list[str], epochs: int = 6, rate: float = 0.5) -> Field:
@@ -149,29 +175,26 @@ def fit(texts: list[str], languages: list[str], epochs: int = 6, rate: float = 0
             tri = f.trigrams[np.repeat(f.first[:-1][at] - begin[:-1], count) + np.arange(begin[-1])]
             part = Features(f.own[at], tri, begin)
             emissions = field.emissions(part)
-            chance = forward_backward(emissions, field.moves, offsets)
-            slope = chance.copy()
+            both = passes(emissions, field.moves, offsets)
+            slope = both.chances()
             slope[np.arange(len(gold)), gold] -= 1
             grad = np.zeros_like(field.table)
             for c in range(5):
                 np.add.at(grad, part.own[:, c], slope)
             np.add.at(grad, tri, np.repeat(slope / count[:, None], count, axis=0))
-            moves = _pair_slopes(chance, emissions, field.moves, gold, offsets)
+            moves = _pair_slopes(both, gold, offsets)
             for weights, seen, g in ((field.table, seen_table, grad / len(groups)), (field.moves, seen_moves, moves / len(groups))):
                 seen += g * g
                 weights -= rate * g / np.sqrt(seen)
     return Field(names, field.table.astype(np.float32), field.moves)
 
 
-def _pair_slopes(chance, emissions, moves, gold, offsets) -> np.ndarray:
-    """Expected less seen counts of one language after another. A pair's chance is taken from its words' chances and the moves."""
+def _pair_slopes(both: Passes, gold: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Expected less seen counts of one language after another."""
     inner = np.ones(len(gold), bool)
     inner[offsets[:-1][offsets[:-1] < len(gold)]] = False
     at = np.flatnonzero(inner)
-    t = np.exp(moves - moves.max())
-    joint = chance[at - 1][:, :, None] * t[None] * chance[at][:, None, :]
-    joint /= np.maximum(joint.sum((1, 2), keepdims=True), 1e-30)
-    out = joint.sum(0)
+    out = both.pair_chances(at).sum(0)
     np.subtract.at(out, (gold[at - 1], gold[at]), 1)
     return out
 
@@ -228,10 +251,16 @@ def _predicted(field_of, keep: list[str], with_runs: bool):
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Field | None:
-    """Learn from rows (doc_id, text, lang)."""
+    """Learn from rows (doc_id, text, lang): about ``sample`` of them, as many of each language where it has them."""
     rows = labelled.where("lang is not null and text is not null")
-    share = int(min(1.0, sample / max(rows.count(), 1)) * (1 << 30))
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share).select("lang", F.lower("text").alias("text"))
+    sizes = rows.groupBy("lang").count().collect()  # a row per language, as many as the weights have columns
+    if not sizes:
+        return None
+    each = max(1, sample // len(sizes))
+    shares = [(r["lang"], math.ceil(min(1.0, each / r["count"]) * PLACES)) for r in sizes]
+    drawn = F.broadcast(labelled.sparkSession.createDataFrame(shares, "lang string, share long"))
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(PLACES))
+    chosen = rows.join(drawn, "lang").where(place < F.col("share")).select("lang", F.lower("text").alias("text"))
     got = chosen.mapInArrow(_pieces, "lang string, piece string").toArrow().sort_by([("lang", "ascending"), ("piece", "ascending")])
     return fit(got["piece"].to_pylist(), got["lang"].to_pylist()) if got.num_rows else None
 

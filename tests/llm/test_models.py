@@ -140,6 +140,37 @@ def test_forward_backward_equals_enumeration():
         assert np.allclose(want / want.sum(1, keepdims=True), got[a:b])
 
 
+def test_slopes_of_moves_equal_differences_of_the_likelihood():
+    rng = np.random.default_rng(4)
+    emissions, moves, offsets = rng.normal(size=(8, 3)), rng.normal(size=(3, 3)), np.array([0, 4, 5, 5, 8])
+    gold = rng.integers(0, 3, 8)
+
+    def loss(moves):
+        total = 0.0
+        for a, b in ((0, 4), (4, 5), (5, 8)):
+            def weight(y):
+                return sum(emissions[a + i, y[i]] for i in range(b - a)) + sum(moves[y[i - 1], y[i]] for i in range(1, b - a))
+
+            total += np.log(sum(np.exp(weight(y)) for y in itertools.product(range(3), repeat=b - a))) - weight(gold[a:b])
+        return total
+
+    got = language_crf._pair_slopes(language_crf.passes(emissions, moves, offsets), gold, offsets)
+    for x, y in itertools.product(range(3), repeat=2):
+        step = np.zeros((3, 3))
+        step[x, y] = 1e-5
+        assert abs((loss(moves + step) - loss(moves - step)) / 2e-5 - got[x, y]) < 1e-6
+
+
+def test_a_rare_language_is_learned_beside_a_large_one(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(300)}en" for _ in range(30)), "en") for i in range(3000)]
+    rows += [(5000 + i, " ".join(f"z{rng.randrange(300)}ul" for _ in range(30)), "zu") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    field = language_crf.train(docs, sample=40)
+    got = language_crf.predict(docs.where("doc_id >= 5000 or doc_id < 100"), field).collect()
+    assert field.languages == ["en", "zu"] and all(r.lang_pred == ("zu" if r.doc_id >= 5000 else "en") for r in got)
+
+
 @given
 def test_language_of_switched_odd_and_empty_texts(spark, odd, empty):
     docs = columns.table(spark, DATA, "documents").select("doc_id", "text", "lang")
