@@ -100,6 +100,24 @@ def test_toxicity_of_small_odd_and_empty_tables(spark, make, odd, empty, no_labe
     assert {r.score for r in toxicity.score(odd, no_labels).collect()} == {0.5} and toxicity.score(empty, labels).count() == 0
 
 
+def test_a_rare_toxic_expression_of_ordinary_words_is_learned(spark, make):
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(800)]
+    apart, joined = [], []
+    for i in range(600):
+        w = [rng.choice(words) for _ in range(60)]
+        w[5], w[40] = "alpha", "beta"
+        apart.append((i, " ".join(w)))
+    for i in range(18):
+        w = [rng.choice(words) for _ in range(60)]
+        j = rng.randrange(50)
+        w[j : j + 2] = "alpha", "beta"
+        joined.append((1000 + i, " ".join(w)))
+    labels = spark.createDataFrame([(d, 1, int(d >= 1000)) for d, _ in apart + joined], "doc_id long, quality int, toxic int")
+    left = {r.doc_id for r in toxicity.reject(make(apart + joined), labels).collect()}
+    assert left == set(range(600))
+
+
 def test_toxicity_keeps_all_where_nothing_is_learned(spark, make, no_labels):
     docs = make([(i, f"word{i} and some text") for i in range(40)])
     one_label = spark.createDataFrame([(i, 1, 1) for i in range(40)], no_labels.schema)
