@@ -3,13 +3,15 @@
 **Base.** E-mail, IP address, card and phone are matched by fixed patterns, leftmost and non-overlapping per kind, and
 checked (value of IP parts, Luhn sum, number of digits).
 
-**Bootstrap.** Words with a digit or ``@`` are instances, wherever they stand; those that base matches cover are seeds of their kind.
-The word before, the two words before and the word behind an instance are its contexts. A context is a pattern of a
+**Bootstrap.** Words with a digit or ``@`` are instances, wherever they stand, and so are runs of digits that go over blanks,
+such as ``(030) 901 820 11``, if they have 7 to 19 digits; the words of such a run are instances only with 7 digits of their own.
+Those that base matches cover are seeds of their kind. The word before, the two words before and the word behind an instance are its contexts. A context is a pattern of a
 kind with the confidence ``sum of its instances' scores of the kind / (its different instances + 1)``, if at least
 ``LEAST_SEEDS`` of them are scored; an instance that no pattern covers yet gets ``1 - product of (1 - confidence)``
 over its confident patterns. Scores of patterns and instances follow from each other in ``ROUNDS`` rounds over written
 tables of the pattern-instance graph. In the end an instance beside patterns that together reach ``LEAST_SCORE`` is
-a new span of the kind, if it has the kind's shape (digits, dots or ``@``) and no base span overlaps it.
+a new span of the kind, if it has the kind's shape (digits, dots or ``@``) and no base span overlaps it; of new spans of a kind that
+overlap, the longest stays. Contexts are read off the text as it stands, other instances in it included.
 
 Everything is columns and joins. Contexts and instances are counted as different pairs, pre-aggregated, so a frequent
 context or a group of copies weighs once; joins on contexts read written tables, where Spark can split a hot one.
@@ -39,6 +41,10 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 # A whole word with a digit or @; looked for at word starts only.
 INSTANCE = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\x0D]++"
+# Digits joined by blanks, brackets, dots, slashes or hyphens.
+RUN = r"(?<![^\x20\x09-\x0D])[+(]{0,2}+[0-9]++(?:[\x20()./-]{1,3}+[0-9]++(?![A-Za-z_@%]))++"
+RUN_HINT = r"[0-9][()./-]{0,2}\x20[()./-]{0,2}[0-9]"
+RUN_DIGITS = (7, 19)
 LEAST_SEEDS, LEAST_CONFIDENCE, LEAST_SCORE, ROUNDS = 5, 0.8, 0.8, 3
 #: Characters of text looked at for the words around an instance.
 AROUND = 64
@@ -81,7 +87,8 @@ def holds(kind: str, value: Column) -> Column:
 
 
 def _located(values: Column, pieces: Column) -> Column:
-    """start, end, value and the text before and behind of each match, from the matches and the pieces between them."""
+    """start, end, value and the text before and behind of each match, from the matches and the pieces between them. The
+    text before may reach over earlier matches; the text behind reaches over the next one."""
     none = F.array().cast(LOCATED)
     n = F.size(values)
 
@@ -89,19 +96,21 @@ def _located(values: Column, pieces: Column) -> Column:
         piece, value = F.element_at(pieces, i), F.element_at(values, i)
         start = a["at"] + F.length(piece)
         end = start + F.length(value)
-        one = F.struct(
-            start.alias("start"), end.alias("end"), value.alias("value"),
-            F.right(piece, F.lit(AROUND)).alias("before"), F.left(F.element_at(pieces, i + 1), F.lit(AROUND)).alias("behind"),
-        )
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
+        before = F.right(F.concat(a["tail"], F.right(piece, F.lit(AROUND))), F.lit(AROUND))
+        rest = [F.element_at(pieces, i + 1), F.coalesce(F.get(values, i), F.lit("")), F.coalesce(F.get(pieces, i + 1), F.lit(""))]
+        behind = F.left(F.concat(*[F.left(x, F.lit(AROUND)) for x in rest]), F.lit(AROUND))
+        one = F.struct(start.alias("start"), end.alias("end"), value.alias("value"), before.alias("before"), behind.alias("behind"))
+        tail = F.right(F.concat(before, F.right(value, F.lit(AROUND))), F.lit(AROUND))
+        return F.struct(end.alias("at"), tail.alias("tail"), F.concat(a["out"], F.array(one)).alias("out"))
 
     # Appending copies an array, so matches are gathered in blocks.
     def block(done: Column, b: Column) -> Column:
-        first = F.struct(F.element_at(done, -1)["at"].alias("at"), none.alias("out"))
+        last = F.element_at(done, -1)
+        first = F.struct(last["at"].alias("at"), last["tail"].alias("tail"), none.alias("out"))
         inner = F.aggregate(F.sequence(b * BLOCK + 1, F.least(n, (b + 1) * BLOCK)), first, grown)
         return F.concat(done, F.array(inner))
 
-    start = F.array(F.struct(F.lit(0).alias("at"), none.alias("out")))
+    start = F.array(F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out")))
     blocks = F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), start, block)
     return F.when(n > 0, F.flatten(F.transform(blocks, lambda x: x["out"]))).otherwise(none)
 
@@ -121,14 +130,20 @@ def matched(docs: DataFrame, keep: list[str], patterns: dict[str, tuple[str, str
 
 
 def base_spans(docs: DataFrame, keep: list[str], instances: bool = False) -> DataFrame:
-    """``keep`` and per kind the checked matches; with ``instances`` also all words with a digit or ``@``."""
-    patterns = {k: (PATTERNS[k], HINTS[k]) for k in KINDS} | ({"instances": (INSTANCE, "[0-9@]")} if instances else {})
-    found = matched(docs, keep, patterns)
-    return found.select(
-        *keep,
-        *[_checked(k) for k in KINDS],
-        *(["instances"] if instances else []),
-    )
+    """``keep`` and per kind the checked matches; with ``instances`` also all words with a digit or ``@`` and runs of digits."""
+    patterns = {k: (PATTERNS[k], HINTS[k]) for k in KINDS}
+    if not instances:
+        found = matched(docs, keep, patterns)
+        return found.select(*keep, *[_checked(k) for k in KINDS])
+    found = matched(docs, keep, patterns | {"words": (INSTANCE, "[0-9@]"), "runs": (RUN, RUN_HINT)})
+    runs = F.filter("runs", lambda m: m["value"].contains(" ") & F.length(_digits(m["value"])).between(*RUN_DIGITS)).alias("runs")
+    found = found.select(*keep, *[_checked(k) for k in KINDS], "words", runs)
+    whole = F.filter("words", lambda m: (F.length(_digits(m["value"])) >= RUN_DIGITS[0]) | ~_overlaps("runs", m))
+    return found.select(*keep, *KINDS, F.when(F.size("runs") > 0, F.concat(whole, "runs")).otherwise(F.col("words")).alias("instances"))
+
+
+def _overlaps(spans_: str | Column, m: Column) -> Column:
+    return F.exists(spans_, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
 
 
 def _checked(kind: str) -> Column:
@@ -144,9 +159,7 @@ def contexts(found: DataFrame) -> DataFrame:
     where it is no seed. Instances that overlap a base span, but aren't seeds, are left out."""
     spans = F.concat(*[_plain(k) for k in KINDS])
     every = found.select("row", "doc_id", "instances", *KINDS, spans.alias("_spans"))
-    free = F.filter(
-        "instances", lambda m: ~F.exists("_spans", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
-    )
+    free = F.filter("instances", lambda m: ~_overlaps("_spans", m))
     tagged = [_tagged(F.col(k), F.lit(k)) for k in KINDS] + [_tagged(free, F.lit(None).cast("string"))]
     rows = every.select("row", "doc_id", F.explode(F.concat(*tagged)).alias("m")).select("row", "doc_id", "m.*")
     before, behind = _words(F.col("before")), _words(F.col("behind"))
@@ -227,6 +240,8 @@ def spans(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", "text", row_key().alias("row"))
     found = staged(base_spans(keyed, ["row", "doc_id"], instances=True), "pii-base")
     more = discovered(found).groupBy("row", "doc_id").agg(F.collect_list(_span(F.col("kind"), F.col("start"), F.col("end"))).alias("more"))
+    # A run stands for the words in it.
+    more = more.withColumn("more", F.filter("more", lambda m: ~F.exists("more", lambda s: _within(m, s))))
     base = F.concat(*[_of_kind(k) for k in KINDS])
     same = (F.col("f.row") == F.col("m.row")) & F.col("f.doc_id").eqNullSafe(F.col("m.doc_id"))
     joined = found.select("row", "doc_id", base.alias("base")).alias("f").join(more.alias("m"), same, "left")
@@ -234,6 +249,11 @@ def spans(docs: DataFrame) -> DataFrame:
     return joined.select("f.row", "f.doc_id", F.array_sort("base").alias("base"), F.array_sort(F.array_distinct(both)).alias("all"))
 
 
+def _within(m: Column, s: Column) -> Column:
+    """Whether ``m`` overlaps the longer span ``s`` of its kind."""
+    return (m["kind"] == s["kind"]) & (s["start"] < m["end"]) & (m["start"] < s["end"]) & (s["end"] - s["start"] > m["end"] - m["start"])
+
+
 def _span(kind: Column, start: Column, end: Column) -> Column:
     nr = F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("int")
     return F.struct(nr.alias("nr"), start.alias("start"), end.alias("end"), kind.alias("kind")).cast(SPAN)

@@ -148,6 +148,29 @@ def test_contexts_discover_identifiers_of_another_form(make):
     assert text[101] == "other phone: [PHONE] tail" and text[200] == rows[-1][1]
 
 
+def test_contexts_discover_identifiers_written_with_blanks(make):
+    rows = [(i, f"some words {i}w phone: +49 30 55{i % 10} {1000 + i} end{i}") for i in range(60)]
+    rows += [(100 + i, f"call phone: (030) 901 820 1{i}, thanks") for i in range(4)]
+    rows += [(110, "room 12 phone: 0301-901 820 55 99"), (111, "12 34 phone: 5550901820 of 2")]
+    rows += [(200, "rooms (030) 901 820 10 and 12 34 56 78 90"), (201, "phone: 12 of 30")]
+    cards = [f"{4000 + i} 1111 2222 333" for i in range(60)]
+    rows += [(300 + i, f"his card no {c}{_luhn_end(c)} was used") for i, c in enumerate(cards)]
+    rows += [(400, "her card no 4111 1111 1111 1112 was used"), (401, "about 4111 1111 1111 1112 of 3")]
+    found = pii.spans(make(rows)).select("doc_id", pii.as_text(F.col("all")).alias("s")).collect()
+    got = {r.doc_id: r.s for r in found}
+    assert all(got[100 + i] == "phone:12:28" for i in range(4))
+    assert (got[110], got[111], got[200], got[201]) == ("phone:15:33", "phone:13:23", "", "")
+    assert (got[400], got[401]) == ("card:12:31", "")
+    assert all(got[i].startswith("phone:") and "," not in got[i] for i in range(60))
+
+
+def _luhn_end(card):
+    """The digit that completes the number."""
+    digits = [int(c) for c in card if c.isdigit()][::-1]
+    total = sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(digits))
+    return -total % 10
+
+
 def test_personal_data_of_odd_and_empty_tables(odd, empty, odd_rows):
     out = pii.redact(odd, "n_chars")
     assert out.columns == odd.columns and out.count() == len(odd_rows)
