@@ -82,16 +82,17 @@ def normalise_dataset(
     year: int | None = None,
     multi_line: bool = True,
 ) -> dict:
-    """Load all CSV files of a dataset: job files to Bronze and raw, the others to raw only."""
+    """Load all CSV files of a dataset: job files to Bronze and raw, the others to raw only. A load repeated under its
+    ``run_id`` replaces what it landed before."""
     known_slug, known_year = lx.DATASETS.get(dataset_key, (dataset_key, None))
     paths = files.matching(spark, f"{folder}/*.csv")
     if not paths:
         raise FileNotFoundError(f"no CSV files in {folder}")
     job_groups, raw_groups = tabular.route_by_header(spark, paths, multi_line=multi_line)
-    for group in job_groups.values():
+    for header, group in job_groups.items():
         rows = tabular.read_csv(spark, group, multi_line=multi_line)
         envelopes = bulk_envelope(rows, dataset_key, slug or known_slug, year or known_year)
-        bronze.write_bronze(envelopes, bronze_root, ingest_date)
+        bronze.write_bronze(envelopes, bronze_root, ingest_date, load=files.load_name(run_id, header))
     for group in (*job_groups.values(), *raw_groups.values()):
         tabular.land_raw(spark, group, raw_root, dataset_key, run_id, multi_line=multi_line)
     return {

@@ -125,12 +125,11 @@ def read_whole_files(
     )
 
 
-def write_bronze(envelopes: DataFrame, root: str, ingest_date: str, *, rows_per_file: int = ROWS_PER_FILE) -> None:
-    """Append envelopes as JSON lines under source, day and dataset, 50,000 rows per file."""
-    (
-        envelopes.withColumn("ingest_date", F.lit(ingest_date))
-        .write.mode("append")
-        .partitionBy("source", "ingest_date", "dataset_key")
-        .option("maxRecordsPerFile", rows_per_file)
-        .json(root)
-    )
+def write_bronze(
+    envelopes: DataFrame, root: str, ingest_date: str, *, load: str | None = None, rows_per_file: int = ROWS_PER_FILE
+) -> None:
+    """Land envelopes as JSON lines under source, day, dataset and load, 50,000 rows per file. A load that comes again
+    replaces itself; without a name it is added."""
+    dated = envelopes.withColumn("ingest_date", F.lit(ingest_date))
+    writer = files.landing(dated, ("source", "ingest_date", "dataset_key"), load or files.load_name(None))
+    writer.option("maxRecordsPerFile", rows_per_file).json(root)

@@ -2,7 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+import zlib
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Last folder level of landed rows: the load that they came with.
+LOAD = "landed_by"
+
+
+def load_name(run_id: str | None, columns: Sequence[str] = ()) -> str:
+    """Name of a load: the run and the header of its files, so that a run may land files of several headers. Without a
+    run every load has a name of its own."""
+    return f"{run_id}-{zlib.crc32(chr(31).join(columns).encode()):08x}" if run_id else f"load-{uuid.uuid4().hex}"
+
+
+def landing(rows: DataFrame, folders: Sequence[str], load: str):
+    """Writer into ``folders`` and a folder of the load, which it replaces: a load repeated after a failure doubles nothing."""
+    return (
+        rows.withColumn(LOAD, F.lit(load))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*folders, LOAD)
+    )
 
 
 def _fs(spark: SparkSession, path: str):

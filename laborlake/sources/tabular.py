@@ -58,7 +58,7 @@ def raw_column_names(columns: Sequence[str]) -> list[str]:
     taken: list[str] = []
     for position, column in enumerate(columns, start=1):
         name = identifier(column.strip() or f"col_{position}", prefix="col")
-        if name in lx.RAW_RESERVED:
+        if name in (*lx.RAW_RESERVED, "raw_table", files.LOAD):
             name = f"src_{name}"
         if name in taken:
             name = f"{name}_{position}"
@@ -122,20 +122,16 @@ def land_raw(
 ) -> None:
     """Keep CSV files of one header as raw Parquet tables, one per file, all in one job.
 
-    A later load of a file is appended to its table and may bring new columns.
+    A later load of a file adds to its table and may bring new columns; a load repeated under its ``run_id`` replaces itself.
     """
-    rows = raw_rows(read_csv(spark, paths, multi_line=multi_line), dataset_key, run_id)
+    source = read_csv(spark, paths, multi_line=multi_line)
     names = sorted({p.rsplit("/", 1)[-1] for p in paths})
     # One row per file of the load, made from the listing at hand.
     tables = spark.createDataFrame(
         [(n, raw_table_name(dataset_key, n)) for n in names], "source_file string, raw_table string"
     )
-    (
-        rows.join(F.broadcast(tables), "source_file")
-        .write.mode("append")
-        .partitionBy("raw_table")
-        .parquet(root)
-    )
+    rows = raw_rows(source, dataset_key, run_id).join(tables, "source_file")
+    files.landing(rows, ["raw_table"], files.load_name(run_id, source.columns)).parquet(root)
 
 
 def raw_tables(spark: SparkSession, root: str) -> list[DataFrame]:
@@ -145,7 +141,7 @@ def raw_tables(spark: SparkSession, root: str) -> list[DataFrame]:
         columns = spark.read.option("mergeSchema", True).parquet(path).columns
         groups.setdefault(tuple(columns), []).append(path)
     reader = spark.read.option("basePath", root).option("mergeSchema", True)
-    return [reader.parquet(*paths) for paths in groups.values()]
+    return [reader.parquet(*paths).drop(files.LOAD) for paths in groups.values()]
 
 
 def first_present(df: DataFrame, candidates: Sequence[str]) -> Column:

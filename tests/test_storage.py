@@ -172,6 +172,18 @@ def test_bulk_load(spark, bulk, tmp_path):
     assert raw["kaggle_raw_us_tech_2024_a"].count() == 2  # raw keeps untitled rows
 
 
+def test_a_repeated_load_replaces_itself(spark, bulk, tmp_path):
+    bronze_root, raw_root = str(tmp_path / "bronze"), str(tmp_path / "raw")
+
+    def counts(run_id):
+        datasets.load_datasets(spark, {"us_tech_2024": bulk}, bronze_root=bronze_root, raw_root=raw_root, ingest_date=DAY, run_id=run_id)
+        return bronze.read_bronze(spark, bronze_root).count(), sum(g.count() for g in tabular.raw_tables(spark, raw_root))
+
+    first = counts("r1")
+    assert first == (4, 7) and counts("r1") == first
+    assert counts("r2") == (8, 14) and counts("r2") == (8, 14) and counts(None) == (12, 21)
+
+
 def test_row_numbers_follow_the_file_over_many_splits(spark, tmp_path):
     path = tmp_path / "big.csv"
     path.write_text("n,pad\n" + "".join(f"{i},{'x' * 40}\n" for i in range(1, 5001)))
