@@ -62,6 +62,33 @@ def _matrix(spark, d):
     return matrix.select("job_id", vector_to_array("features").alias("features"), features.LABEL)
 
 
+def _places(spark, d):
+    """The non-zero places of each posting's feature vector, and the vector's size."""
+    matrix = features.feature_matrix(_jobs(spark, d), px.job_skills(spark, d), top_n_skills=TOP)
+    vector = vector_to_array("features")
+    rows = matrix.select("job_id", F.size(vector).cast("long").alias("size"), F.posexplode(vector).alias("place", "value"))
+    return rows.where("value != 0").select("job_id", "size", F.col("place").cast("long").alias("place"), F.round("value", 6).alias("value"))
+
+
+# Numbers first (a flag per top skill, the number of skills, remote with gaps filled by the median), then per category a place
+# per label, the frequent ones first, and one for labels not seen in training; each place over its deviation.
+_PLACES = f"""with t as materialized ({_WITH_SKILLS}),
+top as (select skill_name, row_number() over (order by count(*) desc, skill_name) as i
+  from ({px.JOB_SKILLS}) group by skill_name qualify i <= {TOP}),
+labels as (select part, label, row_number() over (partition by part order by count(*) desc, label) as i
+  from (select unnest([2, 3, 4]) as part, unnest([role, country, source]) as label from t) where label is not null group by part, label),
+places as (
+  select job_id, 0 as part, i, case when list_contains(names, skill_name) then 1.0::double else 0.0::double end as x from t, top
+  union all select job_id, 1, 1, skill_count from t
+  union all select job_id, 1, 2, coalesce(remote_int, (select quantile_disc(remote_int, 0.5) from t)) from t
+  union all select job_id, part, i,
+    case when label = case part when 2 then role when 3 then country else source end then 1.0::double else 0.0::double end from t, labels
+  union all select job_id, part, 1000000, 0.0::double from t, (select unnest([2, 3, 4]) as part)),
+spread as (select part, i, stddev_samp(x) as sd, row_number() over (order by part, i) - 1 as place from places group by part, i)
+select job_id, (select count(*) from spread) as size, place, round(x / sd, 6) as value
+from places join spread using (part, i) where sd > 0 and x <> 0"""
+
+
 def _train(spark, d):
     """Train on four fifths of the postings and score the rest."""
     rows, names = features.feature_table(_jobs(spark, d), px.job_skills(spark, d), top_n_skills=TOP)
@@ -201,6 +228,7 @@ QUERIES = {
     ),
     "skill_flags": (_flags, _FLAGS),
     "feature_matrix": (_matrix, None),
+    "feature_places": (_places, _PLACES),
     "train_predict": (_train, None),
     "request_features": (_request_features, _REQUEST_FEATURES),
     "form_checks": (_form_checks, _FORM_CHECKS),

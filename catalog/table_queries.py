@@ -133,6 +133,29 @@ from h"""
 _STORED = f"select * from ({_CANONICAL}) where source is not null"
 
 
+NATIONS = ["Germany", "United States", "U.K.", "south  africa", "Atlantis", "", None, "NL", "The Netherlands", "fr"]
+_CODES = {"Germany": "DE", "United States": "US", "U.K.": "GB", "south  africa": "ZA", "The Netherlands": "NL"}
+
+
+def _country_codes(spark, d) -> DataFrame:
+    """Postings of every customer of a nation, by code and currency, where countries come by name."""
+    customers = px.table(spark, d, "customer")
+    landed_ = customers.select(
+        F.lit("kaggle").alias("source"), F.col("c_name").alias("title"), F.col("c_custkey").cast("string").alias("external_id"),
+        px.choice(F.col("c_nationkey") % len(NATIONS), NATIONS).alias("country"),
+    )
+    bare = spark.createDataFrame([], schemas.BRONZE)
+    rows = bare.unionByName(landed_, allowMissingColumns=True)
+    jobs = silver.canonical(silver.with_hash(silver.clean(rows)), country_names=True)
+    return jobs.groupBy("country", "salary_currency").agg(F.count("*").alias("n"))
+
+
+_NAMED = px.choice_sql(f"c_nationkey % {len(NATIONS)}", NATIONS)
+_COUNTRY_CODES = f"""select country, {sq.currency("country")} as salary_currency, count(*) as n from (
+  select case {" ".join(f"when name = {sq.quote(k)} then {sq.quote(v)}" for k, v in _CODES.items())}
+    else upper(nullif(name, '')) end as country from (select {_NAMED} as name from customer)) group by 1, 2"""
+
+
 def _canonical(spark, d) -> DataFrame:
     return silver.canonical(silver.dedup_batch(silver.with_hash(silver.clean(landed(spark, d)))))
 
@@ -471,6 +494,7 @@ def _fx_from_table(spark, d):
 
 QUERIES = {
     "silver_jobs": (_jobs, _JOBS),
+    "silver_country_codes": (_country_codes, _COUNTRY_CODES),
     "silver_job_skills": (
         lambda s, d: _batch(s, d).job_skills,
         f"select raw_hash as job_id, unnest(skills) as skill_name from ({_STORED})",

@@ -42,9 +42,18 @@ def country_wide(location: Column, *, whole_words: bool = False) -> Column:
     return country(location, lx.COUNTRY_HINTS_WIDE, whole_words=whole_words)
 
 
-def country_choice(given: Column, location: Column) -> Column:
-    """The given country, else the inferred one, in upper case."""
-    return F.upper(F.coalesce(null_if_empty(given), country(location)))
+def country_choice(given: Column, location: Column, *, names: bool = False) -> Column:
+    """The given country, else the inferred one, in upper case; with ``names`` a known country's name becomes its code."""
+    chosen = null_if_empty(given)
+    if names:
+        chosen = F.coalesce(country_code(chosen), chosen)
+    return F.upper(F.coalesce(chosen, country(location)))
+
+
+def country_code(name: Column) -> Column:
+    """Code of a country by one of its names, whatever the case, blanks and points in it; NULL for others."""
+    table = F.create_map(*[F.lit(x) for code, known in lx.COUNTRY_NAMES.items() for n in known for x in (n, code)])
+    return F.try_element_at(table, F.regexp_replace(F.upper(name), "[^A-Z]", ""))
 
 
 def city(location: Column) -> Column:

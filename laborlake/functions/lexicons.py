@@ -25,6 +25,21 @@ COUNTRY_CURRENCY = {
     "ZA": "ZAR",
 }
 
+# Names of these countries, in letters only.
+COUNTRY_NAMES = {
+    "US": ("USA", "UNITEDSTATES", "UNITEDSTATESOFAMERICA", "AMERICA"),
+    "GB": ("UK", "UNITEDKINGDOM", "GREATBRITAIN", "ENGLAND", "SCOTLAND", "WALES", "NORTHERNIRELAND"),
+    "IN": ("IND", "INDIA"),
+    "CA": ("CAN", "CANADA"),
+    "AU": ("AUS", "AUSTRALIA"),
+    "DE": ("DEU", "GERMANY", "DEUTSCHLAND"),
+    "FR": ("FRA", "FRANCE"),
+    "NL": ("NLD", "NETHERLANDS", "THENETHERLANDS", "HOLLAND"),
+    "SG": ("SGP", "SINGAPORE"),
+    "NZ": ("NZL", "NEWZEALAND"),
+    "ZA": ("ZAF", "SOUTHAFRICA"),
+}
+
 # Units of currency per US dollar, used when no rate table is given.
 DEFAULT_FX = {
     "USD": 1.0,

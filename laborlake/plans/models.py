@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from laborlake.plans.features import LABEL, feature_pipeline
 from laborlake.sources import files
+from laborlake.sources.staging import staged
 
 MODEL_TYPES = ("ridge", "random_forest", "gradient_boosting")
 MIN_ROWS = 100
@@ -68,6 +69,7 @@ def train(
     min_rows: int = MIN_ROWS,
 ) -> tuple[PipelineModel | None, dict]:
     """Fit features and model on the training part, measure on the rest. Skips below ``min_rows`` rows; ``alpha`` is the ridge penalty."""
+    rows = staged(rows, "model-rows")  # read by every pass of the fit and the metrics
     total = rows.count()
     if total < min_rows:
         return None, {"status": "skipped", "reason": "insufficient_data", "rows": total}

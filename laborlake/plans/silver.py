@@ -54,11 +54,12 @@ def dedup_batch(hashed: DataFrame) -> DataFrame:
     return first_per_key(hashed, ["raw_hash"], [F.col("_file"), F.col("_seq")])
 
 
-def canonical(hashed: DataFrame) -> DataFrame:
-    """All columns of the posting and its detail rows, plus ``skills`` and a reject reason."""
+def canonical(hashed: DataFrame, *, country_names: bool = False) -> DataFrame:
+    """All columns of the posting and its detail rows, plus ``skills`` and a reject reason. With ``country_names`` the
+    names of known countries become their codes, and so decide the currency."""
     title = text.clean(F.col("title"))
     location, description = F.col("location"), F.col("description")
-    country = infer.country_choice(F.col("country"), location)
+    country = infer.country_choice(F.col("country"), location, names=country_names)
     given = parse.skill_list(F.col("skills_extracted"))
     skills = F.filter(infer.skill_choice(given, description), lambda s: F.length(s) <= LONGEST_SKILL)
     everything = F.concat_ws(" ", title, location, description)
@@ -128,7 +129,9 @@ class SilverBatch:
     summary: dict
 
 
-def build(bronze: DataFrame, stored_jobs: DataFrame | None, run_id: str) -> SilverBatch:
+def build(
+    bronze: DataFrame, stored_jobs: DataFrame | None, run_id: str, *, country_names: bool = False
+) -> SilverBatch:
     """One batch of landed records as Silver rows not stored before.
 
     The records are parsed once: deduplicated canonical rows are written to the
@@ -143,7 +146,7 @@ def build(bronze: DataFrame, stored_jobs: DataFrame | None, run_id: str) -> Silv
     )
     titled = Observation()
     hashed = with_hash(clean(counted)).observe(titled, F.count("*").alias("rows"))
-    batch = staged(canonical(dedup_batch(hashed)), "silver-batch")
+    batch = staged(canonical(dedup_batch(hashed), country_names=country_names), "silver-batch")
     in_batch = batch.count()
     fresh = batch if stored_jobs is None else staged(
         not_yet_stored(batch, stored_jobs, "raw_hash"), "silver-fresh"
@@ -235,7 +238,9 @@ def stored(spark: SparkSession, root: str, table: str, *, except_run: str | None
     return tables.read_committed(spark, root, table, SCHEMAS[table], except_run=except_run)
 
 
-def ingest(spark: SparkSession, bronze: DataFrame, root: str, run_id: str, ledger_root: str | None = None) -> dict:
+def ingest(
+    spark: SparkSession, bronze: DataFrame, root: str, run_id: str, ledger_root: str | None = None, *, country_names: bool = False
+) -> dict:
     """Landed records into Silver as one run: build against what is stored, write, commit, and keep the ledger.
 
     The run is 'running' in the ledger until it is committed, then 'completed' with its counts; one that raises is
@@ -245,7 +250,7 @@ def ingest(spark: SparkSession, bronze: DataFrame, root: str, run_id: str, ledge
         ledger.start_run(spark, ledger_root, run_id)
     try:
         with freed(spark):
-            batch = build(bronze, stored(spark, root, "jobs", except_run=run_id), run_id)
+            batch = build(bronze, stored(spark, root, "jobs", except_run=run_id), run_id, country_names=country_names)
             write(batch, root, run_id)
     except Exception:
         if ledger_root:

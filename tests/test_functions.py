@@ -84,6 +84,13 @@ def test_skill_choice(spark):
     assert got == [["sql"], ["python"], ["python"]]
 
 
+def test_country_names(apply):
+    names = ["GERMANY", "united states of America", "U.S.A.", "Atlantis", "DE", "", None]
+    assert apply(infer.country_code, names) == ["DE", "US", "US", None, None, None, None]
+    chosen = apply(lambda c: infer.country_choice(c, F.lit(None).cast("string"), names=True), names)
+    assert chosen == ["DE", "US", "US", "ATLANTIS", "DE", None, None]
+
+
 def test_country_and_city(apply):
     places = ["London, UK", "Milwaukee", "Sydney, Australia", "Oslo", None]
     assert apply(infer.country, places) == ["GB", "GB", "AU", None, None]
