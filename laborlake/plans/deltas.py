@@ -206,7 +206,7 @@ def refresh(
             pairs = _touched_sums(spark, gold_root, "skill_pairs", touched["skill_pairs"])
             put("skill_cooccurrence", pairs.where(F.col("co_count") >= min_count), touched["skill_pairs"])
         if "salary_summary" in names:
-            values = gold.in_usd(_touched_sums(spark, gold_root, "salary_values", touched["salary_values"]), gold.default_rates(spark, fx))
+            values = gold.in_usd(_touched_sums(spark, gold_root, "salary_values", touched["salary_values"]), fx)
             rows = exact_percentiles(values, ["role", "country"], "salary_usd", gold.SALARY_PERCENTILES, min_count=min_sample, times="times")
             put("salary_summary", rows, touched["salary_values"])
         for name in wanted:

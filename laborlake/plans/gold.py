@@ -95,13 +95,27 @@ def mid_salaries(jobs: DataFrame) -> DataFrame:
     )
 
 
-def in_usd(salaries: DataFrame, fx: DataFrame) -> DataFrame:
-    """Rows of a known currency with their mid salary in US dollars."""
-    rates = fx.filter(F.col("rate") > 0).select(F.col("currency").alias("_code"), F.col("rate").alias("_rate"))
-    return salaries.join(rates, F.col("currency") == F.col("_code")).withColumn("salary_usd", F.col("mid") / F.col("_rate"))
+#: Join keys that one currency's rows are spread over where the rates are passed in. Each rate is repeated as often.
+RATE_SALTS = 64
 
 
-def usd_salaries(jobs: DataFrame, fx: DataFrame) -> DataFrame:
+def in_usd(salaries: DataFrame, fx: DataFrame | None) -> DataFrame:
+    """Rows of a known currency with their mid salary in US dollars, by the rates passed in or the built-in ones.
+
+    Most postings share one currency. The built-in table, of ten rows, goes to every task. One that is passed in may be of
+    any size: whether it is broadcast is left to Spark, and where it isn't, a currency's rows are spread by their own hash.
+    """
+    given = default_rates(salaries.sparkSession, fx)
+    rates = given.filter(F.col("rate") > 0).select(F.col("currency").alias("_code"), F.col("rate").alias("_rate"))
+    on = F.col("currency") == F.col("_code")
+    if fx is not None:
+        rates = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(RATE_SALTS - 1))))
+        own = [c for c in ("raw_hash", "job_id", "role", "country", "mid") if c in salaries.columns]
+        on &= F.pmod(F.xxhash64(*own), F.lit(RATE_SALTS)).cast("int") == F.col("_salt")
+    return salaries.join(rates, on).withColumn("salary_usd", F.col("mid") / F.col("_rate")).drop("_salt")
+
+
+def usd_salaries(jobs: DataFrame, fx: DataFrame | None) -> DataFrame:
     """Mid salary in US dollars of postings with both bounds usable and a known currency."""
     return in_usd(mid_salaries(jobs), fx).select("role", "country", "salary_usd")
 
@@ -129,7 +143,7 @@ def salary_summary(
     """
     if as_of is not None:
         jobs = _dated(jobs, as_of)
-    salaries = usd_salaries(jobs, default_rates(jobs.sparkSession, fx))
+    salaries = usd_salaries(jobs, fx)
     wanted = SALARY_PERCENTILES
     if not approximate:
         return exact_percentiles(

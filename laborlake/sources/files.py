@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import uuid
-import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +12,21 @@ from pyspark.sql import functions as F
 
 #: Last folder level of landed rows: the load that they came with.
 LOAD = "landed_by"
+#: Digits of the hash of a header at the end of a load's name.
+HEADER_DIGITS = 16
 
 
 def load_name(run_id: str | None, columns: Sequence[str] = ()) -> str:
-    """Name of a load: the run and the header of its files, so that a run may land files of several headers. Without a
+    """Name of a load: the run and a hash of its files' header, so that a run may land files of several headers. Without a
     run every load has a name of its own."""
-    return f"{run_id}-{zlib.crc32(chr(31).join(columns).encode()):08x}" if run_id else f"load-{uuid.uuid4().hex}"
+    header = hashlib.sha256("\x1f".join(columns).encode()).hexdigest()[:HEADER_DIGITS]
+    return f"{run_id or f'load-{uuid.uuid4().hex}'}-{header}"
+
+
+def header_of(load: str) -> str | None:
+    """The hash of the header in a load's name."""
+    found = re.search(f"-([0-9a-f]{{{HEADER_DIGITS}}})$", load)
+    return found and found[1]
 
 
 def landing(rows: DataFrame, folders: Sequence[str], load: str):
@@ -46,6 +56,12 @@ def matching(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(s.getPath().toString() for s in (fs.globStatus(p) or []))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as a scan names it."""
+    fs, p = _fs(spark, path)
+    return fs.makeQualified(p).toString()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import islice
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,18 +39,69 @@ def bulk_columns(columns: Sequence[str]) -> dict[str, str | None]:
 
 Groups = dict[tuple[str, ...], list[str]]
 
+#: Beyond the size of any file: a file is one split, and shares its task with no other file.
+_WHOLE_FILE = 1 << 40
+#: Batches of a thousand lines.
+_SMALL_FILE = 100
+
+
+def _first_record(multi_line: bool):
+    def first_record(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first record of the one file of a task. The rest of a big file is left unread."""
+        lines, quotes, path = [], 0, None
+        for line, path in ((v.as_py(), p.as_py()) for batch in batches for v, p in zip(batch["value"], batch["path"])):
+            if lines or line.strip():
+                lines.append(line)
+                quotes += line.count('"')
+            if lines and not (multi_line and quotes % 2):
+                break
+        if lines:
+            yield pa.record_batch({"path": pa.array([path]), "header": pa.array(["\n".join(lines)])})
+        # A worker that has read all of its task serves the next one; a small file's rest costs less than a new worker.
+        for _ in islice(batches, _SMALL_FILE):
+            pass
+
+    return first_record
+
+
+def header_texts(spark: SparkSession, paths: Sequence[str], *, multi_line: bool = True) -> dict[str, str]:
+    """The first record of each file that has one, by qualified path, in one job with a task per file (Spark lists many paths in a job of its own).
+
+    A task stops soon after its file's first record, so the size of files doesn't matter. The driver gets one line per path.
+    """
+    quick = spark.newSession()  # split sizes are settings of a session
+    for name in ("maxPartitionBytes", "openCostInBytes"):
+        quick.conf.set(f"spark.sql.files.{name}", _WHOLE_FILE)
+    quick.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    lines = quick.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("path"))
+    found = lines.mapInArrow(_first_record(multi_line), "path string, header string").collect()
+    return {_plain(unquote(r.path)): r.header for r in found}
+
+
+def _plain(path: str) -> str:
+    """``file:///x`` as ``file:/x``: scans and listings write local paths in either way."""
+    return path.replace(":///", ":/", 1)
+
 
 def route_by_header(
     spark: SparkSession, paths: Sequence[str], *, multi_line: bool = True
 ) -> tuple[Groups, Groups]:
     """Job files and files to keep raw only, both grouped by equal header.
 
-    Only headers are read. A file without a title column is kept raw only.
+    Only headers are read: of all files in one job, then once more of one file per distinct header, for the names that
+    the reader gives its columns. A file without a title column is kept raw only; an empty file has no columns.
     """
+    texts = header_texts(spark, paths, multi_line=multi_line) if paths else {}
+    known: dict[str, tuple[str, ...]] = {}
     jobs: Groups = {}
     raw_only: Groups = {}
     for path in sorted(paths):
-        columns = tuple(read_csv(spark, path, multi_line=multi_line).columns)
+        text = texts.get(_plain(files.qualified(spark, path)))
+        columns = known.get(text)
+        if columns is None:
+            columns = tuple(read_csv(spark, path, multi_line=multi_line).columns)
+            if text is not None:
+                known[text] = columns
         kind = jobs if bulk_columns(columns)["title"] else raw_only
         kind.setdefault(columns, []).append(path)
     return jobs, raw_only
@@ -135,12 +189,24 @@ def land_raw(
 
 
 def raw_tables(spark: SparkSession, root: str) -> list[DataFrame]:
-    """All raw tables, those with the same columns read together; ``raw_table`` tells them apart."""
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for path in files.matching(spark, f"{root}/raw_table=kaggle_raw_*"):
-        columns = spark.read.option("mergeSchema", True).parquet(path).columns
-        groups.setdefault(tuple(columns), []).append(path)
+    """All raw tables, those with the same columns read together; ``raw_table`` tells them apart.
+
+    A load's name tells its files' header, so that tables of the same headers are found by listing; schemas are read once
+    per set of headers, not per table.
+    """
+    loads: dict[str, set[str | None]] = {path: set() for path in files.matching(spark, f"{root}/raw_table=kaggle_raw_*")}
+    for path in files.matching(spark, f"{root}/raw_table=kaggle_raw_*/{files.LOAD}=*"):
+        table, load = path.rsplit("/", 1)
+        loads[table].add(files.header_of(load))
+    alike: dict[tuple, list[str]] = {}
+    for path, headers in loads.items():
+        known = headers and None not in headers
+        alike.setdefault(tuple(sorted(headers)) if known else (None, path), []).append(path)
     reader = spark.read.option("basePath", root).option("mergeSchema", True)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for paths in alike.values():
+        columns = spark.read.option("mergeSchema", True).parquet(paths[0]).columns
+        groups.setdefault(tuple(columns), []).extend(paths)
     return [reader.parquet(*paths).drop(files.LOAD) for paths in groups.values()]
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from laborlake.sources import bronze, schemas, tables
 
@@ -38,13 +40,55 @@ def first_seen(hashed: DataFrame, event_time: str, horizon: str | None, key: str
     With a horizon, repeats within it go and the state stays bounded; records
     dated before the watermark go too, seen or not. Postings often carry old
     dates: ``horizon=None`` keeps every key in the state and loses none. For a
-    check against all of history use the Silver sink.
+    check against all of history use the Silver sink. ``start_first_seen``
+    keeps all keys without keeping them in memory.
     """
     if horizon is None:
         return hashed.dropDuplicates([key])
     return hashed.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark([key])
 
 
+_STATE = "spark.sql.streaming.stateStore"
+#: State on the executors' disks behind a cache of one bounded size per executor; a micro-batch looks up its own keys and
+#: stores what it changed.
+DISK_STATE = {
+    f"{_STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STATE}.rocksdb.boundedMemoryUsage": "true",
+    f"{_STATE}.rocksdb.changelogCheckpointing.enabled": "true",
+    f"{_STATE}.rocksdb.trackTotalNumberOfRows": "false",
+}
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state on disk; the session's settings are as before at the end."""
+    before = {name: spark.conf.get(name, None) for name in DISK_STATE}
+    for name, value in DISK_STATE.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def start_first_seen(hashed: DataFrame, folder: str, checkpoint: str, key: str = "raw_hash") -> StreamingQuery:
+    """Write the first record of each key to ``folder`` for everything that has landed so far, then stop.
+
+    Exact over all starts with one checkpoint: no key is lost or repeated, however late it comes. Memory stays bounded,
+    disk grows with the number of keys. A micro-batch that is repeated after a failure is written once.
+    """
+    with state_on_disk(hashed.sparkSession):
+        return (
+            first_seen(hashed, "", None, key)
+            .writeStream.format("parquet")
+            .option("path", folder)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+
+
 def daily_count_writer(root: str, event_time: str, entity: str, prefix: str = "stream") -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: the postings per day and entity of one micro-batch, stored as a run of their own.
 

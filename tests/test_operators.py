@@ -108,3 +108,26 @@ def test_leaving_out_rare_skills_changes_nothing(spark):
     skills = spark.createDataFrame(rows, "job_id string, skill_name string")
     full = gold.skill_cooccurrence(skills).collect()
     assert full and gold.skill_cooccurrence(skills, drop_rare=True).collect() == full
+
+
+def test_rates_passed_in_spread_a_hot_currency(spark):
+    rows = spark.range(40_000).select(
+        F.col("id").cast("string").alias("raw_hash"), F.lit("Engineer").alias("title_normalized"), F.lit("us").alias("country"),
+        F.when(F.col("id") % 100 == 0, "EUR").otherwise("USD").alias("salary_currency"),
+        F.lit(100.0).alias("salary_min"), F.lit(300.0).alias("salary_max"),
+    )
+    fx = spark.createDataFrame([("USD", 1.0), ("EUR", 0.5), ("XXX", 0.0)], "currency string, rate double")
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        joined = gold.in_usd(gold.mid_salaries(rows), fx)
+        assert "_salt" not in joined.columns
+        sizes = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect())
+        got = {r.salary_usd: r["count"] for r in joined.groupBy("salary_usd").count().collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {200.0: 39_600, 400.0: 400}
+    assert len(sizes) > 8 and sizes[-1] < 4 * sizes[len(sizes) // 2]

@@ -184,6 +184,52 @@ def test_a_repeated_load_replaces_itself(spark, bulk, tmp_path):
     assert counts("r2") == (8, 14) and counts("r2") == (8, 14) and counts(None) == (12, 21)
 
 
+def _jobs_of(spark, name, run):
+    """What ``run`` gives, and how many Spark jobs it took."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+HEADERS = ["title,company", '"job\ntitle",pay', "a,A,,title", "id;name"]
+
+
+def test_headers_of_many_files_in_one_job(spark, tmp_path):
+    want = {}
+    for i in range(120):
+        header = HEADERS[i % len(HEADERS)]
+        path = tmp_path / f"f {i:03d}+%41.csv"
+        path.write_text(("\n" if i % 8 == 0 else "") + header + "\n" + "1,2,3,4\n" * (i * 50))
+        want[f"file:{path}"] = header
+    (tmp_path / "empty.csv").write_text("")
+    paths = [*want, f"file:{tmp_path}/empty.csv"]
+    texts, jobs = _jobs_of(spark, "headers", lambda: tabular.header_texts(spark, paths))
+    assert texts == want and jobs <= 2  # one, and Spark's own listing of many paths
+    (with_title, raw), jobs = _jobs_of(spark, "routes", lambda: tabular.route_by_header(spark, paths))
+    assert jobs <= 3 + len(HEADERS)  # each header once, and the empty file
+    for group in (with_title, raw):
+        for columns, members in group.items():
+            assert all(tuple(tabular.read_csv(spark, p).columns) == columns for p in members[:2])
+    assert sorted(p for g in (with_title, raw) for m in g.values() for p in m) == sorted(paths)
+    assert sum(map(len, with_title.values())) == 60 and raw[()] == [paths[-1]]
+    plain = [p.removeprefix("file:") for p in paths]
+    assert {k: len(v) for k, v in tabular.route_by_header(spark, plain)[0].items()} == {k: len(v) for k, v in with_title.items()}
+
+
+def test_schemas_of_raw_tables_are_read_per_header(spark, tmp_path):
+    root = str(tmp_path / "raw")
+    for i in range(12):
+        (tmp_path / f"t{i}.csv").write_text(("title,pay\n" if i % 2 else "title,place\n") + f"x{i},1\n")
+    for odd in (0, 1):
+        tabular.land_raw(spark, [f"file:{tmp_path}/t{i}.csv" for i in range(12) if i % 2 == odd], root, "k", "r1" if odd else None)
+    groups, jobs = _jobs_of(spark, "schemas", lambda: tabular.raw_tables(spark, root))
+    # A schema per header to tell the groups, and one per group that is read.
+    assert len(groups) == 2 and jobs <= 4
+    assert sorted(len(g.select("raw_table").distinct().collect()) for g in groups) == [6, 6]
+
+
 def test_row_numbers_follow_the_file_over_many_splits(spark, tmp_path):
     path = tmp_path / "big.csv"
     path.write_text("n,pad\n" + "".join(f"{i},{'x' * 40}\n" for i in range(1, 5001)))

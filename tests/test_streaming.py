@@ -90,6 +90,27 @@ def test_first_seen_keeps_late_records_without_a_horizon(spark, tmp_path):
     assert sorted(r.raw_hash for r in spark.table("first_seen_all").collect()) == ["a", "b", "c"]
 
 
+def test_first_seen_on_disk_over_restarts(spark, tmp_path):
+    folder, seen = str(tmp_path / "in"), str(tmp_path / "seen")
+    batches = [["a", "b", None], ["b", "c"], ["a", "a", "d", None], ["e", "c"]]
+
+    def start():
+        stream = spark.readStream.schema("raw_hash string, day string").option("maxFilesPerTrigger", 1).parquet(folder)
+        query = sources.start_first_seen(stream, seen, str(tmp_path / "cp"))
+        query.awaitTermination()
+        return query
+
+    for k, keys in enumerate(batches):
+        spark.createDataFrame([(x, str(k)) for x in keys], "raw_hash string, day string").coalesce(1).write.mode("append").parquet(folder)
+        if k % 2:
+            query = start()
+    operator = query.lastProgress.stateOperators[0]
+    assert any("rocksdb" in name.lower() for name in operator.customMetrics)
+    got = sorted((r.raw_hash or "", r.day) for r in spark.read.parquet(seen).collect())
+    assert [k for k, _ in got] == ["", "a", "b", "c", "d", "e"] and dict(got)["d"] == "2" and dict(got)["e"] == "3"
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+
 def _table(spark, root, name):
     schema = getattr(schemas, name.upper())
     return sorted(tuple(r) for r in tables.current(spark, f"{root}/{name}", schema).collect())
