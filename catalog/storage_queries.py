@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from catalog import gold_queries as gq, proxies as px
 from laborlake.plans import gold
-from laborlake.sources import schemas, tables
+from laborlake.sources import files, schemas, tables, tabular
 from laborlake.sources.staging import shared_folder
-from laborlake.streaming import sinks
+from laborlake.streaming import sinks, sources
 
 #: Rows of a later run: their key's first column starts here.
 LATER = {"daily_role_demand": "1998-06-15", "daily_skill_demand": "1999-02-10", "remote_vs_onsite": "2000-05-01", "market_alerts": "1996-03-01"}
@@ -122,6 +122,45 @@ def _supplier_jobs(spark: SparkSession, d: str) -> DataFrame:
 
 _SUPPLIER_ALERTS = px._spikes_sql(px.role_demand_sql(px.SUPPLIER_POSTINGS), "role")
 
+
+def _first_seen(spark: SparkSession, d: str) -> DataFrame:
+    """Customers of orders as they land, in four loads of which the last two come after a restart; each customer once."""
+    root = _root(spark, "first-seen")
+    orders = px.table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("raw_hash"), (F.col("o_orderkey") % 4).alias("load"))
+    for loads in ((0, 1), (2, 3)):
+        for load in loads:
+            orders.where(F.col("load") == load).write.mode("append").parquet(f"{root}/landed")
+        stream = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/landed")
+        sources.start_first_seen(stream, f"{root}/seen", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/seen").groupBy("raw_hash").agg(F.count("*").alias("times"))
+
+
+#: Headers of the CSV files: the first and second have a title.
+_CSV = {0: ("Title", "pay"), 1: ("job_title", "place"), 2: ("name", "pay")}
+
+
+def _routed(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as CSV files of three headers in one folder, routed by header, landed raw, and read back as raw tables."""
+    root, run = _root(spark, "routed"), "r1"
+    parts = px.table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit(', "'), "p_brand", F.lit('"')).alias("label"))
+    for k, names in _CSV.items():
+        rows = parts.where(F.col("p_partkey") % len(_CSV) == k).select(F.col("label").alias(names[0]), F.col("p_partkey").alias(names[1]))
+        rows.write.mode("append").option("header", True).option("escape", '"').csv(f"{root}/csv")
+    jobs, raw_only = tabular.route_by_header(spark, files.matching(spark, f"{root}/csv/*.csv"))
+    for key, groups in (("jobs", jobs), ("other", raw_only)):
+        for paths in groups.values():
+            tabular.land_raw(spark, paths, f"{root}/raw", key, run)
+    found = None
+    for table in tabular.raw_tables(spark, f"{root}/raw"):
+        label, number = (tabular.first_present(table, names).alias(c) for names, c in ((("title", "job_title", "name"), "label"), (("pay", "place"), "number")))
+        rows = table.select("dataset_key", label, number, F.lit("place" in table.columns).alias("is_place"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+_ROUTED = """select case when p_partkey % 3 = 2 then 'other' else 'jobs' end as dataset_key, p_name || ', "' || p_brand || '"' as label,
+    cast(p_partkey as varchar) as number, p_partkey % 3 = 1 as is_place from part"""
+
 QUERIES = {f"upsert_{t}": upserted(t) for t in tables.GOLD_KEYS} | {
     "stream_role_demand": (streamed("daily_role_demand", px.postings), SQL["daily_role_demand"]),
     "stream_skill_demand": (streamed("daily_skill_demand", px.postings, px.job_skills), SQL["daily_skill_demand"]),
@@ -129,4 +168,6 @@ QUERIES = {f"upsert_{t}": upserted(t) for t in tables.GOLD_KEYS} | {
     "stream_salaries": (streamed("salary_summary", px.jobs), SQL["salary_summary"]),
     "stream_cooccurrence": (streamed("skill_cooccurrence", px.postings, px.job_skills), SQL["skill_cooccurrence"]),
     "stream_alerts": (streamed("market_alerts", _supplier_jobs), _SUPPLIER_ALERTS),
+    "stream_first_seen": (_first_seen, "select cast(o_custkey as varchar) as raw_hash, 1 as times from orders group by o_custkey"),
+    "routed_raw_tables": (_routed, _ROUTED),
 }
