@@ -20,7 +20,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -145,17 +145,28 @@ def _touched_sums(spark: SparkSession, gold_root: str, name: str, keys: DataFram
     return rows.groupBy(*sums.keys).agg(*[F.sum(c).alias(c) for c in sums.counts])
 
 
-def _days_around(touched: DataFrame, entity: str, before: int, after: int) -> DataFrame:
-    days = F.expr(f"explode(sequence(date_sub(date, {before}), date_add(date, {after}))) AS date")
-    return touched.select(entity, days).distinct()
-
-
 def _demand(spark: SparkSession, gold_root: str, name: str, touched: DataFrame, entity: str) -> tuple[DataFrame, DataFrame]:
-    """Demand of the days that follow touched ones, and those days: (rows, (date, entity))."""
-    need = _days_around(touched, entity, LOOK_BACK, LOOK_BACK).withColumn(FOLDER, tables.folder_of(("date",)))
-    days = _touched_sums(spark, gold_root, name, staged(need, f"{name}-need")).select("date", entity, "job_count")
-    changed = staged(_days_around(touched, entity, 0, LOOK_BACK), f"{name}-changed")
-    return staged(trailing_averages(days, entity).join(changed, ["date", entity], "left_semi"), f"{name}-demand"), changed
+    """Demand of the days that follow touched ones, and the keys that it speaks for: (rows, (date, entity)).
+
+    The months around touched days are read for touched entities. Which days follow a touched one is seen in the order of an
+    entity's days, so that each day is one row whatever the number of touched days around it. A touched day that is gone
+    stays in that order without a count, which averages leave out.
+    """
+    near = touched.select("date").distinct().select(F.expr(f"explode(sequence(date_sub(date, {LOOK_BACK}), date_add(date, {LOOK_BACK}))) AS date"))
+    held = [r[0] for r in near.select(tables.folder_of(("date",))).distinct().collect()]
+    rows = read(spark, gold_root, name).where(F.col(FOLDER).isin(held)).join(touched.select(entity).distinct(), entity, "left_semi")
+    keys = touched.select("date", entity)
+    days = (
+        rows.select("date", entity, "job_count", F.lit(None).cast("date").alias("touched"))
+        .unionByName(keys.withColumns({"job_count": F.lit(None).cast("long"), "touched": F.col("date")}))
+        .groupBy("date", entity)
+        .agg(F.sum("job_count").alias("job_count"), F.max("touched").alias("touched"))
+    )
+    upto = Window.partitionBy(entity).orderBy(F.unix_date("date")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    averaged = trailing_averages(days, entity).withColumn("touched", F.max("touched").over(upto))
+    # Days without a count are touched ones that are gone.
+    found = staged(averaged.where(F.date_diff("date", "touched") <= LOOK_BACK).drop("touched"), f"{name}-demand")
+    return found.where(F.col("job_count").isNotNull()), found.select("date", entity)
 
 
 def refresh(

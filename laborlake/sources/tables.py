@@ -151,7 +151,7 @@ def merge(
         rows = staged(incoming.select(*schema.names).withColumn(FOLDER, cut), "merge-incoming")
         said = rows.select(*keys, FOLDER)
         if scope is not None:
-            said = staged(scope.select(*keys).withColumn(FOLDER, cut).unionByName(said).distinct(), "merge-scope")
+            said = staged(scope.select(*keys).withColumn(FOLDER, cut).unionByName(said), "merge-scope")
         versions = _versions(spark, root)
         if not versions or not files.matching(spark, f"{versions[-1]}/{FOLDER}=*"):  # nothing yet, or not cut into folders
             before = current(spark, root, schema)

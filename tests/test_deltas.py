@@ -158,3 +158,23 @@ def test_streams_keep_the_ledger(spark, tmp_path):
         sinks.silver_writer(root, ledger_root=ledger_root)(spark.range(1), 7)
     kept = {r.run_id: r for r in ledger.runs(spark, ledger_root).collect()}
     assert {k: (r.status, r.jobs_inserted, r.errors_count) for k, r in kept.items()} == {"stream-000000000000": ("completed", 2, 1), "stream-000000000007": ("failed", 0, 0)}
+
+
+def test_a_refresh_holds_one_row_a_touched_day_not_one_a_day_around_it(spark, tmp_path, monkeypatch):
+    jobs = [(f"j{i}", "r", f"role {i}", None, None, None, None, None, datetime(2024, 1 + i % 12, 5)) for i in range(40)]
+    frame, skills = frames(spark, {"r": (jobs, [])})
+    held = []
+
+    def counted(df, name, **more):
+        out = put(df, name, **more)
+        held.append((name, out.count()))
+        return out
+
+    put = deltas.staged
+    monkeypatch.setattr(deltas, "staged", counted)
+    monkeypatch.setattr(tables, "staged", counted)
+    root = str(tmp_path / "gold")
+    deltas.refresh(spark, frame, skills, root, ["r"], names=("daily_role_demand",))
+    assert max(n for _, n in held) <= 2 * len(jobs), held
+    monkeypatch.undo()
+    assert rows(tables.current(spark, f"{root}/daily_role_demand", schemas.DAILY_ROLE_DEMAND), "daily_role_demand") == rows(gold.daily_role_demand(frame), "daily_role_demand")
