@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from laborlake.functions.text import currency_code
@@ -48,6 +48,14 @@ def daily_role_demand(jobs: DataFrame, as_of: str | None = None, *, since: str |
     return trailing_averages(daily, "role")
 
 
+def _once_per_job(rows: DataFrame, column: str) -> DataFrame:
+    """Distinct (job_id, ``column``), seen in the order of a job's rows. Sorted rows take less memory than a table of all
+    pairs, and a join on the job uses the same shuffle and order."""
+    own = F.struct(column)
+    before = F.lag(own).over(Window.partitionBy("job_id").orderBy(column))
+    return rows.withColumn("_again", before.eqNullSafe(own)).where(~F.col("_again")).drop("_again")
+
+
 def daily_skill_demand(
     jobs: DataFrame,
     job_skills: DataFrame,
@@ -60,20 +68,18 @@ def daily_skill_demand(
     """Distinct postings per day and skill with 7- and 30-day averages.
 
     Postings and skills meet on the job key, and the distinct count needs no
-    further shuffle since each job's rows are already together. When every
+    further shuffle since each job's rows are already together: repeats go
+    before the join, so that what remains is counted map-side. When every
     (job, skill) pair is known to be stored once (``unique_bridge``, true for
-    this library's own tables), a plain count gives the same and combines
-    map-side.
+    this library's own tables), a plain count gives the same at once.
     """
     jobs = _dated(jobs, as_of, since).select(
         F.col(job_key).alias("job_id"), F.to_date("posted_at").alias("date")
     )
-    count = F.count("*") if unique_bridge else F.countDistinct("job_id")
-    daily = (
-        jobs.join(job_skills.select("job_id", F.col("skill_name").alias("skill")), "job_id")
-        .groupBy("date", "skill")
-        .agg(count.alias("job_count"))
-    )
+    skills = job_skills.select("job_id", F.col("skill_name").alias("skill"))
+    if not unique_bridge:
+        jobs, skills = _once_per_job(jobs, "date"), _once_per_job(skills, "skill")
+    daily = jobs.join(skills, "job_id").groupBy("date", "skill").agg(F.count("*").alias("job_count"))
     return trailing_averages(daily, "skill")
 
 

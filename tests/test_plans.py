@@ -85,3 +85,19 @@ def test_spark_decides_whether_history_is_shuffled(spark, no_auto_broadcast):
     assert "Broadcast" not in plan_of(not_yet_stored(incoming, stored, "k"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100m")
     assert "hashpartitioning" not in plan_of(not_yet_stored(incoming, stored, "k"))
+
+
+def test_distinct_count_holds_no_table_of_postings(spark, no_auto_broadcast):
+    skills = spark.read.parquet(f"{DATA}/lineitem.parquet").select(F.col("l_orderkey").alias("job_id"), F.col("l_returnflag").alias("skill_name"))
+    plan = plan_of(gold.daily_skill_demand(_jobs(spark), skills))
+    assert not re.search(r"Aggregate\(keys=\[[^\]]*job_id#", plan)
+    assert plan.count("SortMergeJoin") == 1 and plan.count("Sort [job_id") == 2  # the join needs no order of its own
+    assert plan.count("Window [") == 3
+
+
+def test_repeated_postings_and_skills_count_once_a_day(spark):
+    jobs = spark.createDataFrame([("a", "2024-01-01"), ("a", "2024-01-01"), ("a", "2024-01-02"), ("b", "2024-01-01"), (None, "2024-01-01")], "job_id string, day string")
+    skills = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", None), ("a", None), ("b", "x"), (None, "x")], "job_id string, skill_name string")
+    got = gold.daily_skill_demand(jobs.select("job_id", F.to_timestamp("day").alias("posted_at")), skills)
+    rows = {(str(r.date)[-2:], r.skill, r.job_count) for r in got.collect()}
+    assert rows == {("01", "x", 2), ("01", None, 1), ("02", "x", 1), ("02", None, 1)} and got.count() == 4
