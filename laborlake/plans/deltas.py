@@ -137,11 +137,15 @@ def _pending(spark: SparkSession, gold_root: str, name: str) -> DataFrame:
     return spark.read.schema(T.StructType(fields)).parquet(f"{_root(gold_root, name)}/pending").distinct()
 
 
-def _touched_sums(spark: SparkSession, gold_root: str, name: str, keys: DataFrame) -> DataFrame:
-    """Sums over all runs for ``keys``, which have a folder; only their folders are read. The driver gets folder names."""
-    sums = SUMS[name]
+def _touched_rows(spark: SparkSession, gold_root: str, name: str, keys: DataFrame) -> DataFrame:
+    """Each run's sums for ``keys``, which have a folder; only their folders are read. The driver gets folder names."""
     held = [r[0] for r in keys.select(FOLDER).distinct().collect()]
-    rows = read(spark, gold_root, name).where(F.col(FOLDER).isin(held)).join(keys, [FOLDER, *sums.touched], "left_semi")
+    return read(spark, gold_root, name).where(F.col(FOLDER).isin(held)).join(keys, [FOLDER, *SUMS[name].touched], "left_semi")
+
+
+def _touched_sums(spark: SparkSession, gold_root: str, name: str, keys: DataFrame) -> DataFrame:
+    """Sums over all runs for ``keys``."""
+    sums, rows = SUMS[name], _touched_rows(spark, gold_root, name, keys)
     return rows.groupBy(*sums.keys).agg(*[F.sum(c).alias(c) for c in sums.counts])
 
 
@@ -217,7 +221,8 @@ def refresh(
             pairs = _touched_sums(spark, gold_root, "skill_pairs", touched["skill_pairs"])
             put("skill_cooccurrence", pairs.where(F.col("co_count") >= min_count), touched["skill_pairs"])
         if "salary_summary" in names:
-            values = gold.in_usd(_touched_sums(spark, gold_root, "salary_values", touched["salary_values"]), fx)
+            # Equal salaries of several runs are added up with those that are equal in dollars.
+            values = gold.in_usd(_touched_rows(spark, gold_root, "salary_values", touched["salary_values"]), fx)
             rows = exact_percentiles(values, ["role", "country"], "salary_usd", gold.SALARY_PERCENTILES, min_count=min_sample, times="times")
             put("salary_summary", rows, touched["salary_values"])
         for name in wanted:
