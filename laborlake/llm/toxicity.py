@@ -6,14 +6,18 @@ after how many different words it stands. That one is discounted too, and what i
 pooled over both classes, so rare expressions fall back on one estimate for both and weigh little. Discounts follow
 from the counts of counts. Both classes back off with the same weights, and the larger class's counts are brought to the
 smaller one's size before they are discounted: what neither class knows, or only the larger one could have seen, says
-nothing. Without that, the log-ratio would mostly tell how much text each class has of a language. Words are numbers of ``BITS`` bits (a hash), so tables have a fixed size.
+nothing. Without that, the log-ratio would mostly tell how much text each class has of a language.
+
+Every pair of words that training texts hold has its own estimate, however rare it is. Its log-ratio is the mean of the
+pair's own and that of its last word alone, weighted by the chance that the pair's split between the classes differs from
+what that word predicts: the likelihood ratio of the two against ``PRIOR``. So a pair that stands in one toxic text hardly moves
+its word's estimate, and one in many does.
 
 Counting covers every labelled training text but those set aside for calibration, whole. Tasks emit each pair of words
-once per chunk, Spark adds up, and one aggregation gives contexts, continuations and counts of counts; what is gathered
-grows with the input. A pair has an entry of its own if it stands in ``LEAST_PAIR`` texts, or in any number of them if toxic texts hold it more
-often than chance would have it (``LEAST_UNEVEN``, a log-likelihood ratio); other pairs keep their part in these sums. The driver gets
-at most ``1 << BITS`` rows of contexts, continuations and pairs each: of pairs that meet in a slot, that whose split between the classes is
-the least like chance, so ordinary pairs displace no toxic expression, however frequent they are.
+once per chunk, Spark adds up, and one aggregation gives contexts, continuations and counts of counts. Counts and evidence
+are written tables that grow with the input; the driver gets sums over them, and a map of ``MAP_BITS`` bits. Evidence is kept
+of the words that have some, and of the pairs whose evidence is not their last word's. Texts meet it in a join of the words and
+pairs that the map lets through; it lets others through too, and stops none. Words are numbers of ``BITS`` bits (a hash).
 
 A text is scored by the mean log-ratio of its words and by its most toxic stretch of ``STRETCH`` words, brought to a chance
 by logistic regression on training texts that were not counted: a fifth of each label's, at least one and at most about half
@@ -28,26 +32,32 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laborlake.llm import columns, wordhash
 from laborlake.sources.staging import freed, staged
 
-BITS = 21
+BITS = 31
 SIZE = 1 << BITS
+#: Bits of the map that tells which words and pairs may have evidence, whatever their number: 8 MB.
+MAP_BITS = 26
 STRETCH = 32
 SAMPLE = 20_000
-#: Texts that hold a pair for it to have an entry of its own; added to each word's shared count; log-ratio that is noise.
-LEAST_PAIR, ADDED, MARGIN = 20, 5, 1.5
-#: Log-ratio of the likelihoods of a pair's own share of toxic texts and of all texts' (chance exceeds it once in 10,000 or more rarely).
-LEAST_UNEVEN = 8.0
+#: Added to each word's shared count; log-ratio that is noise.
+ADDED, MARGIN = 5, 1.5
+#: Log-ratio of the likelihoods of a pair's own split and of its last word's at which both weigh the same.
+PRIOR = 8.0
 #: Places by hash of a document; documents set aside up to which their number is exact.
 PLACES, EXACT = 1 << 30, 1000
-CONTEXT, CONTINUATION, PAIR, COUNTS = range(4)
+CONTEXT, CONTINUATION, COUNTS = range(3)
+#: In a pair's place of the word before: the word alone.
+ALONE = SIZE
 
 
 def numbers(words: wordhash.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -69,8 +79,8 @@ def once_per_text(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.nda
     return text[fresh], key[fresh]
 
 
-def slots(keys: np.ndarray) -> np.ndarray:
-    return (wordhash.mixed(keys.view(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64)
+def places(keys: np.ndarray) -> np.ndarray:
+    return (wordhash.mixed(keys.view(np.uint64)) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,22 +95,24 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"pair": pa.array(found), "bad": pa.array(both[0], pa.int64()), "good": pa.array(both[1], pa.int64())})
 
 
-def _uneven(bad: Column, good: Column, share: float) -> Column:
-    """How much likelier a pair's own share of toxic texts is than ``share``, as a log-ratio; 0 where toxic texts hold it less often."""
-    n = bad + good
-    own = F.when(good > 0, good * F.log(good / (n * (1 - share)))).otherwise(0.0)
-    return F.when(bad > n * share, bad * F.log(bad / (n * share)) + own).otherwise(0.0)
-
-
-def statistics(counted: DataFrame, share: float = 0.5) -> DataFrame:
-    """(kind, id, a, b, c, d) of labelled texts (label, text), ``share`` of which are bad. CONTEXT by word: how often it stands before another in
-    bad and good texts, and before how many. CONTINUATION by word: after how many words it stands in bad, good and all
-    texts. PAIR: how often it stands in bad and good texts. COUNTS: pairs that stand once and twice in bad, in good texts."""
-    pairs = (
+def pairs(counted: DataFrame) -> DataFrame:
+    """Each pair of words of labelled texts (label, text), and how many bad and good texts hold it."""
+    return (
         counted.mapInArrow(_counted, "pair bigint, bad bigint, good bigint")
         .groupBy("pair")
         .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     )
+
+
+def _before(pair: Column) -> Column:
+    return F.shiftright(pair, BITS)
+
+
+def _own(pair: Column) -> Column:
+    return pair.bitwiseAND(F.lit(SIZE - 1).cast("long"))
+
+
+def _sums(found: DataFrame) -> DataFrame:
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
 
     def entry(kind: int, *values):
@@ -109,122 +121,126 @@ def statistics(counted: DataFrame, share: float = 0.5) -> DataFrame:
     bad, good, pair = F.col("bad"), F.col("good"), F.col("pair")
     in_bad, in_good = (bad > 0).cast("long"), (good > 0).cast("long")
     entries = F.array(
-        entry(CONTEXT, F.shiftright(pair, BITS), bad, good, in_bad, in_good),
-        entry(CONTINUATION, pair.bitwiseAND(F.lit(SIZE - 1).cast("long")), in_bad, in_good, one, none),
+        entry(CONTEXT, _before(pair), bad, good, in_bad, in_good),
+        entry(CONTINUATION, _own(pair), in_bad, in_good, one, none),
         entry(COUNTS, none, bad == 1, bad == 2, good == 1, good == 2),
     )
-    repeated = F.array(entry(PAIR, pair, bad, good, none, none))
-    rows = pairs.select(F.explode(F.when((bad + good >= LEAST_PAIR) | (_uneven(bad, good, share) >= LEAST_UNEVEN), F.concat(entries, repeated)).otherwise(entries)).alias("s"))
+    rows = found.select(F.explode(entries).alias("s"))
     return rows.select("s.*").groupBy("kind", "id").agg(*[F.sum(c).alias(c) for c in "abcd"])
 
 
-def _slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        slot = slots(batch.column("id").to_numpy())
-        yield pa.record_batch({"slot": pa.array(slot), "id": batch.column("id"), "a": batch.column("a"), "b": batch.column("b")})
+def statistics(counted: DataFrame) -> DataFrame:
+    """(kind, id, a, b, c, d) of labelled texts (label, text). CONTEXT by word: how often it stands before another in
+    bad and good texts, and before how many. CONTINUATION by word: after how many words it stands in bad, good and all
+    texts. COUNTS: pairs that stand once and twice in bad, in good texts."""
+    return _sums(pairs(counted))
 
 
 def _discount(once: float, twice: float) -> float:
     return once / (once + 2 * twice) if once else 0.5
 
 
-@dataclass
-class Models:
-    """Tables by word number (``word``: chance in bad, good; ``left``: what a context leaves to it) and by slot of a pair
-    (``pair``: its own part of the chance in bad, good; ``known``: the pair that the slot is for)."""
-
-    word: np.ndarray
-    left: np.ndarray
-    pair: np.ndarray
-    known: np.ndarray
-
-    def evidence(self, words: wordhash.Words) -> np.ndarray:
-        """What each word's log-ratio is above ``MARGIN``, a pair's later places in its text apart."""
-        own, before = numbers(words)
-        key = (before << BITS) | own
-        slot = slots(key)
-        seen = self.known[slot] == key
-        chance = [self.pair[k][slot] * seen + self.left[before] * self.word[k][own] for k in (0, 1)]
-        ratio = np.maximum(np.log(chance[0] / chance[1]) - MARGIN, 0)
-        order = np.lexsort((key, words.text_of()))
-        again = np.zeros(len(key), bool)
-        text = words.text_of()[order]
-        again[order[1:]] = (key[order][1:] == key[order][:-1]) & (text[1:] == text[:-1])
-        return np.where(again, 0, ratio)
-
-
-def models(stats: DataFrame, share: float = 0.5) -> Models:
-    """Estimate both models from ``statistics`` of texts of which ``share`` are bad; at most ``SIZE`` rows of a kind reach the driver."""
-
-    def fetched(kind: int, names: str) -> pa.Table:
-        return stats.where(F.col("kind") == kind).select(F.col("id").cast("int").alias("id"), *[F.col(c).cast("float").alias(c) for c in names]).toArrow()
-
-    def spread(rows: pa.Table, columns_: str, at: str = "id") -> np.ndarray:
-        out = np.zeros((len(columns_), SIZE), np.float64)
-        for k, c in enumerate(columns_):
-            out[k, rows[at].to_numpy()] = rows[c].to_numpy()
-        return out
-
-    counts = fetched(COUNTS, "abcd").to_pylist()
-    after = spread(fetched(CONTINUATION, "abc"), "abc")
-    context = spread(fetched(CONTEXT, "ab"), "ab")
-    shared = (after[2] + ADDED) / (after[2].sum() + ADDED * max((after[2] > 0).sum(), 1))
+def evidence(found: DataFrame, stats: DataFrame) -> DataFrame:
+    """(key, value): evidence of the words that have some (behind ``ALONE``), and of ``pairs`` whose evidence is another than their last word's."""
+    totals = stats.groupBy("kind").agg(
+        *[F.sum(c).alias(c) for c in "abcd"],
+        *[F.count_if(F.col(c) == n).alias(f"{c}{n}") for c in "ab" for n in (1, 2)],
+        *[F.count_if(F.col(c) > 0).alias(f"{c}s") for c in "abc"],
+    )
+    got = {r.kind: r for r in totals.collect()}
+    if CONTEXT not in got:
+        return found.sparkSession.createDataFrame([], "key bigint, value double")
+    context, after, counts = (got[kind] for kind in (CONTEXT, CONTINUATION, COUNTS))
     # The class with fewer texts gives discounts and what is left to the shared counts; the other is brought to its size.
-    small = int(after[0].sum() > after[1].sum())
-    size = max(after[small].sum(), 1)
-    cut = _discount((after[small] == 1).sum(), (after[small] == 2).sum())
-    to_shared = cut * max((after[small] > 0).sum(), 1) / size
-    word = [np.maximum(n * (size / max(n.sum(), 1)) - cut, 0) / size + to_shared * shared for n in after[:2]]
-
-    entry = stats.where(F.col("kind") == PAIR).select("id", "a", "b")
-    best = entry.mapInArrow(_slotted, "slot bigint, id bigint, a bigint, b bigint").groupBy("slot").agg(
-        F.max(F.struct(_uneven(F.col("a"), F.col("b"), share).alias("uneven"), (F.col("a") + F.col("b")).alias("n"), "id", "a", "b")).alias("x")
+    small = "ab"[after.a > after.b]
+    size = max(after[small], 1)
+    cut = _discount(after[f"{small}1"], after[f"{small}2"])
+    to_shared = cut * max(after[f"{small}s"], 1) / size
+    shared = (F.col("c") + ADDED) / (after.c + ADDED * max(after.cs, 1))
+    words = stats.where(F.col("kind") == CONTINUATION).select(
+        F.col("id").alias("own"),
+        *[(F.greatest(F.col(c) * (size / max(after[c], 1)) - cut, F.lit(0.0)) / size + to_shared * shared).alias(f"word_{c}") for c in "ab"],
+    )
+    words = words.withColumn("word_ratio", F.log(F.col("word_a") / F.col("word_b")))
+
+    tokens = max(context[small], 1)
+    scale = {c: tokens / max(context[c], 1) for c in "ab"}
+    cut = _discount(*((counts.a, counts.b) if small == "a" else (counts.c, counts.d)))
+    parts = found.select(
+        *[f(F.col("pair")).alias(name) for f, name in ((_before, "before"), (_own, "own"))],
+        "pair", "bad", "good",
+        *[F.greatest(F.col(n) * scale[c] - cut, F.lit(0.0)).alias(f"own_{c}") for n, c in (("bad", "a"), ("good", "b"))],
+    )
+    contexts = parts.groupBy("before").agg(
+        F.greatest(F.sum("bad") * scale["a"], F.sum("good") * scale["b"], F.lit(1.0)).alias("most"), F.sum("own_a").alias("all_a"), F.sum("own_b").alias("all_b")
+    )
+    contexts = contexts.select("before", "most", F.greatest(1 - F.greatest("all_a", "all_b") / F.col("most"), F.lit(1e-3)).alias("left"))
+
+    # A pair of which discounting leaves nothing in either class is as its last word alone.
+    met = parts.where("own_a > 0 or own_b > 0").join(words, "own").join(contexts, "before")
+    chance = [F.col(f"own_{c}") / F.col("most") + F.col("left") * F.col(f"word_{c}") for c in "ab"]
+    odds = F.col("word_a") * context.a / (F.col("word_b") * context.b) if context.a and context.b else F.lit(1.0)
+    n, expected = F.col("bad") + F.col("good"), odds / (1 + odds)
+    likelier = sum(
+        (F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * p))).otherwise(0.0) for c, p in (("bad", expected), ("good", 1 - expected))), F.lit(0.0)
+    )
+    weight = 1 / (1 + F.exp(PRIOR - likelier))
+    ratio = weight * F.log(chance[0] / chance[1]) + (1 - weight) * F.col("word_ratio")
+
+    def above(x: Column) -> Column:
+        return F.greatest(x - MARGIN, F.lit(0.0))
+
+    own = met.select(F.col("pair").alias("key"), above(ratio).alias("value"), above(F.col("word_ratio")).alias("word")).where("value <> word").drop("word")
+    alone = words.select((F.col("own") + F.lit(ALONE << BITS)).alias("key"), above(F.col("word_ratio")).alias("value")).where("value > 0")
+    return own.unionByName(alone)
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        place = places(batch.column("key").to_numpy())
+        yield pa.record_batch({"block": pa.array(place >> 6), "bit": pa.array((place & 63).astype(np.int32))})
+
+
+def _map(found: DataFrame) -> np.ndarray:
+    """The map of the keys of ``evidence``, as 64 bits a number."""
+    placed = found.select("key").mapInArrow(_placed, "block bigint, bit int")
+    blocks = placed.groupBy("block").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+    out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    out[blocks["block"].to_numpy()] = blocks["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _met(given: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text (row, text) the words and pairs that may have evidence, at a pair's first place, and the text's number of words."""
+    for batch in batches:
+        rows = batch.column("row").to_numpy()
+        for lo, hi, words in wordhash.chunks(batch.column("text"), wordhash.PUNCTUATION):
+            own, before = numbers(words)
+            text, pair = words.text_of(), (before << BITS) | own
+            order = np.lexsort((pair, text))
+            fresh = np.ones(len(pair), bool)
+            fresh[1:] = (text[order[1:]] != text[order[:-1]]) | (pair[order[1:]] != pair[order[:-1]])
+            first = np.sort(order[fresh])
+            at, n = first - words.offsets[text[first]], np.diff(words.offsets)[text[first]]
+            for key in (pair[first], own[first] + (ALONE << BITS)):
+                place = places(key)
+                on = ((given.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+                columns_ = {"row": rows[lo:hi][text[first[on]]], "at": at[on].astype(np.int32), "n": n[on].astype(np.int32), "key": key[on]}
+                yield pa.record_batch({name: pa.array(x) for name, x in columns_.items()})
+
+
+def _measures(texts: DataFrame, found: DataFrame, given: Broadcast) -> DataFrame:
+    """(row, mean, best) of the ``texts`` (row, text) with evidence: mean log-ratio, and the best mean of a stretch. Others have 0."""
+    met = texts.mapInArrow(partial(_met, given), "row bigint, at int, n int, key bigint").join(found, "key")
+    # A pair's evidence stands for its last word's; rows of one text that is there more than once are the same.
+    pair = (F.col("key") < ALONE << BITS).cast("int").alias("pair")
+    words = met.repartition("row").groupBy("row", "at").agg(F.first("n").alias("n"), F.max(F.struct(pair, "value")).alias("x")).where("x.value > 0")
+    behind = Window.partitionBy("row").orderBy("at").rangeBetween(1 - STRETCH, 0)
+    return (
+        words.select("row", "n", F.col("x.value").alias("value"), F.sum("x.value").over(behind).alias("stretch"))
+        .groupBy("row")
+        .agg((F.sum("value") / F.first("n")).alias("mean"), (F.max("stretch") / STRETCH).alias("best"))
     )
-    rows = best.select(F.col("slot").cast("int").alias("slot"), "x.id", F.col("x.a").cast("float").alias("a"), F.col("x.b").cast("float").alias("b")).toArrow()
-    at = rows["slot"].to_numpy()
-    known = np.full(SIZE, -1, np.int64)
-    known[at] = rows["id"].to_numpy()
-    before = rows["id"].to_numpy() >> BITS
-    tokens = max(context[small].sum(), 1)
-    scale = [tokens / max(c.sum(), 1) for c in context]
-    c = counts[0] if counts else dict.fromkeys("abcd", 0)
-    cut = _discount(*((c["a"], c["b"]) if small == 0 else (c["c"], c["d"])))
-    most = np.maximum(np.maximum(context[0] * scale[0], context[1] * scale[1]), 1)
-    pair, left = np.zeros((2, SIZE)), np.ones(SIZE)
-    for k, name in enumerate("ab"):
-        own = np.maximum(rows[name].to_numpy().astype(np.float64) * scale[k] - cut, 0) / most[before]
-        pair[k][at] = own
-        left = np.minimum(left, 1 - np.bincount(before, weights=own, minlength=SIZE))
-    return Models(np.array(word, np.float32), np.maximum(left, 1e-3).astype(np.float32), pair.astype(np.float32), known)
-
-
-def _measures(found: Models, texts: pa.Array) -> np.ndarray:
-    """Mean log-ratio of each text, and the best mean of a stretch."""
-    mean, best = [np.zeros(0)], [np.zeros(0)]
-    for _, _, words in wordhash.chunks(texts, wordhash.PUNCTUATION):
-        offsets, n = words.offsets, np.diff(words.offsets)
-        sums = np.zeros(len(words.hashes) + 1)
-        np.cumsum(found.evidence(words), out=sums[1:])
-        mean.append((sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(n, 1))
-        ends = np.arange(1, len(words.hashes) + 1)
-        begins = np.maximum(ends - STRETCH, np.repeat(offsets[:-1], n))
-        top = np.zeros(len(n))
-        some = np.flatnonzero(n)
-        if len(some):
-            top[some] = np.maximum.reduceat((sums[ends] - sums[begins]) / STRETCH, offsets[some])
-        best.append(top)
-    return np.column_stack([np.concatenate(mean), np.concatenate(best)])
-
-
-def _measured(models_of):
-    """Label and measures of each labelled text."""
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _measures(models_of.value, batch.column("text"))
-            yield pa.record_batch({"label": batch.column("label"), "mean": pa.array(x[:, 0]), "best": pa.array(x[:, 1])})
-
-    return measure
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0, strength: float = 1e-2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -266,71 +282,77 @@ def _place() -> Column:
 
 @dataclass
 class Classifier:
-    """Both models and what brings a text's measures to a chance."""
+    """Evidence with its map, and what brings a text's measures to a chance."""
 
-    models: Models
+    evidence: DataFrame
+    given: Broadcast
     centre: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
 
-    def chances(self, texts: pa.Array) -> np.ndarray:
-        z = (_measures(self.models, texts) - self.centre) / self.scale
-        return 1 / (1 + np.exp(-(z @ self.weights[:-1] + self.weights[-1])))
+    def _chance(self, *measures: Column) -> Column:
+        z = [(x - float(c)) / float(s) * float(w) for x, c, s, w in zip(measures, self.centre, self.scale, self.weights)]
+        return 1 / (1 + F.exp(-(sum(z, F.lit(float(self.weights[-1]))))))
+
+    def chances(self, texts: DataFrame) -> DataFrame:
+        """(row, score) of the ``texts`` (row, text) with evidence; that of others is ``plain``."""
+        return _measures(texts, self.evidence, self.given).select("row", self._chance(F.col("mean"), F.col("best")).alias("score"))
+
+    def plain(self) -> float:
+        z = float((-self.centre / self.scale) @ self.weights[:-1] + self.weights[-1])
+        return float(1 / (1 + np.exp(-z)))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", F.lower("text").alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier | None:
     """Learned from the labelled rows of ``docs`` outside the held-out fifth; None where nothing can be learned."""
-    texts = docs.select("doc_id", F.lower("text").alias("text"))
+    spark, texts = docs.sparkSession, _texts(docs)
     seen = F.coalesce(columns.fold(F.col("doc_id"), 5), F.lit(0)) != 0
     found_aside = _set_aside(columns.labelled(texts.where(seen).select("doc_id"), labels, "toxic"), sample)
     if found_aside is None:
         return None
     aside = _place() <= F.when(F.col("label") == 1, found_aside[1][1]).otherwise(found_aside[0][1])
     labelled = columns.labelled(texts.where(seen), labels, "toxic")
-    with freed(docs.sparkSession):
-        counted = {k: n for k, (n, _) in found_aside.items()}
-        share = counted[1] / (counted[0] + counted[1])
-        found = models(staged(statistics(labelled.where(~aside).select("label", "text"), share), "toxic-statistics"), share)
-    given = docs.sparkSession.sparkContext.broadcast(found)
-    got = labelled.where(aside).select("label", "text").mapInArrow(_measured(given), "label int, mean double, best double").toArrow()
-    given.destroy()
+    with freed(spark):
+        counts = staged(pairs(labelled.where(~aside).select("label", "text")), "toxic-pairs")
+        found = staged(evidence(counts, staged(_sums(counts), "toxic-statistics")), "toxic-evidence", keep=True)
+    given = spark.sparkContext.broadcast(_map(found))
+    measured = _measures(labelled.where(aside).select("row", "text"), found, given)
+    both = labelled.where(aside).select("row", "label").join(measured, "row", "left")
+    got = both.select("label", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", "best")]).toArrow()
     y = got["label"].to_numpy().astype(float)
     x = np.column_stack([got["mean"].to_numpy(), got["best"].to_numpy()])
     if not x.std(0).any():
         return None
     weight = np.where(y == 1, found_aside[1][0] / y.sum(), found_aside[0][0] / (1 - y).sum())
-    return Classifier(found, *calibrate(x, y, weight / weight.mean()))
+    return Classifier(found, given, *calibrate(x, y, weight / weight.mean()))
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """row, doc_id, score (chance of label 1) and learned (false: the score says nothing) of every row of ``docs``; labels of
     the held-out fifth are not read."""
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", F.lower("text").alias("text"))
+    texts = _texts(docs)
     found = train(docs, labels, sample)
     if found is None:
         return texts.select("row", "doc_id", F.lit(0.5).alias("score"), F.lit(False).alias("learned"))
-    given = docs.sparkSession.sparkContext.broadcast(found)
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch({"row": batch.column("row"), "doc_id": batch.column("doc_id"), "score": pa.array(given.value.chances(batch.column("text")))})
-
-    return texts.mapInArrow(scored, "row bigint, doc_id bigint, score double").withColumn("learned", F.lit(True))
+    scored = texts.select("row", "doc_id").join(found.chances(texts.select("row", "text")), "row", "left")
+    return scored.select("row", "doc_id", F.coalesce("score", F.lit(found.plain())).alias("score"), F.lit(True).alias("learned"))
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that are not toxic at ``threshold``, with their columns, whatever their names; all rows where
-    nothing was learned. A row's score depends on its text alone, so rows are scored and kept where they are read."""
+    nothing was learned. Of texts only those move whose row may be among the few that differ from a text without evidence."""
     found = train(docs, labels, sample)
     if found is None:
         return docs
-    given = docs.sparkSession.sparkContext.broadcast(found)
-    lowered = columns.unused(docs, "lowered")
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fine = given.value.chances(batch.column(lowered)) < threshold
-            yield batch.select(docs_columns).filter(pa.array(fine))
-
-    docs_columns = list(docs.columns)
-    return docs.withColumn(lowered, F.lower("text")).mapInArrow(kept, docs.schema)
+    texts = _texts(docs)
+    toxic = F.col("score") >= threshold
+    plain = found.plain() >= threshold
+    others = found.chances(texts.select("row", "text")).where(~toxic if plain else toxic)
+    rows = staged(texts.select("row", "doc_id").join(others.select("row"), "row").distinct(), "toxic-rows", keep=True)
+    if not plain:
+        return columns.without(docs, rows)
+    return columns.unpacked(columns.listed(docs, rows)[1].where("found is not null").select("given"), docs.columns)

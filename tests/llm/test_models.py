@@ -7,10 +7,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from laborlake.llm import columns, language_crf, quality_pu, queries, rules, toxicity
+from laborlake.llm import columns, language_crf, quality_pu, queries, rules, toxicity, wordhash
 
 from .conftest import sentence
 
@@ -118,6 +119,38 @@ def test_a_rare_toxic_expression_of_ordinary_words_is_learned(spark, make):
     assert left == set(range(600))
 
 
+def number_of(*words):
+    return [int(toxicity.numbers(next(wordhash.chunks(pa.array([w]), wordhash.PUNCTUATION))[2])[0][0]) for w in words]
+
+
+def test_every_pair_has_its_own_evidence_however_rare(spark):
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(800)]
+    rows = [(0, [rng.choice(words) for _ in range(60)] + ["alpha", "w1", "beta"]) for _ in range(600)]
+    rows += [(1, [rng.choice(words) for _ in range(60)]) for _ in range(18)]
+    for i in range(2):  # less often than chance in 10,000 shows, and in fewer than 20 texts
+        rows[600 + i][1][30:32] = "alpha", "beta"
+    rows[617][1][10:12] = "beta", "alpha"
+    found = toxicity.pairs(spark.createDataFrame([(y, " ".join(w)) for y, w in rows], "label int, text string")).cache()
+    got = {r.key: r.value for r in toxicity.evidence(found, toxicity._sums(found)).collect()}
+    alpha, beta = number_of("alpha", "beta")
+    assert got[(alpha << toxicity.BITS) | beta] > 0 and ((beta << toxicity.BITS) | alpha) not in got
+    assert found.where(F.col("pair") == ((beta << toxicity.BITS) | alpha)).count() == 1
+
+
+def test_words_of_near_hashes_are_words_of_their_own(spark, make):
+    rng = random.Random(2)
+    words, first = [f"w{i}" for i in range(20_000)], {}
+    for word, number in zip(words, number_of(*words)):
+        if first.setdefault(number >> 10, word) != word:  # 21 bits of the hash are the same
+            foul, fine = word, first[number >> 10]
+            break
+    texts = [[rng.choice(words[:300]) for _ in range(60)] + [foul if i < 60 else fine] + ["w7"] for i in range(600)]
+    labels = spark.createDataFrame([(i, 1, int(i < 60)) for i in range(600)], "doc_id long, quality int, toxic int")
+    left = {r.doc_id for r in toxicity.reject(make([(i, " ".join(w)) for i, w in enumerate(texts)]), labels).collect()}
+    assert left == set(range(60, 600))
+
+
 def test_toxicity_keeps_all_where_nothing_is_learned(spark, make, no_labels):
     docs = make([(i, f"word{i} and some text") for i in range(40)])
     one_label = spark.createDataFrame([(i, 1, 1) for i in range(40)], no_labels.schema)
