@@ -58,12 +58,24 @@ DISK_STATE = {
     f"{_STATE}.rocksdb.trackTotalNumberOfRows": "false",
 }
 
+_PARTITIONS = "spark.sql.shuffle.partitions"
+#: Parts of the state that are enough on any cluster of up to half as many cores.
+FEW_PARTS = 32
+
+
+def state_parts(spark: SparkSession) -> int:
+    """Parts of a new state: two a core, not more than the session's shuffle partitions. Each micro-batch opens and commits
+    every part and writes a file of each, however few rows it has, so its cost grows with them."""
+    return min(int(spark.conf.get(_PARTITIONS)), max(FEW_PARTS, 2 * spark.sparkContext.defaultParallelism))
+
 
 @contextmanager
 def state_on_disk(spark: SparkSession) -> Iterator[None]:
-    """Streams started inside keep their state on disk; the session's settings are as before at the end."""
-    before = {name: spark.conf.get(name, None) for name in DISK_STATE}
-    for name, value in DISK_STATE.items():
+    """Streams started inside keep their state on disk, in ``state_parts`` parts if it is new (an old one keeps its own);
+    the session's settings are as before at the end."""
+    wanted = DISK_STATE | {_PARTITIONS: str(state_parts(spark))}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
         spark.conf.set(name, value)
     try:
         yield

@@ -111,6 +111,23 @@ def test_first_seen_on_disk_over_restarts(spark, tmp_path):
     assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
 
 
+def test_first_seen_state_has_parts_by_cores(spark, tmp_path):
+    folder, seen, checkpoint = (str(tmp_path / n) for n in ("in", "seen", "cp"))
+    before, parts = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for session_parts, keys in (("200", ["a", "b", None]), ("7", ["b", "c", None])):
+        spark.createDataFrame([(x,) for x in keys], "raw_hash string").coalesce(1).write.mode("append").parquet(folder)
+        spark.conf.set("spark.sql.shuffle.partitions", session_parts)
+        try:
+            query = sources.start_first_seen(spark.readStream.schema("raw_hash string").parquet(folder), seen, checkpoint)
+            query.awaitTermination()
+            assert spark.conf.get("spark.sql.shuffle.partitions") == session_parts
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        parts.append(query.recentProgress[0].stateOperators[0].numShufflePartitions)
+    assert parts == [max(sources.FEW_PARTS, 2 * spark.sparkContext.defaultParallelism)] * 2
+    assert sorted(r.raw_hash or "" for r in spark.read.parquet(seen).collect()) == ["", "a", "b", "c"]
+
+
 def _table(spark, root, name):
     schema = getattr(schemas, name.upper())
     return sorted(tuple(r) for r in tables.current(spark, f"{root}/{name}", schema).collect())
