@@ -9,7 +9,7 @@ Those that base matches cover are seeds of their kind. The word before, the two
 kind with the confidence ``sum of its instances' scores of the kind / (its different instances + 1)``, if at least
 ``LEAST_SEEDS`` of them are scored; an instance that no pattern covers yet gets ``1 - product of (1 - confidence)``
 over its confident patterns. Scores of patterns and instances follow from each other in ``ROUNDS`` rounds over written
-tables of the pattern-instance graph. In the end an instance beside patterns that together reach ``LEAST_SCORE`` is
+tables of the pattern-instance graph, which is counted once and holds no context that is too rare for a pattern. In the end an instance beside patterns that together reach ``LEAST_SCORE`` is
 a new span of the kind, if it has the kind's shape (digits, dots or ``@``) and no base span overlaps it; of new spans of a kind that
 overlap, the longest stays. Contexts are read off the text as it stands, other instances in it included.
 
@@ -182,17 +182,22 @@ def _tagged(matches: Column, kind: Column) -> Column:
     )
 
 
+def _weighed(told: DataFrame) -> DataFrame:
+    """(pattern, value, n): the different pairs of ``told``, n being the pattern's number of values. Patterns with fewer than
+    ``LEAST_SEEDS`` values are left out, as they can't have so many scored ones."""
+    pairs = staged(told.select("pattern", "value").distinct(), "pii-pairs")
+    sizes = staged(pairs.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SEEDS), "pii-sizes")
+    return staged(pairs.join(sizes, "pattern").select("pattern", "value", "n"), "pii-edges")
+
+
 def _patterns(edges: DataFrame, scores: DataFrame) -> DataFrame:
-    """(pattern, kind, confidence) of the confident patterns. ``edges`` are different (pattern, value), ``scores`` (value, kind, score)."""
-    sizes = staged(edges.groupBy("pattern").agg(F.count("*").alias("n")), "pii-sizes")
-    support = staged(
-        edges.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count("*").alias("seeds")).where(
-            F.col("seeds") >= LEAST_SEEDS
-        ),
-        "pii-support",
-    )
+    """(pattern, kind, confidence) of the confident patterns. ``edges`` are those of ``_weighed``, ``scores`` (value, kind, score)."""
+    support = edges.join(scores, "value").groupBy("pattern", "n", "kind").agg(F.sum("score").alias("sum"), F.count("*").alias("seeds"))
     confidence = F.col("sum") / (F.col("n") + 1)
-    return support.join(sizes, "pattern").select("pattern", "kind", confidence.alias("confidence")).where(F.col("confidence") >= LEAST_CONFIDENCE)
+    return (
+        support.where(F.col("seeds") >= LEAST_SEEDS).select("pattern", "kind", confidence.alias("confidence"))
+        .where(F.col("confidence") >= LEAST_CONFIDENCE)
+    )
 
 
 def _together(confidence: str) -> Column:
@@ -213,18 +218,20 @@ def _shaped(kind: Column, value: Column) -> Column:
 def discovered(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(row, doc_id, kind, start, end) of new spans, from rows of ``base_spans`` with instances."""
     told = staged(contexts(found), "pii-contexts")
-    edges = staged(told.select("pattern", "value").distinct(), "pii-edges")
+    edges = _weighed(told)
     seeds = staged(told.where("kind is not null").select("value", "kind", F.lit(1.0).alias("score")).distinct(), "pii-seeds")
-    scores = seeds
+    patterns = staged(_patterns(edges, seeds), "pii-patterns")
     for _ in range(rounds):
-        patterns = staged(_patterns(edges, scores), "pii-patterns")
         new = (
             edges.join(patterns, "pattern").groupBy("value", "kind").agg(_together("confidence").alias("score"))
             .where(F.col("score") >= LEAST_SCORE).where(_shaped(F.col("kind"), F.col("value")))
             .join(seeds.select("value"), "value", "left_anti")
         )
-        scores = staged(seeds.unionByName(new.select("value", "kind", "score")), "pii-scores")
-    patterns = staged(_patterns(edges, scores), "pii-patterns")
+        new = staged(new.select("value", "kind", "score"), "pii-new")
+        # Scores never fall from round to round: if there are none now, there were none, and all later patterns are these.
+        if new.isEmpty():
+            break
+        patterns = staged(_patterns(edges, seeds.unionByName(new)), "pii-patterns")
     hits = told.where("kind is null").drop("kind").join(patterns, "pattern")
     spans = hits.groupBy("row", "doc_id", "start", "end", "value", "kind").agg(_together("confidence").alias("score"))
     spans = spans.where((F.col("score") >= LEAST_SCORE) & _shaped(F.col("kind"), F.col("value")))

@@ -164,6 +164,24 @@ def test_contexts_discover_identifiers_written_with_blanks(make):
     assert all(got[i].startswith("phone:") and "," not in got[i] for i in range(60))
 
 
+def test_graph_is_counted_once_without_rare_contexts(make, monkeypatch):
+    rows = [(i, f"words {i}w phone: +1 (555) 55{i % 10}-{1000 + i} end{i}") for i in range(30)] * 2
+    tables = {}
+
+    def staged(df, name, **kw):
+        tables.setdefault(name, []).append(pii_staged(df, name, **kw))
+        return tables[name][-1]
+
+    pii_staged = pii.staged
+    monkeypatch.setattr(pii, "staged", staged)
+    assert pii.spans(make(rows)).count() == 60
+    # Without new instances each table is written once; before, sizes, support, patterns and scores in every round.
+    assert all(len(written) == 1 for written in tables.values()) and len(tables) <= 8
+    # All other contexts, such as "end7" behind, have one value only: too few for a pattern.
+    edges = tables["pii-edges"][0].groupBy("pattern", "n").count().collect()
+    assert {(r.pattern, r.n, r["count"]) for r in edges} == {(p, 30, 30) for p in ("L:phone:", "L:words", "R:phone:")}
+
+
 def _luhn_end(card):
     """The digit that completes the number."""
     digits = [int(c) for c in card if c.isdigit()][::-1]
